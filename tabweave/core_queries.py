@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabweave.operators.quality import column_defects, column_profile
+from tabweave.operators.records import SEPARATORS, parse_records
+from tabweave.operators.timestamps import normalize_timestamps
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -19,7 +22,23 @@ def p1_profile(spark: SparkSession, sf: str) -> DataFrame:
     return column_profile(_read(spark, sf, "churn_rows"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile}
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return parse_records(_read(spark, sf, "raw_records")).where(F.col("reason").isNotNull()).select("record_id", "reason")
+
+
+def p2_parsed(spark: SparkSession, sf: str) -> DataFrame:
+    return parse_records(_read(spark, sf, "raw_records")).where(F.col("reason").isNull()).drop("reason", "reason_column", "raw_kept", "raw_text")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize_timestamps(_read(spark, sf, "stamp_cells"), "raw_value", "zone_name").where(F.col("status") == "read").select("stamp_id", "outcome")
+
+
+def p5_normalized(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize_timestamps(_read(spark, sf, "stamp_cells"), "raw_value", "zone_name")
+
+
+QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p2_found": p2_found, "p2_parsed": p2_parsed, "p5_found": p5_found, "p5_normalized": p5_normalized}
 
 # The tokens and the reading of missing values are those of tabweave.functions.missing.
 _TOKENS = "('','na','n/a','nan','null','none','nil','undefined','?','#n/a','missing','-')"
@@ -53,4 +72,33 @@ UNION ALL SELECT DISTINCT s.dataset_id, s.load_no, s.column_name, 'stored' FROM
   WHERE q.null_count IS DISTINCT FROM s.n - s.m OR q.min_value IS DISTINCT FROM s.lo OR q.max_value IS DISTINCT FROM s.hi
 """
 
-ORACLES = {"p1_found": _P1_FOUND}
+
+
+def _p2_found() -> str:
+    names = "('annual_income', 'credit_score', 'debt_ratio', 'applied_on')"
+    parts = []
+    for sep in SEPARATORS:
+        s = "\\t" if sep == "\t" else "\\|" if sep == "|" else sep
+        item = f'("(?:[^"]|"")*"|[^"{s}][^{s}]*|)'
+        parts.append(f"""SELECT record_id, names, NOT regexp_full_match(raw_text, '(?s)(?:{item}{s})*{item}') AS broken,
+          list_transform(regexp_extract_all(raw_text || chr({ord(sep)}), '(?s){item}{s}', 1), lambda x: CASE WHEN starts_with(x, '"') THEN replace(x[2:-2], '""', '"') ELSE x END) AS fields
+          FROM body WHERE sep = chr({ord(sep)})""")
+    number = r"[+-]?(?:[0-9]+\.?[0-9]*|[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+    return f"""
+WITH h0 AS (SELECT upload_id, ltrim(raw_text, chr(65279)) AS h FROM raw_records WHERE record_no = 1),
+h1 AS (SELECT upload_id, h, [{", ".join(f"length(regexp_replace(h, '[^{chr(92) + 't' if x == chr(9) else x}]', '', 'g'))" for x in SEPARATORS)}] AS k FROM h0),
+heads AS (SELECT upload_id, [{", ".join(f"chr({ord(x)})" for x in SEPARATORS)}][list_position(k, list_max(k))] AS sep, h FROM h1),
+named AS (SELECT upload_id, sep, list_transform(string_split(h, sep), lambda x: trim(x, ' "')) AS names FROM heads),
+body AS (SELECT r.record_id, r.raw_text, n.sep, n.names FROM raw_records r JOIN named n USING (upload_id) WHERE r.record_no > 1 AND trim(r.raw_text, ' 	
+') <> ''),
+cut AS ({" UNION ALL ".join(parts)}),
+cells AS (SELECT record_id, unnest(names) AS name, trim(unnest(fields), ' 	') AS v FROM cut WHERE NOT broken AND len(names) = len(fields)),
+bare AS (SELECT record_id, name, v, regexp_replace(regexp_replace(regexp_replace(v, '(?s)^\\((.*)\\)$', '\\1'), '^[$€]', ''), '%$', '') AS b FROM cells WHERE name IN {names} AND lower(v) NOT IN {_TOKENS}),
+bad AS (SELECT DISTINCT record_id FROM bare WHERE CASE WHEN name = 'applied_on' THEN NOT regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') OR try_cast(v AS DATE) IS NULL ELSE NOT regexp_full_match(b, '{number}') END)
+SELECT record_id, 'broken_quoting' AS reason FROM cut WHERE broken
+UNION ALL SELECT record_id, 'column_count' FROM cut WHERE NOT broken AND len(names) <> len(fields)
+UNION ALL SELECT record_id, 'invalid_value' FROM bad
+"""
+
+
+ORACLES = {"p1_found": _P1_FOUND, "p2_found": _p2_found()}
