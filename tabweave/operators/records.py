@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabweave.functions.missing import ALL_TOKENS, text_missing
-from tabweave.plans.physical import free_name, small_side
+from tabweave.plans.physical import free_name, pin, small_side
 
 # Separators in the order in which a tie is settled.
 SEPARATORS = (",", ";", "\t", "|")
@@ -85,21 +85,16 @@ def bare_number(c: Column) -> Column:
     return F.regexp_replace(t, "%$", "")
 
 
-def is_number(c: Column) -> Column:
-    return F.rlike(bare_number(c), F.lit(NUMBER))
-
-
-def to_number(c: Column, percent_as_fraction: bool = True) -> Column:
-    """The number written in `c`, negative in parentheses, null where there is none."""
-    x = F.when(is_number(c), F.regexp_replace(bare_number(c), ",", "").try_cast("double"))
-    t = F.btrim(c, F.lit(" \t"))
+def signed_number(bare: Column, written: Column, percent_as_fraction: bool = True) -> Column:
+    """The value of `bare`, a bare_number() of `written`: negative if written in parentheses, a hundredth if in percent; else null."""
+    t = F.btrim(written, F.lit(" \t"))
+    x = F.when(F.rlike(bare, F.lit(NUMBER)), F.replace(bare, F.lit(","), F.lit("")).try_cast("double"))
     x = F.when(t.startswith("("), -x).otherwise(x)
     return F.when(F.rlike(t, F.lit(r"%\)?$")), x / 100).otherwise(x) if percent_as_fraction else x
 
 
 def is_date(c: Column) -> Column:
-    t = F.btrim(c, F.lit(" \t"))
-    return F.rlike(t, F.lit("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")) & F.try_to_timestamp(t, F.lit("yyyy-MM-dd")).isNotNull()
+    return F.rlike(c, F.lit("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")) & F.try_to_timestamp(c, F.lit("yyyy-MM-dd")).isNotNull()
 
 
 def parse_records(
@@ -135,15 +130,19 @@ def parse_records(
         options = {"sep": s, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1"}
         part = F.when((F.col("_sep") == s) & (n_seps(s) < 20_000), F.from_csv(t, schema, options))
         read = part if read is None else F.coalesce(read, part)
-    rows = rows.withColumn("_read", read)
+    rows = pin(rows, "_read", read)
     doubt = F.col("_read").isNull() | F.col("_read._corrupt").isNotNull() | F.rlike(t, F.lit('["\r\n]')) | (F.size("_names") != width)
     rows = rows.withColumn("_cut", _cut(F.when(doubt, t), F.when(doubt, F.col("_sep"))))
     clean = F.array(*[F.coalesce(F.col(f"_read.c{i}"), F.lit("")) for i in range(width)])
-    rows = rows.withColumn("_fields", F.when(F.col("_cut.broken").isNotNull(), F.col("_cut.fields")).otherwise(clean))
-
-    at = lambda name: F.get(F.col("_fields"), F.nullif(F.array_position("_names", name), F.lit(0)).cast("int") - 1)
-    wrong = [F.when(~text_missing(at(n), tokens) & ~is_number(at(n)), F.lit(n)) for n in numeric]
-    wrong += [F.when(~text_missing(at(n), tokens) & ~is_date(at(n)), F.lit(n)) for n in dates]
+    rows = pin(rows, "_fields", F.when(F.col("_cut.broken").isNotNull(), F.col("_cut.fields")).otherwise(clean))
+
+    cell = lambda name: F.get(F.col("_fields"), F.nullif(F.array_position("_names", name), F.lit(0)).cast("int") - 1)
+    rows = pin(rows, "_cells", F.struct(*[cell(n).alias(n) for n in (*numeric, *dates, *strings)]))
+    at = lambda name: F.col(f"_cells.`{name}`")
+    seen = [F.when(~text_missing(at(n), tokens), bare_number(at(n)) if n in numeric else F.btrim(at(n), F.lit(" \t")) if n in dates else at(n)).alias(n) for n in (*numeric, *dates, *strings)]
+    rows = pin(rows, "_seen", F.struct(*seen))
+    have = lambda name: F.col(f"_seen.`{name}`")
+    wrong = [F.when(~F.rlike(have(n), F.lit(NUMBER)), F.lit(n)) for n in numeric] + [F.when(have(n).isNotNull() & ~is_date(have(n)), F.lit(n)) for n in dates]
     rows = rows.withColumn("_wrong", F.coalesce(*wrong, F.lit(None).cast("string")))
     reason = (
         F.when(F.col("_sep").isNull(), HEADLESS)
@@ -151,9 +150,9 @@ def parse_records(
         .when(F.size("_fields") != F.size("_names"), COUNT)
         .when(F.col("_wrong").isNotNull(), VALUE)
     )
-    rows = rows.withColumn("_reason", reason)
+    rows = pin(rows, "_reason", reason)
     ok = F.col("_reason").isNull()
-    typed = {n: to_number(at(n)) for n in numeric} | {n: F.try_to_timestamp(F.btrim(at(n), F.lit(" \t")), F.lit("yyyy-MM-dd")).cast("date") for n in dates} | {n: at(n) for n in strings}
+    typed = {n: signed_number(have(n), at(n)) for n in numeric} | {n: F.try_to_timestamp(have(n), F.lit("yyyy-MM-dd")).cast("date") for n in dates} | {n: have(n) for n in strings}
     out = [F.col("_reason").alias(free_name(df, "reason")), F.when(F.col("_reason") == VALUE, F.col("_wrong")).alias(free_name(df, "reason_column")), F.when(~ok, t).alias(free_name(df, "raw_kept"))]
-    out += [F.when(ok & ~text_missing(at(n), tokens), e).alias(free_name(df, n)) for n, e in typed.items()]
+    out += [F.when(ok, e).alias(free_name(df, n)) for n, e in typed.items()]
     return rows.select(*[F.col(f"`{c}`") for c in df.columns], *out)

@@ -62,3 +62,8 @@ def dense_rank_within(df: DataFrame, keys: list[str], unique: list[Column], name
     sizes = df.groupBy(*keys, part).agg(F.count(F.lit(1)).alias(shift))
     shifts = sizes.withColumn(shift, F.coalesce(F.sum(shift).over(before), F.lit(0)))
     return local.join(shifts, [*keys, part]).withColumn(name, F.col(name) + F.col(shift)).drop(part, order, shift)
+
+
+def pin(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add `value` as a column that is computed once: a generator keeps the optimizer from copying a costly expression into each use."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
