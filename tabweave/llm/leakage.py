@@ -90,8 +90,6 @@ def fewest_edits(a: np.ndarray, b: np.ndarray, p: int, d: int) -> tuple[int, int
     cols = np.arange(lo, hi)[:, None] + d + offs
     inside = (cols >= 0) & (cols < len(b))
     same = inside & (b[np.clip(cols, 0, max(len(b) - 1, 0))] == a[lo:hi, None])
-    if int(same.any(1).sum()) < LEAST - LEAST // RATE:
-        return None
     far = 1_000
     best = np.full((hi - lo, 2 * BAND + 1), far, np.int32)
     for r in range(hi - lo):
@@ -110,6 +108,18 @@ def fewest_edits(a: np.ndarray, b: np.ndarray, p: int, d: int) -> tuple[int, int
     return None
 
 
+def may_qualify(rows: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which candidates can hold a qualifying stretch at all. rows: item words around each candidate (-2 outside the item); at: the
+    document place that belongs to each candidate's first row. An item word that stands nowhere in the band costs at least one edit,
+    so a stretch with a negative sum of 1 a word found and 1 - RATE a word not found cannot qualify."""
+    cols = at[:, None, None] + np.arange(rows.shape[1])[None, :, None] + np.arange(-BAND, BAND + 1)
+    inside = (cols >= 0) & (cols < len(b))
+    found = (inside & (b[np.clip(cols, 0, len(b) - 1)] == rows[:, :, None])).any(2)
+    run = np.where(rows == -2, -10_000, np.where(found, 1, 1 - RATE)).cumsum(1)
+    run = np.concatenate([np.zeros((len(rows), 1), run.dtype), run], axis=1)
+    return ((run[:, LEAST:] - np.minimum.accumulate(run[:, :-LEAST], axis=1)) >= 0).any(1)
+
+
 class ItemIndex:
     """A block of items as word numbers, and the passages' minima with the places they come from."""
 
@@ -133,6 +143,13 @@ class ItemIndex:
         k = join(keys, np.uint64)
         order = np.argsort(k, kind="stable")
         self.keys, self.owner, self.place = k[order], join(owner, np.int64)[order], join(place, np.int64)[order]
+        # All items in one array, REACH places apart, so that words around a candidate are one slice.
+        gap, self.base, flat, n = np.full(REACH, -2, np.int64), {}, [], 0
+        for item, ids in self.words.items():
+            flat += [gap, ids]
+            self.base[item] = n + REACH
+            n += REACH + len(ids)
+        self.flat = np.concatenate([*flat, gap])
 
     def hits(self, doc: int, text: str) -> Iterator[tuple]:
         get = self.vocabulary.get
@@ -152,18 +169,22 @@ class ItemIndex:
         # Neighbouring hits of one diagonal lead to the same stretch: one in LEAST words is tried.
         group = np.ones(len(items), bool)
         group[1:] = (items[1:] != items[:-1]) | (diag[1:] != diag[:-1]) | (places[1:] // WORDS != places[:-1] // WORDS)
+        items, places, diag = items[group], places[group], diag[group]
+        start = np.array([self.base[i] for i in items.tolist()], np.int64) + places - REACH
+        able = np.concatenate([
+            may_qualify(self.flat[start[k : k + 1000, None] + np.arange(2 * REACH)], ids, (places + diag)[k : k + 1000] - REACH)
+            for k in range(0, len(items), 1000)])
         done: set[int] = set()
         least_shared = LEAST - LEAST // RATE * WORDS - WORDS  # of the item's shingles; 24 words with 3 edits keep the fewest
-        for i in np.flatnonzero(group):
+        for i in np.flatnonzero(able):
             item = int(items[i])
             if item in done:
                 continue
             p, d = int(places[i]), int(diag[i])
             mine = self.hashes[item]
             window = mine[max(0, p - REACH) : p + REACH]
-            theirs = h[max(0, p + d - REACH - BAND) : p + d + REACH + BAND]
-            theirs = theirs[ok[max(0, p + d - REACH - BAND) : p + d + REACH + BAND]]
-            shared = int(np.isin(window, theirs).sum())
+            theirs = slice(max(0, p + d - REACH - BAND), max(0, p + d + REACH + BAND))
+            shared = int(np.isin(window, h[theirs][ok[theirs]]).sum())
             if shared < least_shared:
                 continue
             found = fewest_edits(self.words[item], ids, p, d)
