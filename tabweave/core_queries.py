@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabweave.operators.impute import filled_cells, impute
 from tabweave.operators.quality import column_defects, column_profile
 from tabweave.operators.records import SEPARATORS, parse_records
 from tabweave.operators.timestamps import normalize_timestamps
@@ -30,6 +31,19 @@ def p2_parsed(spark: SparkSession, sf: str) -> DataFrame:
     return parse_records(_read(spark, sf, "raw_records")).where(F.col("reason").isNull()).drop("reason", "reason_column", "raw_kept", "raw_text")
 
 
+_FILLED = ["account_age_months", "monthly_charges", "usage_hours", "support_tickets", "contract_type"]
+_DECIMALS = {"account_age_months": 0, "monthly_charges": 2, "usage_hours": 1, "support_tickets": 0}
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    done = impute(_read(spark, sf, "churn_rows"), decimals=_DECIMALS, keep=["row_id"])
+    return filled_cells(done, "row_id", _FILLED).where(F.col("source") == "group").select("row_id", "column_name")
+
+
+def p3_filled(spark: SparkSession, sf: str) -> DataFrame:
+    return impute(_read(spark, sf, "churn_rows"), decimals=_DECIMALS)
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return normalize_timestamps(_read(spark, sf, "stamp_cells"), "raw_value", "zone_name").where(F.col("status") == "read").select("stamp_id", "outcome")
 
@@ -38,7 +52,7 @@ def p5_normalized(spark: SparkSession, sf: str) -> DataFrame:
     return normalize_timestamps(_read(spark, sf, "stamp_cells"), "raw_value", "zone_name")
 
 
-QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p2_found": p2_found, "p2_parsed": p2_parsed, "p5_found": p5_found, "p5_normalized": p5_normalized}
+QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p2_found": p2_found, "p2_parsed": p2_parsed, "p3_found": p3_found, "p3_filled": p3_filled, "p5_found": p5_found, "p5_normalized": p5_normalized}
 
 # The tokens and the reading of missing values are those of tabweave.functions.missing.
 _TOKENS = "('','na','n/a','nan','null','none','nil','undefined','?','#n/a','missing','-')"
@@ -89,7 +103,7 @@ WITH h0 AS (SELECT upload_id, ltrim(raw_text, chr(65279)) AS h FROM raw_records
 h1 AS (SELECT upload_id, h, [{", ".join(f"length(regexp_replace(h, '[^{chr(92) + 't' if x == chr(9) else x}]', '', 'g'))" for x in SEPARATORS)}] AS k FROM h0),
 heads AS (SELECT upload_id, [{", ".join(f"chr({ord(x)})" for x in SEPARATORS)}][list_position(k, list_max(k))] AS sep, h FROM h1),
 named AS (SELECT upload_id, sep, list_transform(string_split(h, sep), lambda x: trim(x, ' "')) AS names FROM heads),
-body AS (SELECT r.record_id, r.raw_text, n.sep, n.names FROM raw_records r JOIN named n USING (upload_id) WHERE r.record_no > 1 AND trim(r.raw_text, ' 	
+body AS (SELECT r.record_id, r.raw_text, n.sep, n.names FROM raw_records r JOIN named n USING (upload_id) WHERE r.record_no > 1 AND trim(r.raw_text, ' 	
 ') <> ''),
 cut AS ({" UNION ALL ".join(parts)}),
 cells AS (SELECT record_id, unnest(names) AS name, trim(unnest(fields), ' 	') AS v FROM cut WHERE NOT broken AND len(names) = len(fields)),
@@ -101,4 +115,10 @@ UNION ALL SELECT record_id, 'invalid_value' FROM bad
 """
 
 
-ORACLES = {"p1_found": _P1_FOUND, "p2_found": _p2_found()}
+_P3_FOUND = f"""
+WITH cells AS ({_CELLS}),
+s AS (SELECT dataset_id, load_no, site_code, column_name, count(x) + count(t) AS n FROM cells WHERE lower(trim(site_code, ' \t')) NOT IN {_TOKENS} AND column_name NOT IN ('account_id', 'plan_code', 'churn_risk') GROUP BY ALL)
+SELECT c.row_id, c.column_name FROM cells c JOIN s USING (dataset_id, load_no, site_code, column_name) WHERE c.x IS NULL AND c.t IS NULL AND s.n > 0
+"""
+
+ORACLES = {"p1_found": _P1_FOUND, "p3_found": _P3_FOUND, "p2_found": _p2_found()}
