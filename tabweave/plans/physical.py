@@ -67,3 +67,8 @@ def dense_rank_within(df: DataFrame, keys: list[str], unique: list[Column], name
 def pin(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add `value` as a column that is computed once: a generator keeps the optimizer from copying a costly expression into each use."""
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def one_row(df: DataFrame) -> Column:
+    """The single row of `df` as a struct, evaluated as a scalar subquery: totals reach every row without a join."""
+    return df.select(F.struct("*")).scalar()

@@ -1 +1,6 @@
-"""Package."""
+"""Reading tables from files, and a small catalog of stored ones."""
+
+from tabweave.sources.catalog import Catalog
+from tabweave.sources.readers import normalize_headers, read_csv, read_json, sniff
+
+__all__ = ["Catalog", "normalize_headers", "read_csv", "read_json", "sniff"]
