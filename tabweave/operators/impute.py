@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabweave.functions.missing import ALL_TOKENS, bare, number_missing, text_missing
-from tabweave.plans.physical import free_name, materialize, small_side
+from tabweave.plans.physical import Veil, free_name, materialize, small_side
 
 SUMS = "kind int, i int, j int, v double"
 #: Rows whose group gives nothing for a field fall back on rows of their dataset in the same span of time, then on their dataset, then on all.
@@ -93,7 +93,7 @@ def complete(shape: Shape, rounds: list[Equations], key: np.ndarray, z: np.ndarr
                 x[gap, 1 + j] = np.clip(x[gap] @ w + deviation * _normal(key[gap], seed + 1000 * r + j), -8, 8)
         for f in range(shape.filled):
             gap = voids[f]
-            if len(gap):
+            if len(gap) and shape.classes[f]:
                 w, offset = eq.labels[f]
                 score = x[gap] @ w + offset + np.log(share[f][gap] + 1e-3)
                 p = np.exp(score - score.max(1, keepdims=True))
@@ -128,7 +128,7 @@ def solve(shape: Shape, sums: dict[int, np.ndarray]) -> Equations:
         kind += k
         w, offset = np.zeros((d, k)), np.zeros(k)
         n = sum(p[0, 0] for p in parts)
-        if n > 2 * d:
+        if k and n > 2 * d:
             rest = np.array([i for i in range(1, d) if not own.start <= i < own.stop])
             means = [p[0, rest] / p[0, 0] if p[0, 0] else np.zeros(len(rest)) for p in parts]
             spread = sum(p[np.ix_(rest, rest)] - p[0, 0] * np.outer(m, m) for p, m in zip(parts, means)) / n + np.eye(len(rest)) * 1e-3
@@ -192,8 +192,7 @@ def _filler(shape: Shape, rounds: list[Equations], seed: int):
         x, at = complete(shape, rounds, key, z, at, share, seed)
         return pd.DataFrame({f"z{j}": x[:, 1 + j] for j in range(shape.numbers)} | {f"a{f}": at[f].astype(np.int32) for f in range(shape.filled)})
 
-    run.__annotations__ = {}
-    return F.pandas_udf(run, out, F.PandasUDFType.SCALAR)
+    return F.pandas_udf(run, out)
 
 
 def _label_list(df: DataFrame, c: Column, tokens: tuple[str, ...], most: int) -> list[tuple[str, str]]:
@@ -231,23 +230,25 @@ def impute(
     empty table gives an empty one. New names that are taken get a trailing underscore.
     """
     decimals = decimals or {}
-    keep = list(df.columns) if keep is None else keep
-    col = lambda c: F.col(f"`{c}`")
+    v = Veil(df)
+    col, kinds = v.col, dict(v.df.dtypes)
+    kept = [F.col(i) for i in v.inner] if keep is None else [col(c) for c in keep]
+    keep = v.names if keep is None else keep
     fields = [*labels, *helpers]
     x = [F.when(~number_missing(col(c).cast("double")), col(c).cast("double")) for c in numbers]
-    quart = df.agg(*[F.percentile_approx(e, [0.25, 0.75], 1000).alias(f"q{i}") for i, e in enumerate(x)]).first() if numbers else []
+    quart = v.df.agg(*[F.percentile_approx(e, [0.25, 0.75], 1000).alias(f"q{i}") for i, e in enumerate(x)]).first() if numbers else []
     fence = []
     for q in quart:
         lo, hi = (q[0], q[1]) if q else (0.0, 0.0)
         fence.append((lo - 3 * (hi - lo), hi + 3 * (hi - lo)) if hi > lo else (-float("inf"), float("inf")))
-    words = [_label_list(df, col(c), tokens, most_labels) for c in fields]
+    words = [_label_list(v.df, col(c), tokens, most_labels) for c in fields]
     spot = [F.nullif(F.array_position(F.array(*[F.lit(k) for k, _ in w]), bare(col(c))), F.lit(0)).cast("int") - 1 if w else F.lit(None).cast("int") for c, w in zip(fields, words)]
     known = F.lit(True)
     for g in group:
-        known = known & ~(text_missing(col(g), tokens) if dict(df.dtypes)[g] == "string" else col(g).isNull())
+        known = known & ~(text_missing(col(g), tokens) if kinds[v.name(g)] == "string" else col(g).isNull())
     cut = [F.least(F.greatest(e, F.lit(lo)), F.lit(hi)) for e, (lo, hi) in zip(x, fence)]
-    clean = df.select(
-        *[col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.xxhash64(col(key)).alias("key"), col(dataset).alias("d"), F.floor(F.unix_seconds(col(time).cast("timestamp")) / (86_400 * span_days)).alias("span"),
+    clean = v.df.select(
+        *[e.alias(f"k{i}") for i, e in enumerate(kept)], F.xxhash64(col(key)).alias("key"), col(dataset).alias("d"), F.floor(F.unix_seconds(col(time).cast("timestamp")) / (86_400 * span_days)).alias("span"),
         *[col(g).alias(f"g{i}") for i, g in enumerate(group)], known.alias("known"), *[e.alias(f"x{i}") for i, e in enumerate(x)],
         *[F.when(F.isnotnull(e), c).alias(f"c{i}") for i, (e, c) in enumerate(zip(x, cut))], *[s.alias(f"s{f}") for f, s in enumerate(spot)],
         *[F.when(~text_missing(col(c), tokens), F.btrim(col(c), F.lit(" \t"))).alias(f"t{f}") for f, c in enumerate(labels)])
@@ -298,15 +299,15 @@ def impute(
     mean, low, high, source, share = [], [], [], [], []
     for i in range(len(numbers)):
         n = total[f"n{i}"] or 0
-        mean.append(F.coalesce(*[F.col(f"{v}mean{i}") for v in "GTD"], F.lit((total[f"sum{i}"] / n) if n else None).cast("double")))
-        low.append(F.coalesce(*[F.col(f"{v}lo{i}") for v in "GTD"], F.lit(total[f"lo{i}"]).cast("double")))
-        high.append(F.coalesce(*[F.col(f"{v}hi{i}") for v in "GTD"], F.lit(total[f"hi{i}"]).cast("double")))
-        source.append(F.coalesce(*[F.when(F.col(f"{v}mean{i}").isNotNull(), s) for v, s in zip("GTD", SOURCES)], F.lit(SOURCES[3] if n else None)))
+        mean.append(F.coalesce(*[F.col(f"{lv}mean{i}") for lv in "GTD"], F.lit((total[f"sum{i}"] / n) if n else None).cast("double")))
+        low.append(F.coalesce(*[F.col(f"{lv}lo{i}") for lv in "GTD"], F.lit(total[f"lo{i}"]).cast("double")))
+        high.append(F.coalesce(*[F.col(f"{lv}hi{i}") for lv in "GTD"], F.lit(total[f"hi{i}"]).cast("double")))
+        source.append(F.coalesce(*[F.when(F.col(f"{lv}mean{i}").isNotNull(), s) for lv, s in zip("GTD", SOURCES)], F.lit(SOURCES[3] if n else None)))
     for f, w in enumerate(words):
         ms = [total[f"m{f}_{k}"] or 0 for k in range(len(w))]
-        share.append([F.coalesce(*[F.col(f"{v}share{f}_{k}") for v in "GTD"], F.lit(m / max(1, sum(ms)))) for k, m in enumerate(ms)])
+        share.append([F.coalesce(*[F.col(f"{lv}share{f}_{k}") for lv in "GTD"], F.lit(m / max(1, sum(ms)))) for k, m in enumerate(ms)])
         if f < len(labels):
-            source.append(F.coalesce(*[F.when(F.col(f"{v}share{f}_0").isNotNull(), s) for v, s in zip("GTD", SOURCES)], F.lit(SOURCES[3] if sum(ms) else None)) if w else F.lit(None).cast("string"))
+            source.append(F.coalesce(*[F.when(F.col(f"{lv}share{f}_0").isNotNull(), s) for lv, s in zip("GTD", SOURCES)], F.lit(SOURCES[3] if sum(ms) else None)) if w else F.lit(None).cast("string"))
     shape = Shape(len(numbers), tuple(map(len, words)), len(labels))
     ready = full.select(
         "*", *[((F.col(f"c{i}") - mean[i]) / scale[i]).alias(f"z{i}") for i in range(len(numbers))], *[e.alias(f"P{f}_{k}") for f, es in enumerate(share) for k, e in enumerate(es)])

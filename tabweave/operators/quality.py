@@ -85,7 +85,8 @@ def _cells(df: DataFrame, lay: Layout, columns: list[str]) -> DataFrame:
             f = F.when(there, bare(c) if name in lay.labels else shape_of(c))
             v = there & (~F.rlike(c, F.lit(f"^(?:{lay.patterns[name]})$")) if name in lay.patterns else F.lit(False))
         parts.append(F.struct(F.lit(i).cast("int").alias("c"), x.alias("x"), b.alias("b"), f.alias("f"), v.alias("v")))
-    return df.select(F.col(f"`{lay.group}`").alias("g"), F.col(f"`{lay.load}`").alias("l"), F.explode(F.array(*parts)).alias("e")).select("g", "l", "e.*")
+    g, l = F.col(f"`{lay.group}`"), F.col(f"`{lay.load}`")
+    return df.where(g.isNotNull() & l.isNotNull()).select(g.alias("g"), l.alias("l"), F.explode(F.array(*parts)).alias("e")).select("g", "l", "e.*")
 
 
 def form_counts(df: DataFrame, lay: Layout = Layout()) -> DataFrame:
@@ -188,7 +189,8 @@ def column_defects(df: DataFrame, stored: DataFrame | None, lay: Layout = Layout
       shape   more than limits.shape of the present codes are not of the load's most frequent shape;
       stored  `stored` (group, load, column_name, null_count, min_value, max_value) has the column with other figures.
     The load before is the next lower load number there is. Repeated rows count as often as they come; a load or column with
-    no present value has no range, drift or shape; an empty table has no defect. Other columns of either table are ignored.
+    no present value has no range, drift or shape; an empty table has no defect. Rows without a group or load belong to none and are
+    left out. Other columns of either table are ignored, whatever their names.
     """
     counts = materialize(form_counts(df, lay).select("g", "l", "c", "b", "f", "n", "lo", "hi"), "forms")
     summary = summaries(counts, lay)
@@ -234,7 +236,7 @@ def column_profile(df: DataFrame, lay: Layout = Layout()) -> DataFrame:
         *[F.when(F.sum("inexact") == 0, F.try_sum(f"s{k}").cast("double")).otherwise(F.sum(f"e{k}")).alias(f"p{k}") for k in (1, 2, 3, 4)],
         F.max(F.struct(F.when(F.col("f").isNotNull(), F.col("n")).alias("n"), F.col("f"))).getField("f").alias("top_form"))
     texts = F.array(*[F.struct(F.lit(i).alias("c"), F.when(~(number_missing(F.col(f"`{n}`").cast("double"), not lay.negative_ok) if n in lay.numbers else text_missing(F.col(f"`{n}`"), lay.tokens)), F.col(f"`{n}`").cast("string")).alias("v")) for i, n in enumerate(lay.columns)])
-    each = df.select(F.col(f"`{lay.group}`").alias("g"), F.col(f"`{lay.load}`").alias("l"), F.explode(texts).alias("e")).select("g", "l", "e.c", "e.v").where(F.col("v").isNotNull())
+    each = df.select(F.col(f"`{lay.group}`").alias("g"), F.col(f"`{lay.load}`").alias("l"), F.explode(texts).alias("e")).select("g", "l", "e.c", "e.v").where("g IS NOT NULL AND l IS NOT NULL AND v IS NOT NULL")
     distinct = each.groupBy("g", "l", "c", "v").agg(F.lit(1).alias("one")).groupBy("g", "l", "c").agg(F.count("one").alias("distinct"))
     t = summary.join(sums, ["g", "l", "c"]).join(distinct, ["g", "l", "c"], "left")
     n = F.col("present").cast("double")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabweave.functions.missing import ALL_TOKENS, text_missing
-from tabweave.plans.physical import free_name, pin, small_side
+from tabweave.plans.physical import Veil, free_name, pin, small_side
 
 # Separators in the order in which a tie is settled.
 SEPARATORS = (",", ";", "\t", "|")
@@ -116,10 +116,11 @@ def parse_records(
     A null text is a blank record. Repeated records come out as often as they come in. Columns of `df` that bear one of the new
     names keep theirs; the new ones get a trailing underscore.
     """
-    t, u = F.col(f"`{text}`"), F.col(f"`{upload}`")
-    first = df.where(F.col(f"`{number}`") == 1).groupBy(u.alias("_u")).agg(F.min(t).alias("_h"))
+    v = Veil(df)
+    t, u, no = v.col(text), v.col(upload), v.col(number)
+    first = v.df.where(no == 1).groupBy(u.alias("_u")).agg(F.min(t).alias("_h"))
     heads = first.select("_u", _head("_h").alias("_head")).select("_u", F.col("_head.sep").alias("_sep"), F.col("_head.names").alias("_names"))
-    body = df.where(F.coalesce(F.col(f"`{number}`") != 1, F.lit(True)) & (F.btrim(t, F.lit(" \t\r\n")) != ""))
+    body = v.df.where(F.coalesce(no != 1, F.lit(True)) & (F.btrim(t, F.lit(" \t\r\n")) != ""))
     width = len(numeric) + len(dates) + len(strings)
     rows = body.join(small_side(heads, heads.count(), 400), u.eqNullSafe(F.col("_u")), "left")
 
@@ -155,4 +156,4 @@ def parse_records(
     typed = {n: signed_number(have(n), at(n)) for n in numeric} | {n: F.try_to_timestamp(have(n), F.lit("yyyy-MM-dd")).cast("date") for n in dates} | {n: have(n) for n in strings}
     out = [F.col("_reason").alias(free_name(df, "reason")), F.when(F.col("_reason") == VALUE, F.col("_wrong")).alias(free_name(df, "reason_column")), F.when(~ok, t).alias(free_name(df, "raw_kept"))]
     out += [F.when(ok, e).alias(free_name(df, n)) for n, e in typed.items()]
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns], *out)
+    return rows.select(*v.back(), *out)

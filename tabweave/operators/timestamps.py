@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.instants import read_instant, to_micros
 from tabweave.functions.missing import ALL_TOKENS, text_missing
-from tabweave.plans.physical import free_name, materialize
+from tabweave.plans.physical import Veil, free_name, materialize
 
 CANONICAL = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{6}Z$"
 DICTIONARY = "raw string, zone string, outcome string, micros bigint"
@@ -55,14 +55,14 @@ def normalize_timestamps(df: DataFrame, raw: str, zone: str | None = None, dicti
     itself) or `read`. Names that `df` already has get a trailing underscore. Every row comes out once, repeated rows and columns
     of any name included; an empty table gives an empty one; texts of any length are read whole. A null or blank zone is UTC.
     """
-    outcome, micros, status = (free_name(df, n) for n in ("outcome", "micros", "status"))
-    c = F.col(f"`{raw}`")
-    z = F.coalesce(F.btrim(F.col(f"`{zone}`"), F.lit(" \t")), F.lit("")) if zone else F.lit("")
-    tagged = df.withColumn(status, F.when(text_missing(c, tokens), "missing").when(is_canonical(c), "canonical").otherwise("read"))
-    k_raw, k_zone = free_name(tagged, "_raw"), free_name(tagged, "_zone")
-    plain = tagged.where(F.col(status) != "read").withColumn(outcome, F.when(F.col(status) == "canonical", c))
-    plain = plain.withColumn(micros, F.when(F.col(status) == "canonical", F.unix_micros(F.try_to_timestamp(c))))
-    todo = tagged.where(F.col(status) == "read").withColumn(k_raw, F.btrim(c, F.lit(" \t"))).withColumn(k_zone, z)
-    pairs = todo.select(F.col(k_raw).alias("raw"), F.col(k_zone).alias("zone")).distinct()
-    words = extend_dictionary(pairs, dictionary).select(F.col("raw").alias(k_raw), F.col("zone").alias(k_zone), F.col("outcome").alias(outcome), F.col("micros").alias(micros))
-    return todo.join(words, [k_raw, k_zone], "left").drop(k_raw, k_zone).unionByName(plain)
+    v = Veil(df)
+    c = v.col(raw)
+    z = F.coalesce(F.btrim(v.col(zone), F.lit(" \t")), F.lit("")) if zone else F.lit("")
+    tagged = v.df.withColumn("status", F.when(text_missing(c, tokens), "missing").when(is_canonical(c), "canonical").otherwise("read"))
+    plain = tagged.where(F.col("status") != "read").withColumn("outcome", F.when(F.col("status") == "canonical", c))
+    plain = plain.withColumn("micros", F.when(F.col("status") == "canonical", F.unix_micros(F.try_to_timestamp(c))))
+    todo = tagged.where(F.col("status") == "read").withColumn("k_raw", F.btrim(c, F.lit(" \t"))).withColumn("k_zone", z)
+    words = extend_dictionary(todo.select(F.col("k_raw").alias("raw"), F.col("k_zone").alias("zone")).distinct(), dictionary)
+    words = words.select(F.col("raw").alias("k_raw"), F.col("zone").alias("k_zone"), "outcome", "micros")
+    done = todo.join(words, ["k_raw", "k_zone"], "left").drop("k_raw", "k_zone").unionByName(plain)
+    return done.select(*v.back(), *[F.col(n).alias(free_name(df, n)) for n in ("outcome", "micros", "status")])

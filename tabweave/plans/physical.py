@@ -48,6 +48,26 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+class Veil:
+    """A table under column names of its own, so that no name of the input can clash with one an operator uses."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.names = list(df.columns)
+        self.inner = [f"in{i}" for i in range(len(self.names))]
+        self.df = df.toDF(*self.inner)
+
+    def name(self, column: str) -> str:
+        """The inner name of `column`: the first of that name, else the first of it ignoring case."""
+        low = [n.lower() for n in self.names]
+        return self.inner[self.names.index(column) if column in self.names else low.index(column.lower())]
+
+    def col(self, column: str) -> Column:
+        return F.col(self.name(column))
+
+    def back(self) -> list[Column]:
+        return [F.col(i).alias(n) for i, n in zip(self.inner, self.names)]
+
+
 def dense_rank_within(df: DataFrame, keys: list[str], unique: list[Column], name: str, spread: int = 32) -> DataFrame:
     """Number the rows of each group 1..n in an order that is random but fixed by the hash of `unique`.
 
