@@ -137,7 +137,7 @@ def quotas(rows: DataFrame, targets: DataFrame, label: str = "churn_risk", strat
     """
     members = _members(rows, label, stratum) if members is None else members
     cells = members.groupBy("dataset_id", "load_no", "label", "stratum").agg(F.count("row_no").alias("n"))
-    share = F.coalesce(F.col("target_share"), F.lit(0.0)).cast("decimal(12,6)") * F.coalesce(F.col("sample_size"), F.lit(0))
+    share = F.coalesce(F.col("target_share").try_cast("decimal(12,6)"), F.lit(0).cast("decimal(12,6)")) * F.coalesce(F.col("sample_size"), F.lit(0))
     asked = targets.where(F.col("request_id").isNotNull()).select(
         "request_id", "dataset_id", "load_no", "class_label", label_of(F.col("class_label")).alias("label"),
         F.greatest(F.coalesce(F.col("min_per_class"), F.lit(0)), F.lit(0)).cast("bigint").alias("floor_"), F.floor(share + F.lit(0.5).cast("decimal(2,1)")).cast("bigint").alias("margin"))

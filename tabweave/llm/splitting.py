@@ -52,7 +52,8 @@ def plan_split(text: str | None, cell_chars: list[int] | None, limit: int, overl
     n = len(starts)
     if n <= limit:
         return None
-    ends = np.cumsum(np.asarray(cell_chars if cell_chars is not None else [], np.int64) + 2)
+    sizes = np.asarray([np.nan if c is None else c for c in (cell_chars if cell_chars is not None else [])], np.float64)
+    ends = np.cumsum((sizes if np.isfinite(sizes).all() else np.zeros(0)).astype(np.int64) + 2)
     if len(ends) == 0 or ends[-1] - 2 != len(points):  # cells that do not add up to the text say nothing
         ends = np.zeros(0, np.int64)
     lines = np.flatnonzero(points == 10) + 1
