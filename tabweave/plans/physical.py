@@ -68,13 +68,15 @@ class Veil:
         return [F.col(i).alias(n) for i, n in zip(self.inner, self.names)]
 
 
-def dense_rank_within(df: DataFrame, keys: list[str], unique: list[Column], name: str, spread: int = 32) -> DataFrame:
+def dense_rank_within(df: DataFrame, keys: list[str], unique: list[Column], name: str, rows: int = 0) -> DataFrame:
     """Number the rows of each group 1..n in an order that is random but fixed by the hash of `unique`.
 
-    A group is cut by that hash into `spread` parts which are numbered apart and shifted by the sizes of the parts before,
-    so that a group holding a third of all rows occupies `spread` tasks instead of one. `unique` must identify a row; `keys`
-    must not be null (rows where one is are left out).
+    Groups are cut by that hash into parts which are numbered apart and shifted by the sizes of the parts before, so that a group
+    holding a third of all rows occupies many tasks instead of one: one part for each million of `rows`, the counted size of the
+    whole table, between 8 and 8,192. The numbers are a permutation for any number of parts. `unique` must identify a row; `keys` must not be null (rows
+    where one is are left out).
     """
+    spread = min(8192, max(8, rows // 1_000_000))
     part, order, shift = free_name(df, "_part"), free_name(df, "_order"), free_name(df, "_shift")
     df = df.withColumn(order, F.xxhash64(*unique)).withColumn(part, F.pmod(F.shiftright(order, 20), F.lit(spread)))
     local = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys, part).orderBy(order, *unique)))
