@@ -198,7 +198,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, per_block: int = ITEMS_PER_B
 
     docs: doc_id, text; items: item_id, prompt. item_word is where in the prompt a qualifying stretch of `words` words begins (from
     0), shared_shingles how many of the item's five-word shingles stand in that part of the document. Every item that qualifies
-    counts, also one with the words of another. Items of under 20 words, null and empty texts give nothing; a pair comes out once,
+    counts, also one with the words of another. A word dropped at an end is an edit like any other: 18 words as they stand qualify as 20
+    with two dropped. Items of under 20 words, null and empty texts give nothing; a pair comes out once,
     however often its rows are repeated; other columns are ignored.
     """
     spark = docs.sparkSession

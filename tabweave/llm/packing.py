@@ -137,7 +137,7 @@ def pack_documents(docs: DataFrame, limits: DataFrame, fractions: tuple[float, .
     packed = items.where(loose)
     counts = packed.groupBy("source", F.col("part_tokens").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.max("capacity").alias("capacity"))
     ranges = materialize(counts.groupBy("source").applyInPandas(_pack_source(fractions), RANGES), "ranges")
-    ranked = dense_rank_within(packed.withColumn("size", F.col("part_tokens")), ["source", "size"], [F.col("doc_id")], "rank")
+    ranked = dense_rank_within(packed.withColumn("size", F.col("part_tokens")), ["source", "size"], [F.col("doc_id")], "rank", sized.count())
     placed = ranked.join(small_side(ranges, ranges.count(), 96), ["source", "size"]).where(F.col("rank").between(F.col("rank_from"), F.col("rank_to")))
     names = ["doc_id", "source", "tokens", "capacity", "part", "parts", "part_tokens"]
     number = F.col("first_bin") + F.floor((F.col("rank") - F.col("rank_from")) / F.col("per_bin"))

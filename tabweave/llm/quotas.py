@@ -155,7 +155,7 @@ def draw_sample(rows: DataFrame, targets: DataFrame, label: str = "churn_risk",
     start = F.pmod(F.xxhash64(F.lit(seed), "request_id", "label", "stratum"), F.col("cell_rows"))
     wanted = wanted.withColumn("start", start).withColumn("step", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("quota") - 1)))
     wanted = wanted.select("request_id", "class_label", *keys, (F.pmod(F.col("start") + F.col("step"), F.col("cell_rows")) + 1).alias("place"))
-    ranked = dense_rank_within(members, keys, [F.lit(seed), F.col("row_no")], "place")
+    ranked = dense_rank_within(members, keys, [F.lit(seed), F.col("row_no")], "place", members.count())
     return wanted.join(ranked, [*keys, "place"]).select("request_id", "class_label", "dataset_id", "load_no", "row_no", "row_id")
 
 
