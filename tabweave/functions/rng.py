@@ -29,12 +29,12 @@ def _horner(x: Column, coefficients: list[float]) -> Column:
 
 
 # Coefficients of the Abramowitz and Stegun approximation of the normal distribution function.
-_TAIL = [1.330274, -1.821256, 1.781478, -0.3565638, 0.3193815]
+_TAIL = [0.3193815, -0.3565638, 1.781478, -1.821256, 1.330274]
 
 
 def normal_cdf(x: Column) -> Column:
     t = 1 / (1 + 0.2316419 * F.abs(x))
-    p = 0.3989422804014327 * F.exp(-x * x / 2) * t * _horner(t, _TAIL)
+    p = 0.3989422804014327 * F.exp(-x * x / 2) * t * _horner(t, _TAIL[::-1])
     return F.when(x >= 0, 1 - p).otherwise(p)
 
 

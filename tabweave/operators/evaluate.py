@@ -181,5 +181,25 @@ def report(verdict: DataFrame, analysis: DataFrame) -> str:
     return "\n".join(lines)
 
 
+def compare(baseline: DataFrame, other: DataFrame) -> DataFrame:
+    """One row: differences of two one-row summary_metrics() and the change of F1 in percent."""
+    b = one_row(baseline)
+    t = other.select(*[F.round(F.col(k) - b[k], 4).alias(f"delta_{k}") for k in ("accuracy", "precision", "recall", "f1")], b["f1"].alias("base"))
+    return t.select("delta_accuracy", "delta_precision", "delta_recall", "delta_f1", F.round(F.coalesce(100 * F.col("delta_f1") / F.nullif(F.col("base"), F.lit(0.0)), F.lit(0.0)), 1).alias("f1_change_pct"))
+
+
+def script(table: str, label: str, numbers: list[str], kind: str, strategy: str, seed: int = 42) -> str:
+    """A standalone PySpark program that repeats one evaluation."""
+    return "\n".join([
+        "from tabweave import build_session", "from tabweave.operators import augment, evaluate", "", "spark = build_session()", f"df = spark.read.parquet({table!r})",
+        f"numbers = {numbers!r}", f"strategies = {{'baseline': None, {strategy!r}: lambda x, s: augment.{strategy}(x, {label!r}, 'id', numbers, seed=s)}}",
+        f"runs = evaluate.controlled_evaluation(df, 'id', {label!r}, numbers, strategies, kind={kind!r}, seed={seed})", "evaluate.recommendations(runs).show()", ""])
+
+
+def matrix_product(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(i, j, value) of the product of two matrices in the same form."""
+    return a.join(b.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("value").alias("other")), "j").groupBy("i", F.col("k").alias("j")).agg(F.sum(F.col("value") * F.col("other")).alias("value"))
+
+
 def matmul(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.asarray(a, float) @ np.asarray(b, float)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.errors import AnalysisException
@@ -57,3 +58,23 @@ class Catalog:
         t = t.where(F.col("owner") == owner) if owner is not None else t
         t = t.where(F.lower("name").contains(search.lower())) if search else t
         return page(t, [F.desc("created_at"), "id"], offset, limit)
+
+
+class ActionLog:
+    """An append-only table of who did what to which resource; `note` never fails the action it notes."""
+
+    SCHEMA = "actor string, action string, resource string, status string, details string, at timestamp"
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def note(self, actor: str, action: str, resource: str = "", status: str = "ok", details: dict | None = None) -> bool:
+        values = {"actor": actor, "action": action, "resource": resource, "status": status, "details": json.dumps(details or {})}
+        try:
+            self.spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()], F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(self.path)
+        except Exception:
+            return False
+        return True
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)

@@ -73,12 +73,12 @@ def sql_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.select(F.concat(F.lit("("), F.concat_ws(", ", *[sql_literal(F.col(f"`{c}`")) for c in columns or df.columns]), F.lit(")")).alias("values_text"))
 
 
-def sql_inserts(df: DataFrame, table: str, key: str, batch: int = 100, columns: list[str] | None = None) -> DataFrame:
-    """(batch, statement): multi-row INSERTs of up to `batch` rows (1..1000). Rows are batched within blocks of key hashes, so no
+def sql_inserts(df: DataFrame, table: str, key: str, batch: int = 100, columns: list[str] | None = None, blocks: int = 256) -> DataFrame:
+    """(batch, statement): multi-row INSERTs of up to `batch` rows (1..1000). Rows are batched within `blocks` of key hashes, so no
     task sees the whole table; every row is in one statement."""
     columns, size = columns or df.columns, min(1000, max(1, batch))
     names = ", ".join(f'"{c}"' for c in safe_columns(columns))
-    block = F.pmod(F.xxhash64(F.col(key)), F.lit(256))
+    block = F.pmod(F.xxhash64(F.col(key)), F.lit(blocks))
     rows = df.select(block.alias("block"), F.col(key).alias("k"), F.concat(F.lit("  ("), F.concat_ws(", ", *[sql_literal(F.col(f"`{c}`")) for c in columns]), F.lit(")")).alias("v"))
     numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy("block").orderBy("k", "v")))
     grouped = numbered.groupBy("block", F.floor((F.col("i") - 1) / size).alias("part")).agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("vs"))

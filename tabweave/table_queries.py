@@ -609,6 +609,64 @@ def task_type(t):
     return evaluate.task_type(t("orders"), "o_totalprice")
 
 
+@query("SELECT l_linenumber, round(x, 6) AS rank FROM (SELECT l_linenumber, avg(k) AS x FROM (SELECT o_orderkey % 7 AS l_linenumber, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS k FROM orders) GROUP BY 1)")
+def ordinal_ranks(t):
+    r = relations.ordinal_ranks(t("orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"], "o_orderkey")
+    return r.groupBy((F.col("o_orderkey") % 7).alias("l_linenumber")).agg(F.round(F.avg("rank"), 6).alias("rank"))
+
+
+@query("SELECT c_mktsegment AS value, round(sum(n) OVER (ORDER BY c_mktsegment) / sum(n) OVER (), 9) AS share FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1)")
+def cumulative_shares(t):
+    table = synth._category_tables(t("customer"), ["c_mktsegment"])["c_mktsegment"]
+    return t("customer").sparkSession.createDataFrame(table, "value string, share double").select("value", F.round("share", 9).alias("share"))
+
+
+@query("SELECT row_id, account_id FROM churn_rows ORDER BY row_id LIMIT 20 OFFSET 40")
+def preview_page(t):
+    from tabweave.sources.catalog import page
+
+    return page(t("churn_rows").select("row_id", "account_id"), ["row_id"], 40, 20)
+
+
+@query("SELECT record_id FROM raw_records WHERE trim(raw_text, ' \t\r\n') <> ''")
+def drop_blank_rows(t):
+    d = t("raw_records").withColumn("raw_text", F.btrim("raw_text", F.lit(" \t\r\n")))
+    return clean.drop_blank_rows(d, ["raw_text"]).select("record_id")
+
+
+@query("WITH m AS (SELECT n_nationkey % 5 AS i, n_regionkey AS j, CAST(sum(n_nationkey) AS DOUBLE) AS v FROM nation GROUP BY ALL) SELECT a.i, b.j, sum(a.v * b.v) AS value FROM m a JOIN m b ON a.j = b.i GROUP BY ALL")
+def matrix_product(t):
+    m = t("nation").groupBy((F.col("n_nationkey") % 5).alias("i"), F.col("n_regionkey").alias("j")).agg(F.sum("n_nationkey").cast("double").alias("value"))
+    return evaluate.matrix_product(m, m)
+
+
+def _model(t, kind: str) -> DataFrame:
+    from tabweave.sources.samples import churn_sample
+
+    s = evaluate.stratified_split(churn_sample(t("nation").sparkSession, 2000), "churn_risk", "id")
+    return evaluate.summary_metrics(evaluate.fit_predict(s.where("NOT is_test"), s.where("is_test"), "id", "churn_risk", CHURN, kind))
+
+
+@query()
+def model_tree(t):
+    return _model(t, "decision_tree")
+
+
+@query()
+def model_logistic(t):
+    return _model(t, "logistic_regression")
+
+
+@query()
+def model_forest(t):
+    return _model(t, "random_forest")
+
+
+@query()
+def model_knn(t):
+    return _model(t, "knn")
+
+
 # Export, sets, paging, stream --------------------------------------------------------------------------------------------
 
 

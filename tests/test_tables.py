@@ -124,3 +124,24 @@ def test_catalog_and_names(spark):
     assert [r.id for r in c.list().collect()] == ["two"]
     assert safe_table("__My Table!") == "my_table_" and safe_columns(["1st", "", "A b"]) == ["col_1st", "col_2", "a_b"]
     assert '"id" BIGINT' in sql_schema(spark.range(5).withColumn("id", F.col("id") + 5), "t")
+
+
+def test_models_on_the_sample(spark):
+    from tabweave.sources import benchmark_table, churn_sample
+
+    d = churn_sample(spark, 1500)
+    assert {r.label: r.n for r in describe.class_counts(d, "churn_risk").collect()}["Low"] > 900 and d.where("monthly_charges = 245").count() == 1
+    s = evaluate.stratified_split(d, "churn_risk", "id")
+    numbers = ["account_age_months", "monthly_charges", "usage_hours", "support_tickets"]
+    for kind in ("decision_tree", "logistic_regression", "random_forest", "knn"):
+        m = evaluate.summary_metrics(evaluate.fit_predict(s.where("NOT is_test"), s.where("is_test"), "id", "churn_risk", numbers, kind)).first()
+        assert m.accuracy > 0.8, kind
+    assert {r.label: r.n for r in describe.class_counts(benchmark_table(spark), "churn_risk").collect()} == {"High": 28, "Medium": 56, "Low": 196}
+
+
+def test_action_log_and_script(spark):
+    from tabweave.sources import ActionLog
+
+    log = ActionLog(spark, tempfile.mkdtemp() + "/log")
+    assert log.note("me", "upload", "x", details={"rows": 3}) and log.read().first().details == '{"rows": 3}'
+    compile(evaluate.script("t.parquet", "y", ["a"], "decision_tree", "oversample"), "s", "exec")
