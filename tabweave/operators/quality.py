@@ -122,15 +122,15 @@ def summaries(counts: DataFrame, lay: Layout = Layout()) -> DataFrame:
 
 
 def _pairs(counts: DataFrame, summary: DataFrame) -> DataFrame:
-    """(g, l, c, b, f): n1 of the load itself and n0 of the load before, with both totals; loads without one before are left out."""
+    """(g, l, c, b, f): l0, the load before, n1 of the load itself and n0 of the load before, with both totals; loads without one before are left out."""
     s = summary.select("g", "l", "c", "l0", "next_l", F.col("present").alias("m"), F.col("present0").alias("m0"), F.col("next_present").alias("m2"))
     joined = counts.where(F.col("b").isNotNull() | F.col("f").isNotNull()).select("g", "l", "c", "b", "f", "n", "lo", "hi").join(s, ["g", "l", "c"])
     zero = F.lit(0).cast("bigint")
-    own = F.struct(F.col("l").alias("l"), F.col("n").alias("n1"), zero.alias("n0"), F.col("m").alias("m1"), F.col("m0").alias("m0"))
-    next_ = F.struct(F.col("next_l").alias("l"), zero.alias("n1"), F.col("n").alias("n0"), F.col("m2").alias("m1"), F.col("m").alias("m0"))
+    own = F.struct(F.col("l").alias("l"), F.col("l0").alias("l0"), F.col("n").alias("n1"), zero.alias("n0"), F.col("m").alias("m1"), F.col("m0").alias("m0"))
+    next_ = F.struct(F.col("next_l").alias("l"), F.col("l").alias("l0"), zero.alias("n1"), F.col("n").alias("n0"), F.col("m2").alias("m1"), F.col("m").alias("m0"))
     roles = F.filter(F.array(F.when(F.col("l0").isNotNull(), own), F.when(F.col("next_l").isNotNull(), next_)), lambda r: r.isNotNull())
     return joined.select("g", "c", "b", "f", "lo", "hi", F.explode(roles).alias("r")).groupBy("g", F.col("r.l").alias("l"), "c", "b", "f").agg(
-        F.sum("r.n1").alias("n1"), F.sum("r.n0").alias("n0"), F.max("r.m1").alias("m1"), F.max("r.m0").alias("m0"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        F.max("r.l0").alias("l0"), F.sum("r.n1").alias("n1"), F.sum("r.n0").alias("n0"), F.max("r.m1").alias("m1"), F.max("r.m0").alias("m0"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def label_distances(pairs: DataFrame) -> DataFrame:
@@ -160,10 +160,9 @@ def drift_distances(df: DataFrame, pairs: DataFrame, lay: Layout, limit: float |
     coarse = b.groupBy("g", "l", "c").agg(F.max("d").alias("distance"))
     open_ = F.col("top") > F.col("best") if limit is None else (F.col("best") <= limit) & (F.col("top") > limit)
     todo = b.where(open_)
-    s = todo.select("g", "l", "c", "b", "m1", "m0", (F.col("c1") - F.col("n1")).alias("a1"), (F.col("c0") - F.col("n0")).alias("a0"), "l0")
-    own, before = s.withColumn("at", F.col("l")), s.withColumn("at", F.col("l0"))
-    asked = own.withColumn("one", F.lit(1)).unionByName(before.withColumn("one", F.lit(0)))
-    asked = asked.select(F.col("g").alias("qg"), F.col("at").alias("ql"), F.col("c").alias("qc"), F.col("b").alias("qb"), "l", "m1", "m0", "a1", "a0", "one")
+    roles = F.explode(F.array(F.struct(F.col("l").alias("at"), F.lit(1).alias("one")), F.struct(F.col("l0").alias("at"), F.lit(0).alias("one"))))
+    s = todo.select("g", "l", "c", "b", "m1", "m0", (F.col("c1") - F.col("n1")).alias("a1"), (F.col("c0") - F.col("n0")).alias("a0"), roles.alias("r"))
+    asked = s.select(F.col("g").alias("qg"), F.col("r.at").alias("ql"), F.col("c").alias("qc"), F.col("b").alias("qb"), "l", "m1", "m0", "a1", "a0", F.col("r.one").alias("one"))
     cells = _cells(df, lay, list(lay.numbers)).where(F.col("b").isNotNull()).select(F.col("g"), F.col("l").alias("load"), "c", "b", "x")
     hit = cells.join(asked, (F.col("g") == F.col("qg")) & (F.col("load") == F.col("ql")) & (F.col("c") == F.col("qc")) & (F.col("b") == F.col("qb")))
     values = hit.groupBy("g", "l", "c", "b", "x").agg(
@@ -193,8 +192,8 @@ def column_defects(df: DataFrame, stored: DataFrame | None, lay: Layout = Layout
     left out. Other columns of either table are ignored, whatever their names.
     """
     counts = materialize(form_counts(df, lay).select("g", "l", "c", "b", "f", "n", "lo", "hi"), "forms")
-    summary = summaries(counts, lay)
-    pairs = _pairs(counts, summary).join(summary.select("g", "l", "c", "l0"), ["g", "l", "c"])
+    summary = materialize(summaries(counts, lay), "summaries")
+    pairs = materialize(_pairs(counts, summary), "pairs")
     found = []
     share = lambda r, p: (r - p) / r
     moved = F.abs(share(F.col("rows"), F.col("present")) - share(F.col("rows0"), F.col("present0")))

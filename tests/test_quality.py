@@ -48,7 +48,7 @@ def test_drift_is_exact_at_any_limit(spark):
     df, lay = spark.createDataFrame(rows, COLS), Layout()
     counts = form_counts(df, lay).select("g", "l", "c", "b", "f", "n", "lo", "hi").cache()
     s = summaries(counts, lay)
-    p = pairs_of(counts, s).join(s.select("g", "l", "c", "l0"), ["g", "l", "c"])
+    p = pairs_of(counts, s)
     a, b = sorted(x[5] for x in rows if x[2] == 1), sorted(x[5] for x in rows if x[2] == 2)
     true = max(abs(sum(x <= v for x in a) / len(a) - sum(x <= v for x in b) / len(b)) for v in a + b)
     own = {x.c: x.distance for x in drift_distances(df, p, lay, None).collect()}
