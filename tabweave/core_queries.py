@@ -52,7 +52,12 @@ def p5_normalized(spark: SparkSession, sf: str) -> DataFrame:
     return normalize_timestamps(_read(spark, sf, "stamp_cells"), "raw_value", "zone_name")
 
 
-QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p2_found": p2_found, "p2_parsed": p2_parsed, "p3_found": p3_found, "p3_filled": p3_filled, "p5_found": p5_found, "p5_normalized": p5_normalized}
+def p1_moments(spark: SparkSession, sf: str) -> DataFrame:
+    figures = [F.round(c, 6).alias(c) for c in ("min", "max", "mean", "std")]
+    return p1_profile(spark, sf).select("dataset_id", "load_no", "column_name", "rows", "missing", "distinct", *figures)
+
+
+QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p1_moments": p1_moments, "p2_found": p2_found, "p2_parsed": p2_parsed, "p3_found": p3_found, "p3_filled": p3_filled, "p5_found": p5_found, "p5_normalized": p5_normalized}
 
 # The tokens and the reading of missing values are those of tabweave.functions.missing.
 _TOKENS = "('','na','n/a','nan','null','none','nil','undefined','?','#n/a','missing','-')"
@@ -115,10 +120,16 @@ UNION ALL SELECT record_id, 'invalid_value' FROM bad
 """
 
 
+_P1_MOMENTS = f"""
+WITH cells AS ({_CELLS})
+SELECT dataset_id, load_no, column_name, count(*) AS rows, count(*) - count(x) - count(t) AS missing, count(DISTINCT x) + count(DISTINCT t) AS "distinct",
+  round(min(x), 6) AS min, round(max(x), 6) AS max, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std FROM cells GROUP BY ALL
+"""
+
 _P3_FOUND = f"""
 WITH cells AS ({_CELLS}),
 s AS (SELECT dataset_id, load_no, site_code, column_name, count(x) + count(t) AS n FROM cells WHERE lower(trim(site_code, ' \t')) NOT IN {_TOKENS} AND column_name NOT IN ('account_id', 'plan_code', 'churn_risk') GROUP BY ALL)
 SELECT c.row_id, c.column_name FROM cells c JOIN s USING (dataset_id, load_no, site_code, column_name) WHERE c.x IS NULL AND c.t IS NULL AND s.n > 0
 """
 
-ORACLES = {"p1_found": _P1_FOUND, "p3_found": _P3_FOUND, "p2_found": _p2_found()}
+ORACLES = {"p1_found": _P1_FOUND, "p1_moments": _P1_MOMENTS, "p3_found": _P3_FOUND, "p2_found": _p2_found()}

@@ -67,7 +67,7 @@ def bucket_of(x: Column, resolution: int) -> Column:
 
 
 def _cells(df: DataFrame, lay: Layout, columns: list[str]) -> DataFrame:
-    """One row a cell: g, l, c (place in the layout), x (number), b (bucket), f (form), v (violates its pattern). All null where missing."""
+    """One row a cell: g, l, c (place in the layout), x (number), b (bucket), f (form). All null where missing."""
     parts = []
     for i, name in enumerate(lay.columns):
         if name not in columns:
@@ -77,33 +77,52 @@ def _cells(df: DataFrame, lay: Layout, columns: list[str]) -> DataFrame:
             x = c.cast("double")
             x = F.when(~number_missing(x, not lay.negative_ok), x + F.lit(0.0))
             b, f = bucket_of(x, lay.resolution), F.lit(None).cast("string")
-            v = ~F.rlike(c.cast("string"), F.lit(f"^(?:{lay.patterns[name]})$")) if name in lay.patterns else F.lit(False)
-            v = v & x.isNotNull()
         else:
             there = ~text_missing(c, lay.tokens)
             x, b = F.lit(None).cast("double"), F.lit(None).cast("bigint")
             f = F.when(there, bare(c) if name in lay.labels else shape_of(c))
-            v = there & (~F.rlike(c, F.lit(f"^(?:{lay.patterns[name]})$")) if name in lay.patterns else F.lit(False))
-        parts.append(F.struct(F.lit(i).cast("int").alias("c"), x.alias("x"), b.alias("b"), f.alias("f"), v.alias("v")))
+        parts.append(F.struct(F.lit(i).cast("int").alias("c"), x.alias("x"), b.alias("b"), f.alias("f")))
     g, l = F.col(f"`{lay.group}`"), F.col(f"`{lay.load}`")
     return df.where(g.isNotNull() & l.isNotNull()).select(g.alias("g"), l.alias("l"), F.explode(F.array(*parts)).alias("e")).select("g", "l", "e.*")
 
 
 def form_counts(df: DataFrame, lay: Layout = Layout()) -> DataFrame:
-    """(g, l, c, b, f): n, lo, hi, violations and the power sums s1..s4, the one table made from rows.
+    """(g, l, c, b, f): n, lo, hi, the one table made from rows."""
+    return _cells(df, lay, lay.columns).groupBy("g", "l", "c", "b", "f").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
 
-    The sums are decimals at `scale` digits, exact and the same in any order of merging; e1..e4 are the same sums in floating
-    point, for values whose powers pass 38 digits (the decimal is then null).
+
+def value_sums(df: DataFrame, lay: Layout = Layout()) -> DataFrame:
+    """(g, l, c): distinct present values, violations of patterns, power sums p1..p4, and inexact, the values they are not exact for.
+
+    Values are counted first, so patterns and powers are worked out once a distinct value. A number is read as a whole number of
+    10^-scale; the sums of its powers are whole decimals, exact and the same in any order of merging. Where a value has more digits, is
+    100,000 or more, or a sum passes 38 digits, the sums of that column and load are floating ones.
     """
-    d = F.col("x").cast(f"decimal(20,{lay.scale})")
-    q = F.when(F.abs(F.col("x")) < 1e6, d).cast(f"decimal(12,{lay.scale})")
-    power = {1: q, 2: q * q, 3: q * q * q}
-    exact = [F.try_sum(p.cast(f"decimal(38,{min(lay.scale * k, 12)})")).alias(f"s{k}") for k, p in power.items()]
-    exact.append(F.try_sum((power[2] * power[2]).cast("decimal(38,12)")).alias("s4"))
-    loose = [F.sum(F.pow(F.col("x"), F.lit(float(k)))).alias(f"e{k}") for k in (1, 2, 3, 4)]
-    unfit = F.count_if(F.col("x").isNotNull() & (q.isNull() | (q.cast("double") != F.col("x")))).alias("inexact")
-    return _cells(df, lay, lay.columns).groupBy("g", "l", "c", "b", "f").agg(
-        F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count_if("v").alias("violations"), unfit, *exact, *loose)
+    parts = []
+    for i, name in enumerate(lay.columns):
+        c = F.col(f"`{name}`")
+        none = F.lit(None)
+        if name in lay.numbers:
+            x = c.cast("double")
+            pair = F.when(~number_missing(x, not lay.negative_ok), x + F.lit(0.0)), none.cast("string")
+        else:
+            pair = none.cast("double"), F.when(~text_missing(c, lay.tokens), c.cast("string"))
+        parts.append(F.struct(F.lit(i).alias("c"), pair[0].alias("x"), pair[1].alias("v")))
+    g, l = F.col(f"`{lay.group}`"), F.col(f"`{lay.load}`")
+    each = df.where(g.isNotNull() & l.isNotNull()).select(g.alias("g"), l.alias("l"), F.explode(F.array(*parts)).alias("e")).select("g", "l", "e.*")
+    each = each.where("x IS NOT NULL OR v IS NOT NULL").groupBy("g", "l", "c", "x", "v").agg(F.count(F.lit(1)).alias("n"))
+    wrong = F.lit(False)
+    for name, pattern in lay.patterns.items():
+        wrong = wrong | ((F.col("c") == lay.columns.index(name)) & ~F.rlike(F.coalesce("v", F.col("x").cast("string")), F.lit(f"^(?:{pattern})$")))
+    x, unit = F.col("x"), 10.0**lay.scale
+    q = F.when(F.abs(x) < 1e5, F.round(x * unit)).cast("decimal(10,0)")
+    each = each.withColumn("q", q).withColumn("odd", x.isNotNull() & (F.col("q").isNull() | (F.col("q").cast("double") / unit != x)))
+    q, n = F.col("q"), F.col("n").cast("decimal(18,0)")
+    power, loose = {1: q, 2: q * q, 3: q * q * q, 4: q * q * q * q}, {1: x, 2: x * x, 3: x * x * x, 4: x * x * x * x}
+    sums = each.groupBy("g", "l", "c").agg(
+        F.count(F.lit(1)).alias("distinct"), F.sum(F.when(wrong, F.col("n")).otherwise(0)).alias("violations"), F.sum(F.when(F.col("odd"), F.col("n")).otherwise(0)).alias("inexact"),
+        *[F.try_sum(F.try_multiply(p, n)).alias(f"s{k}") for k, p in power.items()], *[F.sum(p * F.col("n")).alias(f"e{k}") for k, p in loose.items()])
+    return sums.select("g", "l", "c", "distinct", "violations", "inexact", *[F.when(F.col("inexact") == 0, F.coalesce(F.col(f"s{k}").cast("double") / unit**k, F.col(f"e{k}"))).otherwise(F.col(f"e{k}")).alias(f"p{k}") for k in power])
 
 
 def _with_neighbours(summary: DataFrame) -> DataFrame:
@@ -191,7 +210,7 @@ def column_defects(df: DataFrame, stored: DataFrame | None, lay: Layout = Layout
     no present value has no range, drift or shape; an empty table has no defect. Rows without a group or load belong to none and are
     left out. Other columns of either table are ignored, whatever their names.
     """
-    counts = materialize(form_counts(df, lay).select("g", "l", "c", "b", "f", "n", "lo", "hi"), "forms")
+    counts = materialize(form_counts(df, lay), "forms")
     summary = materialize(summaries(counts, lay), "summaries")
     pairs = materialize(_pairs(counts, summary), "pairs")
     found = []
@@ -229,18 +248,11 @@ def column_profile(df: DataFrame, lay: Layout = Layout()) -> DataFrame:
     too few values to exist (deviation under 2, skewness under 3, kurtosis under 4 values) or no load comes before.
     """
     counts = materialize(form_counts(df, lay), "forms")
-    summary = summaries(counts, lay)
-    sums = counts.groupBy("g", "l", "c").agg(
-        F.sum("violations").alias("violations"), F.sum("inexact").alias("inexact"),
-        *[F.when(F.sum("inexact") == 0, F.try_sum(f"s{k}").cast("double")).otherwise(F.sum(f"e{k}")).alias(f"p{k}") for k in (1, 2, 3, 4)],
-        F.max(F.struct(F.when(F.col("f").isNotNull(), F.col("n")).alias("n"), F.col("f"))).getField("f").alias("top_form"))
-    texts = F.array(*[F.struct(F.lit(i).alias("c"), F.when(~(number_missing(F.col(f"`{n}`").cast("double"), not lay.negative_ok) if n in lay.numbers else text_missing(F.col(f"`{n}`"), lay.tokens)), F.col(f"`{n}`").cast("string")).alias("v")) for i, n in enumerate(lay.columns)])
-    each = df.select(F.col(f"`{lay.group}`").alias("g"), F.col(f"`{lay.load}`").alias("l"), F.explode(texts).alias("e")).select("g", "l", "e.c", "e.v").where("g IS NOT NULL AND l IS NOT NULL AND v IS NOT NULL")
-    distinct = each.groupBy("g", "l", "c", "v").agg(F.lit(1).alias("one")).groupBy("g", "l", "c").agg(F.count("one").alias("distinct"))
-    t = summary.join(sums, ["g", "l", "c"]).join(distinct, ["g", "l", "c"], "left")
+    top = counts.where(F.col("f").isNotNull()).groupBy("g", "l", "c").agg(F.max(F.struct("n", "f"))["f"].alias("top_form"))
+    t = summaries(counts, lay).join(value_sums(df, lay), ["g", "l", "c"], "left").join(top, ["g", "l", "c"], "left")
     n = F.col("present").cast("double")
     mean = F.col("p1") / F.nullif(n, F.lit(0.0))
-    m2 = F.greatest(F.col("p2") - n * mean * mean, F.lit(0.0))
+    m2 = F.when(F.col("p1").isNotNull(), F.greatest(F.col("p2") - n * mean * mean, F.lit(0.0)))
     m3 = F.col("p3") - 3 * mean * F.col("p2") + 2 * n * mean * mean * mean
     m4 = F.col("p4") - 4 * mean * F.col("p3") + 6 * mean * mean * F.col("p2") - 3 * n * F.pow(mean, F.lit(4.0))
     t = t.withColumn("mean", mean).withColumn("std", F.when(n >= 2, F.sqrt(m2 / (n - 1))))
@@ -255,4 +267,4 @@ def column_profile(df: DataFrame, lay: Layout = Layout()) -> DataFrame:
     return t.select(
         F.col("g").alias(lay.group), F.col("l").alias(lay.load), _named(lay, F.col("c")).alias("column_name"), "rows", (F.col("rows") - F.col("present")).alias("missing"),
         gap.alias("missing_share"), (gap - (F.col("rows0") - F.col("present0")) / F.col("rows0")).alias("missing_shift"), F.coalesce("distinct", F.lit(0)).alias("distinct"),
-        F.col("lo").alias("min"), F.col("hi").alias("max"), "mean", "std", "skew", "kurtosis", "mean_shift", "top_form", F.col("top").alias("top_count"), "violations", "inexact")
+        F.col("lo").alias("min"), F.col("hi").alias("max"), "mean", "std", "skew", "kurtosis", "mean_shift", "top_form", F.col("top").alias("top_count"), F.coalesce("violations", F.lit(0)).alias("violations"), F.coalesce("inexact", F.lit(0)).alias("inexact"))

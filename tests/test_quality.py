@@ -62,6 +62,8 @@ def test_profile_moments(spark):
     values = [10, 12, 14, 15, 18, 20, 22, 100]
     rows = [row(i, 1, age=float(v)) for i, v in enumerate(values)]
     p = {r.column_name: r for r in column_profile(spark.createDataFrame(rows, COLS)).collect()}["account_age_months"]
+    text = column_profile(spark.createDataFrame(rows, COLS)).where("column_name = 'plan_code'").first()
+    assert (text["mean"], text["std"], text["skew"], text.distinct, text.top_form) == (None, None, None, 1, "A9")
     assert (p.rows, p.missing, p.distinct, p.min, p.max, p.inexact) == (8, 0, 8, 10.0, 100.0, 0)
     assert abs(p["mean"] - 26.375) < 1e-9 and abs(p["std"] - stdev(values)) < 1e-9 and p["skew"] > 2
 
