@@ -53,11 +53,12 @@ def normalize_timestamps(df: DataFrame, raw: str, zone: str | None = None, dicti
 
     status is `missing` (null or a missing token: outcome and micros null), `canonical` (already so written: outcome is the text
     itself) or `read`. Names that `df` already has get a trailing underscore. Every row comes out once, repeated rows and columns
-    of any name included; an empty table gives an empty one; texts of any length are read whole. A null or blank zone is UTC.
+    of any name included; an empty table gives an empty one; texts of any length are read whole. A null zone or one
+    that is a missing token is UTC.
     """
     v = Veil(df)
     c = v.col(raw)
-    z = F.coalesce(F.btrim(v.col(zone), F.lit(" \t")), F.lit("")) if zone else F.lit("")
+    z = F.when(text_missing(v.col(zone), tokens), "").otherwise(F.btrim(v.col(zone), F.lit(" \t"))) if zone else F.lit("")
     tagged = v.df.withColumn("status", F.when(text_missing(c, tokens), "missing").when(is_canonical(c), "canonical").otherwise("read"))
     plain = tagged.where(F.col("status") != "read").withColumn("outcome", F.when(F.col("status") == "canonical", c))
     plain = plain.withColumn("micros", F.when(F.col("status") == "canonical", F.unix_micros(F.try_to_timestamp(c))))
