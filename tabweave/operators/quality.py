@@ -113,7 +113,7 @@ def value_sums(df: DataFrame, lay: Layout = Layout()) -> DataFrame:
     each = each.where("x IS NOT NULL OR v IS NOT NULL").groupBy("g", "l", "c", "x", "v").agg(F.count(F.lit(1)).alias("n"))
     wrong = F.lit(False)
     for name, pattern in lay.patterns.items():
-        wrong = wrong | ((F.col("c") == lay.columns.index(name)) & ~F.rlike(F.coalesce("v", F.col("x").cast("string")), F.lit(f"^(?:{pattern})$")))
+        wrong = wrong | ((F.col("c") == lay.columns.index(name)) & ~F.rlike(F.coalesce("v", F.col("x").cast("string")), F.lit(rf"^(?:{pattern})\z")))
     x, unit = F.col("x"), 10.0**lay.scale
     q = F.when(F.abs(x) < 1e5, F.round(x * unit)).cast("decimal(10,0)")
     each = each.withColumn("q", q).withColumn("odd", x.isNotNull() & (F.col("q").isNull() | (F.col("q").cast("double") / unit != x)))

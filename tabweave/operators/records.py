@@ -19,7 +19,7 @@ from tabweave.plans.physical import Veil, free_name, pin, small_side
 
 # Separators in the order in which a tie is settled.
 SEPARATORS = (",", ";", "\t", "|")
-NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
 BROKEN, COUNT, VALUE, HEADLESS = "broken_quoting", "column_count", "invalid_value", "no_header"
 
 CUT = T.StructType([T.StructField("broken", T.BooleanType()), T.StructField("fields", T.ArrayType(T.StringType()))])
@@ -80,9 +80,9 @@ def _head(text: pd.Series) -> pd.DataFrame:
 def bare_number(c: Column) -> Column:
     """Outer blanks, one pair of parentheses, one leading $ or euro sign and one trailing % taken off, in that order."""
     t = F.btrim(c, F.lit(" \t"))
-    t = F.regexp_replace(t, r"(?s)^\((.*)\)$", "$1")
+    t = F.regexp_replace(t, r"(?s)^\((.*)\)\z", "$1")
     t = F.regexp_replace(t, "^[$€]", "")
-    return F.regexp_replace(t, "%$", "")
+    return F.regexp_replace(t, r"%\z", "")
 
 
 def signed_number(bare: Column, written: Column, percent_as_fraction: bool = True) -> Column:
@@ -90,11 +90,11 @@ def signed_number(bare: Column, written: Column, percent_as_fraction: bool = Tru
     t = F.btrim(written, F.lit(" \t"))
     x = F.when(F.rlike(bare, F.lit(NUMBER)), F.replace(bare, F.lit(","), F.lit("")).try_cast("double"))
     x = F.when(t.startswith("("), -x).otherwise(x)
-    return F.when(F.rlike(t, F.lit(r"%\)?$")), x / 100).otherwise(x) if percent_as_fraction else x
+    return F.when(F.rlike(t, F.lit(r"%\)?\z")), x / 100).otherwise(x) if percent_as_fraction else x
 
 
 def is_date(c: Column) -> Column:
-    return F.rlike(c, F.lit("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")) & F.try_to_timestamp(c, F.lit("yyyy-MM-dd")).isNotNull()
+    return F.rlike(c, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z")) & F.try_to_timestamp(c, F.lit("yyyy-MM-dd")).isNotNull()
 
 
 def parse_records(

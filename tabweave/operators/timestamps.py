@@ -18,7 +18,7 @@ from tabweave.functions.instants import read_instant, to_micros
 from tabweave.functions.missing import ALL_TOKENS, text_missing
 from tabweave.plans.physical import Veil, free_name, materialize
 
-CANONICAL = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{6}Z$"
+CANONICAL = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{6}Z\z"
 DICTIONARY = "raw string, zone string, outcome string, micros bigint"
 
 

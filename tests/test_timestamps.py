@@ -25,9 +25,9 @@ def test_read(raw, zone, outcome):
 
 def test_operator(spark):
     cols = "stamp_id bigint, raw_value string, zone_name string, outcome string, _raw string"
-    rows = [(1, "2024-01-31T10:20:30.123456Z", None, "o", "r"), (2, " NaN ", None, "o", "r"), (3, None, "UTC", "o", "r"), (4, "31.01.2024", "  ", "o", "r"), (4, "31.01.2024", "  ", "o", "r"), (5, "2024-02-30T10:20:30.123456Z", None, None, None)]
+    rows = [(1, "2024-01-31T10:20:30.123456Z", None, "o", "r"), (2, " NaN ", None, "o", "r"), (3, None, "UTC", "o", "r"), (4, "31.01.2024", "  ", "o", "r"), (4, "31.01.2024", "  ", "o", "r"), (5, "2024-02-30T10:20:30.123456Z", None, None, None), (6, "2024-01-31T10:20:30.123456Z\n", None, None, None)]
     out = sorted(map(tuple, normalize_timestamps(spark.createDataFrame(rows, cols), "raw_value", "zone_name").select("stamp_id", "outcome_", "status").collect()))
-    assert out == [(1, "2024-01-31T10:20:30.123456Z", "canonical"), (2, None, "missing"), (3, None, "missing"), (4, "2024-01-31T00:00:00.000000Z", "read"), (4, "2024-01-31T00:00:00.000000Z", "read"), (5, "invalid", "read")]
+    assert out == [(1, "2024-01-31T10:20:30.123456Z", "canonical"), (2, None, "missing"), (3, None, "missing"), (4, "2024-01-31T00:00:00.000000Z", "read"), (4, "2024-01-31T00:00:00.000000Z", "read"), (5, "invalid", "read"), (6, "2024-01-31T10:20:30.123456Z", "read")]
     assert normalize_timestamps(spark.createDataFrame([], cols), "raw_value", "zone_name").count() == 0
 
 
