@@ -10,8 +10,9 @@ from tabweave.operators.describe import numeric_profile
 
 
 def windowed_moments(stream: DataFrame, time: str, value: str, by: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """(window_start, by, n, mean, std, min, max) over event-time windows; rows later than `late` are dropped by the watermark.
-    The state is one row of mergeable sums a window and key."""
+    """(window_start, by, n, mean, std, min, max) over event-time windows; in append and update mode rows later than `late`
+    are dropped by the watermark, and append mode leaves out windows still open at the end of the stream; complete mode has all rows and
+    windows. The state is one row of mergeable sums a window and key."""
     t = stream.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late)
     w = t.groupBy(F.window("_t", width).alias("w"), F.col(by)).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
     return w.select(F.col("w.start").alias("window_start"), by, "n", "mean", "std", "min", "max")

@@ -728,7 +728,8 @@ def sorted_table(t):
 
 
 def stream_moments(spark: SparkSession, sf: str) -> DataFrame:
-    """windowed_moments() of the events, run as a stream to its end."""
+    """windowed_moments() of the events, run as a stream to its end: all windows, those still open at the end too, over all events
+    with a time, however late. The stream runs in complete mode and the result of its last batch is kept."""
     import uuid
 
     path = f"{sf}/events.parquet"
@@ -738,9 +739,15 @@ def stream_moments(spark: SparkSession, sf: str) -> DataFrame:
     reader = spark.readStream.schema(schema)
     stream = reader.parquet(path) if folder else reader.option("pathGlobFilter", "events.parquet").parquet(sf)
     out = windowed_moments(stream, "ts", "value", "event_type")
-    q = out.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    last: list[str] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        last[:] = [f"{base}/out/batch={number}"]
+
+    q = out.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}/out")
+    return spark.read.schema(out.schema).parquet(*last) if last else spark.createDataFrame([], out.schema)
 
 
 QUERIES["stream_moments"] = stream_moments
