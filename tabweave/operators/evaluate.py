@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.functions.rng import normal_cdf
-from tabweave.operators.neighbours import nearest_rows
+from tabweave.operators.neighbours import CELLS, nearest_rows
 from tabweave.plans.physical import materialize, one_row
 
 
@@ -51,6 +52,39 @@ def knn_predict(train: DataFrame, test: DataFrame, rid: str, label: str, k: int
     return best.join(test.select(F.col(rid).alias("qid"), F.col(label).cast("string").alias("actual")), "qid").select(F.col("qid").alias(rid), "actual", "predicted")
 
 
+def knn_classify(train: DataFrame, test: DataFrame, rid: str, label: str, numbers: list[str], fit_rows: int, k: int = 3, seed: int = 42) -> DataFrame:
+    """Like knn_predict() by numbers, for any number of test rows: the model is the at most `fit_rows` training rows with the least hash
+    (not that of the split), every task holds it, and every test row is scored where it lies. Missing dimensions are left out."""
+    own = train.where(F.col(label).isNotNull()).select(F.col(rid).cast("bigint").alias("rid"), F.col(label).cast("string").alias("lab"), *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(numbers)])
+    kept = own.orderBy(split_key(seed + 1, "rid"), "rid").limit(fit_rows).toPandas().sort_values("rid")
+    names, code = np.unique(kept["lab"].to_numpy(str), return_inverse=True)
+    model = kept[[f"x{j}" for j in range(len(numbers))]].to_numpy(np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, CELLS // max(1, len(model)))
+        for b in batches:
+            x = np.column_stack([np.asarray(b.column(2 + j).to_numpy(zero_copy_only=False), np.float64) for j in range(len(numbers))])
+            best = np.zeros(b.num_rows, np.int64)
+            for a in range(0, b.num_rows, step):
+                part = x[a : a + step]
+                d = np.zeros((len(part), len(model)))
+                for j in range(len(numbers)):
+                    gap = part[:, j, None] - model[None, :, j]
+                    gap *= gap
+                    d += np.nan_to_num(gap, copy=False) if np.isnan(gap).any() else gap
+                votes, row = np.zeros((len(part), len(names)), int), np.arange(len(part))
+                for _ in range(min(k, len(model))):
+                    near = d.argmin(1)
+                    votes[row, code[near]] += 1
+                    d[row, near] = np.inf
+                best[a : a + step] = votes.argmax(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names[best].tolist(), pa.string())], names=["rid", "actual", "predicted"])
+
+    asked = test.select(F.col(rid).cast("bigint").alias("rid"), F.col(label).cast("string").alias("actual"), *[F.col(c).cast("double").alias(c) for c in numbers])
+    found = asked.mapInArrow(run, "rid bigint, actual string, predicted string") if len(model) else asked.limit(0).select("rid", "actual", F.lit("").alias("predicted"))
+    return found.select(F.col("rid").alias(rid), "actual", "predicted")
+
+
 def confusion(pred: DataFrame) -> DataFrame:
     """(actual, predicted, n, share): all pairs of labels that occur on either side, share of the actual label at four digits."""
     seen = pred.select(F.explode(F.array("actual", "predicted")).alias("k")).distinct()
@@ -119,15 +153,17 @@ def model(kind: str, seed: int = 42):
     raise ValueError(f"unknown model {kind!r}")
 
 
-def fit_predict(train: DataFrame, test: DataFrame, rid: str, label: str, numbers: list[str], kind: str, seed: int = 42) -> DataFrame:
-    """(rid, actual, predicted) of a library model; test rows with a label unseen in training are left out."""
+def fit_predict(train: DataFrame, test: DataFrame, rid: str, label: str, numbers: list[str], kind: str, seed: int = 42, fit_rows: int | None = None) -> DataFrame:
+    """(rid, actual, predicted) of all test rows by a library model fitted on all training rows. `fit_rows` bounds the training rows
+    that knn keeps (see knn_classify()); without it knn searches all of them for the queries in blocks."""
     if kind == "knn":
-        return knn_predict(train, test, rid, label, 3, None, numbers)
+        return knn_classify(train, test, rid, label, numbers, fit_rows, 3, seed) if fit_rows else knn_predict(train, test, rid, label, 3, None, numbers)
     index = StringIndexer(inputCol="_l", outputCol="_y", handleInvalid="skip")
     data = [d.withColumn("_l", F.col(label).cast("string")).na.fill(0.0, numbers) for d in (train, test)]
     fitted = Pipeline(stages=[index, VectorAssembler(inputCols=numbers, outputCol="_x"), model(kind, seed)]).fit(data[0])
     names = F.array(*[F.lit(x) for x in fitted.stages[0].labels])
-    return fitted.transform(data[1]).select(rid, F.col("_l").alias("actual"), F.get(names, F.col("prediction").cast("int")).alias("predicted"))
+    scored = fitted.stages[2].transform(fitted.stages[1].transform(data[1]))
+    return scored.select(rid, F.col("_l").alias("actual"), F.get(names, F.col("prediction").cast("int")).alias("predicted"))
 
 
 def controlled_evaluation(df: DataFrame, rid: str, label: str, numbers: list[str], strategies: dict[str, Callable[[DataFrame, int], DataFrame] | None], runs: int = 3, kind: str = "decision_tree", ratio: float = 0.25, seed: int = 42) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.functions import rng, scalars
+from tabweave.functions.missing import bare, number_missing, text_missing
 from tabweave.operators import augment, clean, describe, evaluate, fidelity, neighbours, relations, synth
-from tabweave.operators.order import melt
-from tabweave.plans.physical import shared_dir
+from tabweave.operators.order import melt, quantiles
+from tabweave.plans.physical import materialize, shared_dir
 from tabweave.sources import export
 from tabweave.streaming import windowed_moments
 
@@ -640,11 +641,26 @@ def matrix_product(t):
     return evaluate.matrix_product(m, m)
 
 
-def _model(t, kind: str) -> DataFrame:
-    from tabweave.sources.samples import churn_sample
+#: Training rows that model_knn keeps as its model; the other models are fitted on all training rows, and all of them score all test rows.
+KNN_FIT_ROWS = 5_000
+
+
+def _labelled(t) -> DataFrame:
+    """(row_id, churn_risk, numbers) of all churn rows with a risk: labels trimmed and in lower case, missing numbers null."""
+    d = t("churn_rows").where(~text_missing(F.col("churn_risk")))
+    return d.select("row_id", bare(F.col("churn_risk")).alias("churn_risk"), *[F.when(~number_missing(F.col(c)), F.col(c)).alias(c) for c in CHURN])
+
 
-    s = evaluate.stratified_split(churn_sample(t("nation").sparkSession, 2000), "churn_risk", "id")
-    return evaluate.summary_metrics(evaluate.fit_predict(s.where("NOT is_test"), s.where("is_test"), "id", "churn_risk", CHURN, kind))
+def _predicted(t, kind: str) -> DataFrame:
+    """(row_id, actual, predicted) of all test rows, a quarter of each class; missing numbers are the medians of the training rows."""
+    s = materialize(evaluate.stratified_split(_labelled(t), "churn_risk", "row_id"), "split")
+    middle = {r.c: r.q0 for r in quantiles(melt(s.where("NOT is_test"), CHURN), [0.5]).collect()}
+    train, test = (s.where(w).na.fill(middle) if middle else s.where(w) for w in ("NOT is_test", "is_test"))
+    return materialize(evaluate.fit_predict(train, test, "row_id", "churn_risk", CHURN, kind, fit_rows=KNN_FIT_ROWS), "predicted")
+
+
+def _model(t, kind: str) -> DataFrame:
+    return evaluate.summary_metrics(_predicted(t, kind))
 
 
 @query()

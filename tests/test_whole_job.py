@@ -1,11 +1,17 @@
 """Queries and operators do the whole of their job: no window, row, value or column is left out."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tabweave import table_queries
+from tabweave.operators import evaluate
 from tests.compare import SF, spark_rows
 
 
+def table(spark, sf=SF):
+    return lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+
+
 def test_stream_has_all_windows(spark):
     events = spark.read.parquet(f"{SF}/events.parquet")
     day = F.window(F.col("ts").cast("timestamp"), "1 day")["start"].alias("window_start")
@@ -25,3 +31,28 @@ def test_stream_over_a_folder_has_late_events(spark, tmp_path):
 def test_stream_of_no_events(spark, tmp_path):
     spark.read.parquet(f"{SF}/events.parquet").limit(0).write.parquet(f"{tmp_path}/events.parquet")
     assert table_queries.stream_moments(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["decision_tree", "logistic_regression", "random_forest", "knn"])
+def test_models_score_a_quarter_of_all_churn_rows(spark, kind):
+    rows = table(spark)("churn_rows")
+    risk = F.lower(F.trim(F.translate("churn_risk", "\t", " ")))
+    classes = {r.r: r["count"] for r in rows.where(risk.isin("low", "medium", "high")).groupBy(risk.alias("r")).count().collect()}
+    found = table_queries._predicted(table(spark), kind)
+    assert {r.actual: r["count"] for r in found.groupBy("actual").count().collect()} == {k: int(n * 0.25 + 0.5) for k, n in classes.items()}
+    assert found.join(rows, "row_id", "left_semi").select("row_id").distinct().count() == found.count()
+    assert found.where("actual = predicted").count() / found.count() > 0.7
+
+
+def test_bounded_neighbours_match_the_search(spark):
+    d = table_queries._labelled(table(spark)).na.fill(1.0)
+    train, test = d.where("row_id % 3 > 0"), d.where("row_id % 3 = 0")
+    every = evaluate.knn_predict(train, test, "row_id", "churn_risk", 3, None, table_queries.CHURN)
+    assert spark_rows(evaluate.knn_classify(train, test, "row_id", "churn_risk", table_queries.CHURN, 5_000)) == spark_rows(every)
+    assert evaluate.knn_classify(train, test, "row_id", "churn_risk", table_queries.CHURN, 7).count() == test.count()
+
+
+def test_a_class_unseen_in_training_is_scored(spark):
+    train = spark.createDataFrame([(i, "ab"[i % 2], float(i % 2)) for i in range(8)], "id long, y string, x double")
+    test = spark.createDataFrame([(9, "c", 1.0)], "id long, y string, x double")
+    assert [tuple(r) for r in evaluate.fit_predict(train, test, "id", "y", ["x"], "decision_tree").collect()] == [(9, "c", "b")]
