@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.operators.impute import filled_cells, impute
-from tabweave.operators.quality import column_defects, column_profile
+from tabweave.operators.quality import Layout, column_defects, column_profile
 from tabweave.operators.records import SEPARATORS, parse_records
 from tabweave.operators.timestamps import normalize_timestamps
 
@@ -19,8 +19,19 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return column_defects(_read(spark, sf, "churn_rows"), _read(spark, sf, "column_profiles")).select("dataset_id", "load_no", "column_name", "issue")
 
 
+#: Every column of churn_rows but the key of its loads. Labels may be spelled with outer blanks and in any case.
+PANEL = Layout(
+    codes=("account_id", "plan_code", "site_code"),
+    numbers=("account_age_months", "monthly_charges", "usage_hours", "support_tickets", "row_no", "row_id"),
+    signed=("row_no", "row_id"),
+    times=("observed_at", "ingested_at"),
+    patterns={
+        "account_id": "[A-Z]{2}-[0-9]{8}", "plan_code": "[A-Z][0-9]{2}-[A-Z]{2}", "site_code": "[A-Z][0-9]{2}",
+        "contract_type": r"(?i)[ \t]*(?:month-to-month|one-year|two-year)[ \t]*", "churn_risk": r"(?i)[ \t]*(?:low|medium|high)[ \t]*"})
+
+
 def p1_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return column_profile(_read(spark, sf, "churn_rows"))
+    return column_profile(_read(spark, sf, "churn_rows"), PANEL)
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,7 +65,7 @@ def p5_normalized(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_moments(spark: SparkSession, sf: str) -> DataFrame:
     figures = [F.round(c, 6).alias(c) for c in ("min", "max", "mean", "std")]
-    return p1_profile(spark, sf).select("dataset_id", "load_no", "column_name", "rows", "missing", "distinct", *figures)
+    return column_profile(_read(spark, sf, "churn_rows")).select("dataset_id", "load_no", "column_name", "rows", "missing", "distinct", *figures)
 
 
 QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p1_moments": p1_moments, "p2_found": p2_found, "p2_parsed": p2_parsed, "p3_found": p3_found, "p3_filled": p3_filled, "p5_found": p5_found, "p5_normalized": p5_normalized}

@@ -11,7 +11,7 @@ A hot load or account is harmless: the first aggregation combines on the map sid
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,8 +35,9 @@ class Limits:
 
 @dataclass(frozen=True)
 class Layout:
-    """Which columns are profiled and how. `numbers`: negative values are missing unless `negative_ok`. `codes`: one shape is expected.
-    `patterns`: per column a regex that every present value should match in full."""
+    """Which columns are profiled and how. `numbers`: negative values are missing unless `negative_ok` or the column is `signed`. `codes`:
+    one shape is expected. `patterns`: per column a regex that every present value should match in full. `times`: timestamps, which only
+    column_profile() reads."""
 
     group: str = "dataset_id"
     load: str = "load_no"
@@ -44,6 +45,8 @@ class Layout:
     numbers: tuple[str, ...] = ("account_age_months", "monthly_charges", "usage_hours", "support_tickets")
     labels: tuple[str, ...] = ("contract_type", "churn_risk")
     negative_ok: bool = False
+    signed: tuple[str, ...] = ()
+    times: tuple[str, ...] = ()
     tokens: tuple[str, ...] = ALL_TOKENS
     patterns: dict[str, str] = field(default_factory=dict)
     #: Buckets to each unit of ln(1 + |x|), and decimals kept by the exact power sums.
@@ -54,6 +57,9 @@ class Layout:
     def columns(self) -> list[str]:
         return [*self.codes, *self.numbers, *self.labels]
 
+    def lacks_negatives(self, name: str) -> bool:
+        return not (self.negative_ok or name in self.signed)
+
 
 def shape_of(c: Column) -> Column:
     """Every A-Z as A, a-z as a, 0-9 as 9, all else as it stands."""
@@ -75,7 +81,7 @@ def _cells(df: DataFrame, lay: Layout, columns: list[str]) -> DataFrame:
         c = F.col(f"`{name}`")
         if name in lay.numbers:
             x = c.cast("double")
-            x = F.when(~number_missing(x, not lay.negative_ok), x + F.lit(0.0))
+            x = F.when(~number_missing(x, lay.lacks_negatives(name)), x + F.lit(0.0))
             b, f = bucket_of(x, lay.resolution), F.lit(None).cast("string")
         else:
             there = ~text_missing(c, lay.tokens)
@@ -104,7 +110,7 @@ def value_sums(df: DataFrame, lay: Layout = Layout()) -> DataFrame:
         none = F.lit(None)
         if name in lay.numbers:
             x = c.cast("double")
-            pair = F.when(~number_missing(x, not lay.negative_ok), x + F.lit(0.0)), none.cast("string")
+            pair = F.when(~number_missing(x, lay.lacks_negatives(name)), x + F.lit(0.0)), none.cast("string")
         else:
             pair = none.cast("double"), F.when(~text_missing(c, lay.tokens), c.cast("string"))
         parts.append(F.struct(F.lit(i).alias("c"), pair[0].alias("x"), pair[1].alias("v")))
@@ -240,13 +246,27 @@ def column_defects(df: DataFrame, stored: DataFrame | None, lay: Layout = Layout
     return result.select(F.col("g").alias(lay.group), F.col("l").alias(lay.load), "column_name", "issue", "amount")
 
 
+def _timed(df: DataFrame, lay: Layout) -> tuple[DataFrame, Layout, dict[str, int]]:
+    """`df` with its `times` as signed numbers, seconds after the whole second next to the column's mean; the layout for it; those seconds."""
+    if not lay.times:
+        return df, lay, {}
+    micros = {c: F.unix_micros(F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(f"`{c}`")).cast("timestamp") if dict(df.dtypes)[c] == "timestamp_ntz" else F.col(f"`{c}`")) for c in lay.times}
+    means = df.agg(*[F.avg(m / 1e6).alias(c) for c, m in micros.items()]).first()
+    origin = {c: round(means[c] or 0) for c in lay.times}
+    df = df.withColumns({c: (m - F.lit(origin[c] * 1_000_000)) / 1e6 for c, m in micros.items()})
+    return df, replace(lay, numbers=(*lay.numbers, *lay.times), signed=(*lay.signed, *lay.times), times=()), origin
+
+
 def column_profile(df: DataFrame, lay: Layout = Layout()) -> DataFrame:
     """One row a (group, load, column): rows, missing, distinct, range, moments, violations, shape and change since the load before.
 
     Moments come from the power sums (mean, sample deviation, adjusted skewness and excess kurtosis); `mean_shift` is the difference
     of means since the load before over the pooled deviation. `distinct` counts present values as they stand. Null where a figure has
-    too few values to exist (deviation under 2, skewness under 3, kurtosis under 4 values) or no load comes before.
+    too few values to exist (deviation under 2, skewness under 3, kurtosis under 4 values) or no load comes before. Times are seconds since
+    1970 in UTC, summed as their distance from the column's mean, so that their moments keep their digits.
     """
+    df, lay, origin = _timed(df, lay)
+    back = F.element_at(F.array(*[F.lit(float(origin.get(c, 0))) for c in lay.columns]), F.col("c") + 1)
     counts = materialize(form_counts(df, lay), "forms")
     top = counts.where(F.col("f").isNotNull()).groupBy("g", "l", "c").agg(F.max(F.struct("n", "f"))["f"].alias("top_form"))
     t = summaries(counts, lay).join(value_sums(df, lay), ["g", "l", "c"], "left").join(top, ["g", "l", "c"], "left")
@@ -267,4 +287,4 @@ def column_profile(df: DataFrame, lay: Layout = Layout()) -> DataFrame:
     return t.select(
         F.col("g").alias(lay.group), F.col("l").alias(lay.load), _named(lay, F.col("c")).alias("column_name"), "rows", (F.col("rows") - F.col("present")).alias("missing"),
         gap.alias("missing_share"), (gap - (F.col("rows0") - F.col("present0")) / F.col("rows0")).alias("missing_shift"), F.coalesce("distinct", F.lit(0)).alias("distinct"),
-        F.col("lo").alias("min"), F.col("hi").alias("max"), "mean", "std", "skew", "kurtosis", "mean_shift", "top_form", F.col("top").alias("top_count"), F.coalesce("violations", F.lit(0)).alias("violations"), F.coalesce("inexact", F.lit(0)).alias("inexact"))
+        (F.col("lo") + back).alias("min"), (F.col("hi") + back).alias("max"), (F.col("mean") + back).alias("mean"), "std", "skew", "kurtosis", "mean_shift", "top_form", F.col("top").alias("top_count"), F.coalesce("violations", F.lit(0)).alias("violations"), F.coalesce("inexact", F.lit(0)).alias("inexact"))

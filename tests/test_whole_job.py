@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tabweave import table_queries
+from tabweave import core_queries, table_queries
 from tabweave.operators import evaluate
-from tests.compare import SF, spark_rows
+from tests.compare import SF, duck_rows, spark_rows
 
 
 def table(spark, sf=SF):
@@ -56,3 +56,17 @@ def test_a_class_unseen_in_training_is_scored(spark):
     train = spark.createDataFrame([(i, "ab"[i % 2], float(i % 2)) for i in range(8)], "id long, y string, x double")
     test = spark.createDataFrame([(9, "c", 1.0)], "id long, y string, x double")
     assert [tuple(r) for r in evaluate.fit_predict(train, test, "id", "y", ["x"], "decision_tree").collect()] == [(9, "c", "b")]
+
+
+def test_profile_has_all_columns_and_violations(spark):
+    key, text = ("dataset_id", "load_no"), ("account_id", "plan_code", "site_code")
+    found = core_queries.p1_profile(spark, SF)
+    assert {r.column_name for r in found.select("column_name").distinct().collect()} == set(table(spark)("churn_rows").columns) - set(key)
+    cells = " UNION ALL ".join(
+        [f"SELECT dataset_id, load_no, '{c}' AS column_name, CASE WHEN lower(trim({c}, ' \t')) IN {core_queries._TOKENS} THEN NULL ELSE {c} END AS v, '{core_queries.PANEL.patterns[c]}' AS p FROM churn_rows" for c in text]
+        + [f"SELECT dataset_id, load_no, '{c}', CAST(epoch_us({c}) AS VARCHAR), '.*' FROM churn_rows" for c in ("observed_at", "ingested_at")])
+    want = f"""SELECT dataset_id, load_no, column_name, count(*) AS rows, count(*) - count(v) AS missing, count(DISTINCT v) AS "distinct", count(*) FILTER (NOT regexp_full_match(v, p)) AS violations FROM ({cells}) GROUP BY ALL"""
+    some = found.where(F.col("column_name").isin(*text, "observed_at", "ingested_at")).select("dataset_id", "load_no", "column_name", "rows", "missing", "distinct", "violations")
+    assert spark_rows(some) == duck_rows(want) and some.agg(F.sum("violations")).first()[0] > 0
+    moments = found.where("column_name = 'observed_at'").select("dataset_id", "load_no", *[F.round(c, 3).alias(c) for c in ("min", "max", "mean", "std", "kurtosis")])
+    assert spark_rows(moments) == duck_rows("SELECT dataset_id, load_no, round(min(x), 3) AS min, round(max(x), 3) AS max, round(avg(x - 1.7e9) + 1.7e9, 3) AS mean, round(stddev_samp(x - 1.7e9), 3) AS std, round(kurtosis(x - 1.7e9), 3) AS kurtosis FROM (SELECT *, epoch_us(observed_at) / 1e6 AS x FROM churn_rows) GROUP BY ALL")
