@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +20,7 @@ from tabweave.operators.augment import column_ranges, ranked
 from tabweave.operators.neighbours import nearest_rows
 from tabweave.operators.order import melt, order_statistics, quantiles, running_counts
 from tabweave.operators.relations import binned, mutual_information, pair_statistics, spearman
-from tabweave.plans.physical import one_row
+from tabweave.plans.physical import materialize, one_row
 
 
 def cholesky_psd(r: np.ndarray) -> np.ndarray:
@@ -203,35 +204,70 @@ def bayes_network(df: DataFrame, numbers: list[str], labels: list[str], n: int,
     return out.select(*final, *[F.col(f"_b_{c}").alias(c) for c in labels])
 
 
-def autoencoder(df: DataFrame, numbers: list[str], n: int, seed: int = 42, latent: int = 4, epochs: int = 50, rate: float = 0.01, fit_rows: int = 20_000) -> DataFrame:
-    """(row_id, numbers): decoded from a normal latent space by a small variational autoencoder fitted on at most `fit_rows` rows
-    (a random sample, the documented bound of the fit); decoding runs on all executors."""
-    total = max(1, df.count())
-    part = df.select(*[F.col(c).cast("double").alias(c) for c in numbers]).dropna()
-    x = (part.sample(min(1.0, 1.5 * fit_rows / total), seed) if total > fit_rows else part).limit(fit_rows).toPandas().to_numpy()
-    mu, sd = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
-    z, rng, d, hidden = (x - mu) / sd, np.random.default_rng(seed), x.shape[1], 16
+def _row_noise(z: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """Normal draws, `width` a row, that depend on (seed, values of the row) and on nothing else."""
+    def mix(v: np.ndarray) -> np.ndarray:
+        v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return v ^ (v >> np.uint64(31))
+
+    key = np.full(len(z), seed, np.uint64)
+    for j in range(z.shape[1]):
+        key = mix(key + np.uint64(0x9E3779B97F4A7C15) + np.ascontiguousarray(z[:, j]).view(np.uint64))
+    u = [(mix(key[:, None] + np.uint64(0x9E3779B97F4A7C15) * np.arange(first, first + width, dtype=np.uint64)) >> np.uint64(11)) / 2.0**53 for first in (1, 1 + width)]
+    return np.sqrt(-2 * np.log(np.maximum(u[0], 1e-12))) * np.cos(2 * np.pi * u[1])
+
+
+def _gradient(z: np.ndarray, w: dict[str, np.ndarray], eps: np.ndarray) -> np.ndarray:
+    """The sums over the rows of z of the gradients of the weights, one after the other."""
+    h = np.tanh(z @ w["e"])
+    m, lv = h @ w["m"], np.clip(h @ w["v"], -6, 6)
+    c = m + np.exp(lv / 2) * eps
+    hd = np.tanh(c @ w["d"])
+    err = hd @ w["o"] - z
+    dh = (err @ w["o"].T) * (1 - hd**2)
+    dc = dh @ w["d"].T
+    dm, dv = dc + 0.01 * m, dc * eps * np.exp(lv / 2) / 2 + 0.005 * (np.exp(lv) - 1)
+    g = {"o": hd.T @ err, "d": c.T @ dh, "m": h.T @ dm, "v": h.T @ dv, "e": z.T @ ((dm @ w["m"].T + dv @ w["v"].T) * (1 - h**2))}
+    return np.concatenate([g[k].ravel() for k in w])
+
+
+def autoencoder(df: DataFrame, numbers: list[str], n: int, seed: int = 42, latent: int = 4, epochs: int = 50, rate: float = 0.01) -> DataFrame:
+    """(row_id, numbers): decoded from a normal latent space by a small variational autoencoder. Means, deviations and the gradients of
+    each epoch are sums over all rows without a missing number, added up by the tasks that hold them; one job an epoch. Decoding runs on
+    all executors. No rows come out where there are none to fit on."""
+    part = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{j}") for j, c in enumerate(numbers)]).dropna()
+    d, hidden = len(numbers), 16
+    r = part.agg(F.count(F.lit(1)).alias("n"), *[e for j in range(d) for e in (F.avg(f"x{j}").alias(f"m{j}"), F.stddev_pop(f"x{j}").alias(f"s{j}"))]).first()
+    mu, sd = np.array([r[f"m{j}"] or 0.0 for j in range(d)]), np.array([r[f"s{j}"] or 1.0 for j in range(d)])
+    spread = max(df.sparkSession.sparkContext.defaultParallelism, r.n // 1_000_000)
+    rows = materialize(part.select(*[((F.col(f"x{j}") - F.lit(float(mu[j]))) / F.lit(float(sd[j]))).alias(f"z{j}") for j in range(d)]).repartition(spread), "standardised")
+    rng = np.random.default_rng(seed)
     w = {k: rng.normal(0, 0.3, s) for k, s in {"e": (d, hidden), "m": (hidden, latent), "v": (hidden, latent), "d": (latent, hidden), "o": (hidden, d)}.items()}
     velocity = {k: np.zeros_like(a) for k, a in w.items()}
-    for _ in range(epochs):
-        for b in np.array_split(rng.permutation(len(z)), max(1, len(z) // 256)):
-            xb = z[b]
-            h = np.tanh(xb @ w["e"])
-            m, lv = h @ w["m"], np.clip(h @ w["v"], -6, 6)
-            eps = rng.normal(size=m.shape)
-            c = m + np.exp(lv / 2) * eps
-            hd = np.tanh(c @ w["d"])
-            err = (hd @ w["o"] - xb) / len(xb)
-            g = {"o": hd.T @ err}
-            dh = (err @ w["o"].T) * (1 - hd**2)
-            g["d"] = c.T @ dh
-            dc = dh @ w["d"].T
-            dm, dv = dc + 0.01 * m / len(xb), dc * eps * np.exp(lv / 2) / 2 + 0.005 * (np.exp(lv) - 1) / len(xb)
-            g["m"], g["v"] = h.T @ dm, h.T @ dv
-            g["e"] = xb.T @ ((dm @ w["m"].T + dv @ w["v"].T) * (1 - h**2))
-            for k in w:
-                velocity[k] = 0.9 * velocity[k] - rate * g[k] * 10
-                w[k] += velocity[k]
+
+    def adder(w: dict[str, np.ndarray], epoch: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(sum(a.size for a in w.values()))
+            for b in batches:
+                if b.num_rows:
+                    z = np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False), np.float64) for c in b.columns])
+                    total += _gradient(z, w, _row_noise(z, latent, seed + epoch))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "v"])
+
+        return run
+
+    for epoch in range(epochs if r.n else 0):
+        added = rows.mapInArrow(adder(dict(w), epoch), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        flat = np.zeros(sum(a.size for a in w.values()))
+        for x in added:
+            flat[x.i] = x.v / r.n
+        at = 0
+        for k in w:
+            velocity[k] = 0.9 * velocity[k] - rate * flat[at : at + w[k].size].reshape(w[k].shape) * 10
+            at += w[k].size
+            w[k] = w[k] + velocity[k]
+    n = n if r.n else 0
     decode = [w["d"], w["o"], mu, sd]
     codes = df.sparkSession.range(n).select(F.col("id").alias("row_id"), *[gaussian(seed, F.col("id"), f"z{j}").alias(f"z{j}") for j in range(latent)])
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabweave import core_queries, table_queries
-from tabweave.operators import evaluate
+from tabweave.operators import evaluate, synth
 from tests.compare import SF, duck_rows, spark_rows
 
 
@@ -70,3 +70,12 @@ def test_profile_has_all_columns_and_violations(spark):
     assert spark_rows(some) == duck_rows(want) and some.agg(F.sum("violations")).first()[0] > 0
     moments = found.where("column_name = 'observed_at'").select("dataset_id", "load_no", *[F.round(c, 3).alias(c) for c in ("min", "max", "mean", "std", "kurtosis")])
     assert spark_rows(moments) == duck_rows("SELECT dataset_id, load_no, round(min(x), 3) AS min, round(max(x), 3) AS max, round(avg(x - 1.7e9) + 1.7e9, 3) AS mean, round(stddev_samp(x - 1.7e9), 3) AS std, round(kurtosis(x - 1.7e9), 3) AS kurtosis FROM (SELECT *, epoch_us(observed_at) / 1e6 AS x FROM churn_rows) GROUP BY ALL")
+
+
+def test_autoencoder_is_fitted_on_all_rows(spark):
+    # The last third of 60,000 rows lies far from the others.
+    d = spark.range(0, 60_000, 1, 6).select((F.col("id") % 10 + F.when(F.col("id") < 40_000, 0).otherwise(1000)).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    new = synth.autoencoder(d, ["x", "y"], 2000, epochs=30).toPandas()
+    mean = d.agg(F.avg("x")).first()[0]
+    assert len(new) == 2000 and abs(new["x"].mean() - mean) < 60 and abs((new["x"] > 500).mean() - 1 / 3) < 0.1
+    assert synth.autoencoder(d.limit(0), ["x", "y"], 5, epochs=2).count() == 0
