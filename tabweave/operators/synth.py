@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,7 @@ from tabweave.operators.augment import column_ranges, ranked
 from tabweave.operators.neighbours import nearest_rows
 from tabweave.operators.order import melt, order_statistics, quantiles, running_counts
 from tabweave.operators.relations import binned, mutual_information, pair_statistics, spearman
-from tabweave.plans.physical import materialize, one_row
+from tabweave.plans.physical import materialize, one_row, small_side
 
 
 def cholesky_psd(r: np.ndarray) -> np.ndarray:
@@ -39,28 +39,34 @@ def ecdf(df: DataFrame, columns: list[str], profile: str = "client") -> DataFram
     return run.select("c", "x", u.alias("u"))
 
 
-def _category_tables(df: DataFrame, labels: list[str]) -> dict[str, list[tuple[str, float]]]:
-    """Cumulative shares of the values of each label column in lexicographic order, up to 10,000 values a column."""
-    out = {}
-    for c in labels:
-        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).count().orderBy("v").limit(10_000).collect()
-        total, run, rows = sum(r["count"] for r in counts) or 1, 0, []
-        for r in counts:
-            run += r["count"]
-            rows.append((r["v"], run / total))
-        out[c] = rows
+def category_shares(df: DataFrame, c: str) -> DataFrame:
+    """(value, below, share): the cumulative share of each value of `c` in lexicographic order, without and with itself. Values are cut
+    into ranges, so no task sorts a column; only the sizes of ranges are added up in one."""
+    counts = df.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    cut = materialize(materialize(counts, "values").repartitionByRange("value").withColumn("part", F.spark_partition_id()), "shares")
+    sizes = cut.groupBy("part").agg(F.sum("n").alias("size"))
+    parts = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"), F.sum("size").over(Window.partitionBy()).alias("total"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("value"))
+    return cut.join(F.broadcast(parts), "part").select("value", ((upto - F.col("n")) / F.col("total")).alias("below"), (upto / F.col("total")).alias("share"))
+
+
+def with_draws(out: DataFrame, df: DataFrame, labels: list[str], seed: int) -> DataFrame:
+    """`out` and for each label column a value drawn by its share: the first one whose cumulative share is at least the draw. Draws and
+    values meet in equal ranges of share, as many as there are values."""
+    for j, c in enumerate(labels):
+        table = materialize(category_shares(df, c), "cumulative")
+        n = table.count()
+        cells = min(1 << 20, max(16, n))
+        cell = lambda u: F.floor(u * cells)
+        low = F.when(F.col("below") > 0, F.col("below")).otherwise(-1.0)
+        spans = table.select(F.col("value").alias("_value"), low.alias("_low"), F.col("share").alias("_high"), F.explode(F.sequence(cell(F.col("below")), cell(F.col("share")))).alias("_cell"))
+        u = out.withColumn("_u", uniform(seed, F.col("row_id"), f"c{j}")).withColumn("_cell", cell(F.col("_u")))
+        spans = small_side(spans, n + cells, 64)
+        meet = (u["_cell"] == spans["_cell"]) & (F.col("_u") > F.col("_low")) & (F.col("_u") <= F.col("_high"))
+        out = u.join(spans, meet, "left").select(*[u[k] for k in out.columns], F.col("_value").alias(c))
     return out
 
 
-def pick(u: Column, table: list[tuple[str, float]]) -> Column:
-    """The first value whose cumulative share is at least u."""
-    if not table:
-        return F.lit(None).cast("string")
-    values, shares = F.array(*[F.lit(v) for v, _ in table]), F.array(*[F.lit(s) for _, s in table])
-    at = F.size(F.filter(shares, lambda s: s < u))
-    return F.get(values, F.least(at, F.lit(len(table) - 1)))
-
-
 def copula(df: DataFrame, numbers: list[str], labels: list[str], n: int, seed: int = 42, method: str = "pearson", rid: str | None = None, grid: int = 4001) -> DataFrame:
     """(row_id, numbers, labels): n rows with the marginals and the correlation of the scores of `df`; labels are drawn apart.
     Marginals are read at `grid` exact quantiles with linear interpolation between them; constants stay."""
@@ -87,8 +93,7 @@ def copula(df: DataFrame, numbers: list[str], labels: list[str], n: int, seed: i
     for i, c in enumerate(numbers):
         z = sum((F.lit(float(lower[i, j])) * F.col(f"_g{j}") for j in range(i + 1)), F.lit(0.0))
         out = out.withColumn(c, F.round(_inverse(marks[c])(normal_cdf(z)), 4))
-    tables = _category_tables(df, labels)
-    return out.select("row_id", *numbers, *[pick(uniform(seed, F.col("row_id"), f"c{j}"), tables[c]).alias(c) for j, c in enumerate(labels)])
+    return with_draws(out.select("row_id", *numbers), df, labels, seed)
 
 
 def _forward(marks: np.ndarray):
@@ -138,8 +143,8 @@ def kde(df: DataFrame, numbers: list[str], labels: list[str], n: int, rid: str,
     """(row_id, numbers, labels): a random value of each column plus normal noise at its bandwidth."""
     h = {r.c: r.h for r in bandwidths(df, numbers, multiplier).collect()}
     t = _resample(df, numbers, n, seed, rid, alone=True)
-    tables = _category_tables(df, labels)
-    return t.select("row_id", *[F.round(F.col(c) + gaussian(seed, F.col("row_id"), f"h_{c}") * F.lit(float(h.get(c, 0.0))), 4).alias(c) for c in numbers], *[pick(uniform(seed, F.col("row_id"), f"c{j}"), tables[c]).alias(c) for j, c in enumerate(labels)])
+    new = t.select("row_id", *[F.round(F.col(c) + gaussian(seed, F.col("row_id"), f"h_{c}") * F.lit(float(h.get(c, 0.0))), 4).alias(c) for c in numbers])
+    return with_draws(new, df, labels, seed)
 
 
 def jitter(df: DataFrame, numbers: list[str], n: int, rid: str, seed: int = 42, jitter_std: float = 0.05) -> DataFrame:

@@ -618,8 +618,7 @@ def ordinal_ranks(t):
 
 @query("SELECT c_mktsegment AS value, round(sum(n) OVER (ORDER BY c_mktsegment) / sum(n) OVER (), 9) AS share FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1)")
 def cumulative_shares(t):
-    table = synth._category_tables(t("customer"), ["c_mktsegment"])["c_mktsegment"]
-    return t("customer").sparkSession.createDataFrame(table, "value string, share double").select("value", F.round("share", 9).alias("share"))
+    return synth.category_shares(t("customer"), "c_mktsegment").select("value", F.round("share", 9).alias("share"))
 
 
 @query("SELECT row_id, account_id FROM churn_rows ORDER BY row_id LIMIT 20 OFFSET 40")

@@ -79,3 +79,11 @@ def test_autoencoder_is_fitted_on_all_rows(spark):
     mean = d.agg(F.avg("x")).first()[0]
     assert len(new) == 2000 and abs(new["x"].mean() - mean) < 60 and abs((new["x"] > 500).mean() - 1 / 3) < 0.1
     assert synth.autoencoder(d.limit(0), ["x", "y"], 5, epochs=2).count() == 0
+
+
+def test_label_draws_know_all_values(spark):
+    # 12,000 rare values come before one that holds half of the rows.
+    d = spark.range(24_000).select(F.when(F.col("id") < 12_000, F.format_string("a%06d", "id")).otherwise("z").alias("c"))
+    new = synth.with_draws(spark.range(4000).withColumnRenamed("id", "row_id"), d, ["c"], 42)
+    assert new.count() == 4000 and new.where("c IS NULL").count() == 0 and abs(new.where("c = 'z'").count() / 4000 - 0.5) < 0.04
+    assert synth.with_draws(spark.range(3).withColumnRenamed("id", "row_id"), d.limit(0), ["c"], 42).where("c IS NULL").count() == 3
