@@ -2,10 +2,13 @@
 
 One scan cuts every row into cells and pre-aggregates them by (load, column, form): the form of a code is its shape, of a
 label its cleaned spelling, of a number the bucket of an order-preserving grid. Everything else is arithmetic over that
-table, whose size follows the number of loads and not the number of rows: counts, ranges, exact power sums, label shares,
+table, whose size follows the number of loads and not the number of rows: counts, ranges, label shares,
 and two-sided bounds on the Kolmogorov distance between neighbouring loads. Only the buckets where those bounds leave the
 verdict open are read again value by value, so the verdict is exact without sorting the values of a column anywhere.
 
+column_defects() needs no more than that. Only column_profile() adds exact power sums, distincts and violations of patterns, from a second
+scan that counts values.
+
 A hot load or account is harmless: the first aggregation combines on the map side and no window runs over rows.
 """
 
