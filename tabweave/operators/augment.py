@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from tabweave.functions.rng import gaussian, uniform
 from tabweave.operators.fidelity import closest_records
 from tabweave.operators.neighbours import nearest_rows, tomek_links
-from tabweave.operators.order import running_counts
-from tabweave.plans.physical import one_row
+from tabweave.plans.physical import one_row, running_sums
 
 
 def class_needs(df: DataFrame, label: str, ratio: float = 1.0, least: int = 1) -> DataFrame:
@@ -20,10 +19,10 @@ def class_needs(df: DataFrame, label: str, ratio: float = 1.0, least: int = 1) -
 
 
 def ranked(df: DataFrame, label: str, rid: str) -> DataFrame:
-    """(cls, rank0, rid): the rows of each class numbered from 0 in the order of their id."""
-    long = df.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("c"), F.col(rid).cast("double").alias("x"))
-    run = running_counts(long, {"n": F.lit(1)})
-    return run.select(F.col("c").alias("cls"), (F.col("n_upto") - F.col("n")).alias("rank0"), F.col("x").cast("bigint").alias("rid"))
+    """(cls, rank0, rid): the rows of each class numbered from 0 in the order of their id, which keeps its type: hashed ids beyond 2^53
+    are told apart."""
+    rows = df.where(F.col(label).isNotNull() & F.col(rid).isNotNull()).select(F.col(label).cast("string").alias("cls"), F.col(rid).alias("rid")).distinct()
+    return running_sums(rows.withColumn("one", F.lit(1)), ["cls"], ["rid"], ["one"]).select("cls", (F.col("one_upto") - 1).alias("rank0"), "rid")
 
 
 def column_ranges(df: DataFrame, numbers: list[str]) -> list[float]:

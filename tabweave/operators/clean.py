@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.functions.missing import CLIENT_TOKENS, text_missing
-from tabweave.operators.order import melt, quantiles
+from tabweave.operators.order import column_quantiles
 from tabweave.plans.physical import one_row
 
 
@@ -23,7 +23,7 @@ def clean(df: DataFrame, numbers: list[str], labels: list[str], target: str | No
     """Numbers filled with their median (0 if none), labels with their most frequent value (the least if tied; UNKNOWN if none), rows without a target dropped."""
     fill = [c for c in labels if c != target]
     bare = blank_to_null(df, [*numbers, *fill, *([target] if target else [])], tokens)
-    q = quantiles(melt(bare, numbers), [0.5]).agg(F.map_from_entries(F.collect_list(F.struct("c", "q0"))).alias("m")) if numbers else None
+    q = column_quantiles(bare, numbers, [0.5]).agg(F.map_from_entries(F.collect_list(F.struct("c", "q0"))).alias("m")) if numbers else None
     cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").alias("v")) for c in fill]) if fill else None
     out = {c: F.coalesce(F.col(f"`{c}`").cast("double"), F.element_at(one_row(q)["m"], F.lit(c)), F.lit(0.0)) for c in numbers}
     if fill:

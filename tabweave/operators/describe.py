@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.missing import CLIENT_TOKENS, SERVICE_TOKENS, text_missing
 from tabweave.functions.scalars import clean_number, parse_datetime, strict_number, trim
-from tabweave.operators.order import melt, quantiles
+from tabweave.operators.order import column_quantiles, melt
 from tabweave.plans.physical import one_row
 
 # Names that mark a column as an identifier.
@@ -43,18 +43,16 @@ def numeric_profile(df: DataFrame, columns: list[str], digits: int = 6) -> DataF
 
 def five_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Exact quartiles, median and interquartile distance of each column."""
-    q = quantiles(melt(df, columns), [0.25, 0.5, 0.75])
+    q = column_quantiles(df, columns, [0.25, 0.5, 0.75])
     return q.select(F.col("c").alias("column_name"), "n", F.round("q0", 6).alias("q1"), F.round("q1", 6).alias("median"), F.round("q2", 6).alias("q3"), F.round(F.col("q2") - F.col("q0"), 6).alias("iqr"))
 
 
 def outliers(df: DataFrame, columns: list[str], multiplier: float = 1.5) -> DataFrame:
     """(c, n, lower, upper, count): values beyond the quartiles by more than `multiplier` times their distance."""
-    long = melt(df, columns)
-    q = quantiles(long, [0.25, 0.75])
-    width = (F.col("q1") - F.col("q0")) * multiplier
-    fences = q.select("c", "n", (F.col("q0") - width).alias("lower"), (F.col("q1") + width).alias("upper"))
-    out = long.join(F.broadcast(fences.select("c", "lower", "upper")), "c").groupBy("c").agg(F.count_if((F.col("x") < F.col("lower")) | (F.col("x") > F.col("upper"))).alias("count"))
-    return fences.join(out, "c")
+    fences = [(r.c, r.n, r.q0 - (r.q1 - r.q0) * multiplier, r.q1 + (r.q1 - r.q0) * multiplier) for r in column_quantiles(df, columns, [0.25, 0.75]).collect()]
+    x = lambda c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double"))
+    far = df.agg(*[F.count_if((x(c) < F.lit(a)) | (x(c) > F.lit(b))).alias(f"k{i}") for i, (c, _, a, b) in enumerate(fences)]).first() if fences else []
+    return df.sparkSession.createDataFrame([(*f, k) for f, k in zip(fences, far)], "c string, n bigint, lower double, upper double, count bigint")
 
 
 def class_counts(df: DataFrame, target: str, unknown: str = "UNKNOWN") -> DataFrame:

@@ -2,30 +2,69 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.operators.neighbours import nearest_rows
-from tabweave.operators.order import melt, order_statistics, running_counts
+from tabweave.operators.order import GATHERED, Cells, melt, order_statistics
 from tabweave.operators.relations import correlation_fidelity, covariance_distance
-from tabweave.plans.physical import one_row
+from tabweave.plans.physical import one_row, running_sums
 
 
-def _two(first: DataFrame, second: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, Column]]:
-    both = melt(first, columns).withColumn("w", F.lit(1)).unionByName(melt(second, columns).withColumn("w", F.lit(0)))
-    return both, {"a": F.col("w"), "b": 1 - F.col("w")}
+def two_cells(first: DataFrame, second: DataFrame, columns: list[str]) -> Cells:
+    """The counted cells of both tables, for ks() and wasserstein() to share."""
+    return Cells.of_two(first, second, columns)
 
 
-def ks(first: DataFrame, second: DataFrame, columns: list[str], ties: str = "reference") -> DataFrame:
+def ks(first: DataFrame, second: DataFrame, columns: list[str], ties: str = "reference", cells: Cells | None = None) -> DataFrame:
     """(c, n1, n2, d): two-sample Kolmogorov-Smirnov statistic. ties `exact` compares the distributions at each value; `reference`
-    also counts the point inside a tie where the shorter run of equal values ends."""
-    run = running_counts(*_two(first, second, columns))
-    a, b, n1, n2 = (F.col(k) for k in ("a", "b", "a_all", "b_all"))
-    i, j = F.col("a_upto") - a, F.col("b_upto") - b
-    end = F.abs((i + a) / n1 - (j + b) / n2)
-    m = F.least(a, b)
-    at = end if ties == "exact" else F.greatest(end, F.abs((i + m) / n1 - (j + m) / n2))
-    return run.where((n1 > 0) & (n2 > 0)).groupBy("c").agg(F.max("a_all").alias("n1"), F.max("b_all").alias("n2"), F.max(at).alias("d"))
+    also counts the point inside a tie where the shorter run of equal values ends.
+
+    The distance at the end of a cell is exact and one inside a cell is bounded by the counts at both of its ends, so only cells
+    whose bound exceeds the best end are read again.
+    """
+    cells = cells or two_cells(first, second, columns)
+    best: dict[str, float] = {}
+    open_: dict[int, list[int]] = {}
+    size = {c: (cells.total(c, "a"), cells.total(c, "b")) for c in cells.names}
+
+    def at(i, j, a, b, n1, n2):
+        end = np.abs((i + a) / n1 - (j + b) / n2)
+        m = np.minimum(a, b)
+        return end if ties == "exact" else np.maximum(end, np.abs((i + m) / n1 - (j + m) / n2))
+
+    for c, (n1, n2) in size.items():
+        if not (n1 and n2):
+            continue
+        p = cells.place[c]
+        a, b = cells.n["a"][p], cells.n["b"][p]
+        i, j = np.cumsum(a) - a, np.cumsum(b) - b
+        one = np.array([cells.settled(p, k) for k in range(len(a))])
+        known = np.where(one, at(i, j, a, b, n1, n2), np.abs((i + a) / n1 - (j + b) / n2))
+        best[c] = float(known.max())
+        bound = np.maximum((i + a) / n1 - j / n2, (j + b) / n2 - i / n1)
+        todo = np.flatnonzero(~one & (bound > best[c]))
+        if len(todo):
+            open_[p] = todo.tolist()
+    if open_:
+        every = [(p, k) for p, own in open_.items() for k in own]
+        offsets = [(o, cells.names[p], int(cells.n["a"][p][:k].sum()), int(cells.n["b"][p][:k].sum())) for o, (p, k) in enumerate(every)]
+        values = cells.values(open_)
+        if sum(int(cells.n[w][p][k]) for p, k in every for w in "ab") <= GATHERED:
+            table = values.toPandas().sort_values(["o", "x"])
+            for o, part in table.groupby("o"):
+                _, c, i, j = offsets[int(o)]
+                a, b = part["a"].to_numpy(), part["b"].to_numpy()
+                best[c] = max(best[c], float(at(i + np.cumsum(a) - a, j + np.cumsum(b) - b, a, b, *size[c]).max()))
+        else:
+            run = running_sums(values, ["o"], ["x"], ["a", "b"]).join(F.broadcast(cells.spark.createDataFrame([(*x, *size[x[1]]) for x in offsets], "o bigint, c string, i0 bigint, j0 bigint, n1 bigint, n2 bigint")), "o")
+            i, j, a, b, n1, n2 = F.col("i0") + F.col("a_upto") - F.col("a"), F.col("j0") + F.col("b_upto") - F.col("b"), *(F.col(k) for k in ("a", "b", "n1", "n2"))
+            m, end = F.least(a, b), F.abs((i + a) / n1 - (j + b) / n2)
+            d = end if ties == "exact" else F.greatest(end, F.abs((i + m) / n1 - (j + m) / n2))
+            for r in run.groupBy("c").agg(F.max(d).alias("d")).collect():
+                best[r.c] = max(best[r.c], r.d)
+    return cells.spark.createDataFrame([(c, *size[c], d) for c, d in best.items()], "c string, n1 bigint, n2 bigint, d double")
 
 
 def severity(d: Column) -> Column:
@@ -41,12 +80,14 @@ def ks_p(d: Column, n1: Column, n2: Column) -> Column:
     return F.when(lam <= 0.05, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)))
 
 
-def wasserstein(first: DataFrame, second: DataFrame, columns: list[str], profile: str = "client") -> DataFrame:
+def wasserstein(first: DataFrame, second: DataFrame, columns: list[str], profile: str = "client", cells: Cells | None = None) -> DataFrame:
     """(c, w1): mean distance of 100 quantiles, taken at floor(q / 101 n) (client) or floor(q / 100 n) (service), q = 1..100."""
     over = 101.0 if profile == "client" else 100.0
-    at = lambda n: F.transform(F.sequence(F.lit(1), F.lit(100)), lambda q: F.least(F.floor(q / F.lit(over) * F.col(n)), F.col(n) - 1))
-    s = order_statistics(*_two(first, second, columns), {"a": at("a_all"), "b": at("b_all")})
-    return s.groupBy("c").agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("w1"))
+    cells = cells or two_cells(first, second, columns)
+    both = [c for c in cells.names if cells.total(c, "a") and cells.total(c, "b")]
+    at = lambda n: [min(int(np.floor(q / over * n)), n - 1) for q in range(1, 101)]
+    found = cells.pick({(c, k): at(cells.total(c, k)) for c in both for k in "ab"})
+    return cells.spark.createDataFrame([(c, float(np.mean(np.abs(np.subtract(found[c, "a"], found[c, "b"]))))) for c in both], "c string, w1 double")
 
 
 def total_variation(first: DataFrame, second: DataFrame, columns: list[str]) -> DataFrame:
@@ -68,7 +109,8 @@ def category_shares(first: DataFrame, second: DataFrame, column: str) -> DataFra
 def feature_audit(real: DataFrame, synth: DataFrame, columns: list[str]) -> DataFrame:
     """One row a numeric column: KS, fidelity, Wasserstein distance by range, means, deviations, severity."""
     side = lambda d, s: melt(d, columns).groupBy("c").agg(F.avg("x").alias(f"{s}_mean"), F.coalesce(F.stddev_samp("x"), F.lit(1.0)).alias(f"{s}_std"), F.min("x").alias(f"{s}_min"), F.max("x").alias(f"{s}_max"))
-    t = ks(real, synth, columns).join(wasserstein(real, synth, columns), "c").join(side(real, "r"), "c").join(side(synth, "s"), "c")
+    cells = two_cells(real, synth, columns)
+    t = ks(real, synth, columns, cells=cells).join(wasserstein(real, synth, columns, cells=cells), "c").join(side(real, "r"), "c").join(side(synth, "s"), "c")
     width = F.when(F.col("r_max") > F.col("r_min"), F.col("r_max") - F.col("r_min")).otherwise(1.0)
     return t.select(
         F.col("c").alias("column_name"), F.round("d", 4).alias("ks"), F.round(F.greatest(F.lit(0.0), 1 - F.round("d", 4)), 4).alias("ks_fidelity"), F.round("w1", 4).alias("w1"), F.round(F.col("w1") / width, 4).alias("w1_by_range"),
@@ -114,8 +156,9 @@ def audit(real: DataFrame, synth: DataFrame, numbers: list[str], labels: list[st
 
 def audit_service(real: DataFrame, synth: DataFrame, columns: list[str]) -> DataFrame:
     """One row: mean p value, share of columns with p >= 0.05, mean Wasserstein distance, covariance distance."""
-    t = ks(real, synth, columns).withColumn("p", F.round(ks_p(F.col("d"), F.col("n1"), F.col("n2")), 4)).agg(F.round(F.avg("p"), 4).alias("ks_p_mean"), F.round(F.avg((F.col("p") >= 0.05).cast("int")), 2).alias("ks_passed"))
-    w = wasserstein(real, synth, columns, "service").agg(F.round(F.avg(F.round("w1", 4)), 4).alias("w"))
+    cells = two_cells(real, synth, columns)
+    t = ks(real, synth, columns, cells=cells).withColumn("p", F.round(ks_p(F.col("d"), F.col("n1"), F.col("n2")), 4)).agg(F.round(F.avg("p"), 4).alias("ks_p_mean"), F.round(F.avg((F.col("p") >= 0.05).cast("int")), 2).alias("ks_passed"))
+    w = wasserstein(real, synth, columns, "service", cells).agg(F.round(F.avg(F.round("w1", 4)), 4).alias("w"))
     return t.select("ks_p_mean", "ks_passed", one_row(w)["w"].alias("wasserstein_mean"), one_row(covariance_distance(real, synth, columns))["frobenius"].alias("covariance_frobenius"))
 
 

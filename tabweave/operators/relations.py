@@ -2,32 +2,83 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabweave.operators.order import melt, running_counts
-from tabweave.plans.physical import one_row
+from tabweave.operators.order import melt
+from tabweave.plans.physical import one_row, running_sums
 
 
-def _unpack(row: DataFrame, pairs: list[tuple[str, str]], names: list[str]) -> DataFrame:
-    """One row of aggregates p{i}_{name} as one row a pair."""
-    items = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), *[F.col(f"p{i}_{n}").alias(n) for n in names]) for i, (a, b) in enumerate(pairs)]
-    return row.select(F.explode(F.array(*items)).alias("e")).select("e.*")
+def _gram(width: int, change: Callable[[np.ndarray], np.ndarray] | None = None):
+    """Sums of products of the batch's columns: of values (kind 0), of values where the other is present (1), of squares likewise (2),
+    and how often both are present (3)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, width, width))
+        for b in batches:
+            x = np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False), np.float64) for c in b.columns])
+            x = change(x) if change else x
+            there = ~np.isnan(x)
+            x[~there] = 0.0
+            mask = there.astype(np.float64)
+            for k, (left, right) in enumerate(((x, x), (x, mask), (x * x, mask), (mask, mask))):
+                sums[k] += left.T @ right
+        k, i, j = np.indices(sums.shape).reshape(3, -1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(i), pa.array(j), pa.array(sums.ravel())], names=["k", "i", "j", "v"])
+
+    return run
 
 
 def pair_statistics(df: DataFrame, columns: list[str], diagonal: bool = False) -> DataFrame:
-    """(a, b, n, r, cov): pairwise-complete Pearson correlation (0 without spread) and sample covariance, all pairs in one scan."""
-    pairs = list(combinations(columns, 2)) + ([(c, c) for c in columns] if diagonal else [])
-    aggs = []
-    clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
-    for i, (a, b) in enumerate(pairs):
-        x, y = clean[a], clean[b]
-        aggs += [F.count_if(x.isNotNull() & y.isNotNull()).alias(f"p{i}_n"), F.corr(x, y).alias(f"p{i}_r"), F.covar_samp(x, y).alias(f"p{i}_cov")]
-    t = _unpack(df.agg(*aggs), pairs, ["n", "r", "cov"])
-    r = F.when(F.col("r").isNull() | F.isnan("r"), F.lit(0.0)).otherwise(F.col("r"))
-    return t.select("a", "b", "n", r.alias("r"), F.coalesce("cov", F.lit(0.0)).alias("cov"))
+    """(a, b, n, r, cov): pairwise-complete Pearson correlation (0 without spread) and sample covariance.
+
+    One scan adds up a matrix of products of the columns, each shifted by its mean, whatever the number of pairs; only sums reach the
+    driver.
+    """
+    d, spark = len(columns), df.sparkSession
+    clean = df.select(*[F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")).alias(f"x{j}") for j, c in enumerate(columns)])
+    means = clean.agg(*[F.avg(F.when(F.abs(f"x{j}") < F.lit(float("inf")), F.col(f"x{j}"))).alias(f"m{j}") for j in range(d)]).first() if d else []
+    shift = [float(m or 0.0) for m in means]
+    shifted = clean.select(*[(F.col(f"x{j}") - F.lit(shift[j])).alias(f"x{j}") for j in range(d)])
+    return spark.createDataFrame(_from_sums(_products(shifted, None), columns, shift, diagonal), "a string, b string, n bigint, r double, cov double")
+
+
+def scored_correlation(df: DataFrame, columns: list[str], score: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The correlation matrix of score(rows by columns), an array function whose values lie around 0; one scan."""
+    own = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{j}") for j, c in enumerate(columns)])
+    d, m = len(columns), np.eye(len(columns))
+    for a, b, _, r, _ in _from_sums(_products(own, score), list(range(d)), [0.0] * d, False):
+        m[a, b] = m[b, a] = r
+    return m
+
+
+def _products(rows: DataFrame, change: Callable[[np.ndarray], np.ndarray] | None) -> np.ndarray:
+    d = len(rows.columns)
+    s = np.zeros((4, d, d))
+    for r in rows.mapInArrow(_gram(d, change), "k int, i int, j int, v double").groupBy("k", "i", "j").agg(F.sum("v").alias("v")).collect() if d else []:
+        s[r.k, r.i, r.j] = r.v
+    return s
+
+
+def _from_sums(s: np.ndarray, columns: list, shift: list[float], diagonal: bool) -> list[tuple]:
+    """(a, b, n, r, cov) out of the sums of products of shifted columns."""
+    d, rows = len(columns), []
+    for i, j in [*combinations(range(d), 2), *([(i, i) for i in range(d)] if diagonal else [])]:
+        n = int(s[3, i, j])
+        if n:
+            x, y = s[1, i, j], s[1, j, i]
+            both, own, other = s[0, i, j] - x * y / n, s[2, i, j] - x * x / n, s[2, j, i] - y * y / n
+            # A constant column leaves rounding errors of its shift, no spread.
+            flat = min(own / (1e-300 + n * shift[i] ** 2), other / (1e-300 + n * shift[j] ** 2)) < 1e-28 or min(own, other) <= 0
+            r = 0.0 if flat or not np.isfinite(both) else float(np.clip(both / np.sqrt(own) / np.sqrt(other), -1, 1))
+            rows.append((columns[i], columns[j], n, r, float(both / (n - 1)) if n > 1 else 0.0))
+        else:
+            rows.append((columns[i], columns[j], 0, 0.0, 0.0))
+    return rows
 
 
 def correlations(df: DataFrame, columns: list[str], high: float = 0.85) -> DataFrame:
@@ -36,16 +87,10 @@ def correlations(df: DataFrame, columns: list[str], high: float = 0.85) -> DataF
     return t.withColumn("is_high", F.abs("r") > high)
 
 
-def ordinal_ranks(df: DataFrame, columns: list[str], rid: str, span: int = 1 << 20) -> DataFrame:
-    """(rid, c, x, rank): 1-based ranks, ties by row id. Ties are numbered in spans of ids, so a value held by many rows is not one task."""
-    long = melt(df, columns, [rid])
-    below = running_counts(long, {"n": F.lit(1)}).select("c", "x", (F.col("n_upto") - F.col("n")).alias("below"))
-    cut = long.withColumn("s", F.floor(F.col(rid) / span))
-    tied = cut.groupBy("c", "x", "s").agg(F.count(F.lit(1)).alias("k"))
-    before = Window.partitionBy("c", "x").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    shift = tied.select("c", "x", "s", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("shift"))
-    local = cut.withColumn("local", F.row_number().over(Window.partitionBy("c", "x", "s").orderBy(rid)))
-    return local.join(shift, ["c", "x", "s"]).join(below, ["c", "x"]).select(rid, "c", "x", (F.col("below") + F.col("shift") + F.col("local")).alias("rank"))
+def ordinal_ranks(df: DataFrame, columns: list[str], rid: str) -> DataFrame:
+    """(rid, c, x, rank): 1-based ranks, ties by row id, so neither a column nor a value held by many rows is one task."""
+    t = running_sums(melt(df, columns, [rid]).withColumn("one", F.lit(1)), ["c"], ["x", rid], ["one"])
+    return t.select(rid, "c", "x", F.col("one_upto").alias("rank"))
 
 
 def spearman(df: DataFrame, columns: list[str], rid: str) -> DataFrame:

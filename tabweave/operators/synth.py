@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabweave.functions.rng import gaussian, normal_cdf, probit, uniform
+from tabweave.functions.rng import gaussian, normal_cdf, probit_array, uniform
 from tabweave.operators.augment import column_ranges, ranked
 from tabweave.operators.neighbours import nearest_rows
-from tabweave.operators.order import melt, order_statistics, quantiles, running_counts
-from tabweave.operators.relations import binned, mutual_information, pair_statistics, spearman
-from tabweave.plans.physical import materialize, one_row, small_side
+from tabweave.operators.order import Cells, column_quantiles, melt, running_counts
+from tabweave.operators.relations import binned, mutual_information, scored_correlation, spearman
+from tabweave.plans.physical import materialize, one_row, running_sums, small_side
 
 
 def cholesky_psd(r: np.ndarray) -> np.ndarray:
@@ -40,14 +40,10 @@ def ecdf(df: DataFrame, columns: list[str], profile: str = "client") -> DataFram
 
 
 def category_shares(df: DataFrame, c: str) -> DataFrame:
-    """(value, below, share): the cumulative share of each value of `c` in lexicographic order, without and with itself. Values are cut
-    into ranges, so no task sorts a column; only the sizes of ranges are added up in one."""
+    """(value, below, share): the cumulative share of each value of `c` in lexicographic order, without and with itself."""
     counts = df.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    cut = materialize(materialize(counts, "values").repartitionByRange("value").withColumn("part", F.spark_partition_id()), "shares")
-    sizes = cut.groupBy("part").agg(F.sum("n").alias("size"))
-    parts = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"), F.sum("size").over(Window.partitionBy()).alias("total"))
-    upto = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("value"))
-    return cut.join(F.broadcast(parts), "part").select("value", ((upto - F.col("n")) / F.col("total")).alias("below"), (upto / F.col("total")).alias("share"))
+    t = running_sums(counts.withColumn("all", F.lit(0)), ["all"], ["value"], ["n"])
+    return t.select("value", ((F.col("n_upto") - F.col("n")) / F.col("n_all")).alias("below"), (F.col("n_upto") / F.col("n_all")).alias("share"))
 
 
 def with_draws(out: DataFrame, df: DataFrame, labels: list[str], seed: int) -> DataFrame:
@@ -67,24 +63,20 @@ def with_draws(out: DataFrame, df: DataFrame, labels: list[str], seed: int) -> D
     return out
 
 
-def copula(df: DataFrame, numbers: list[str], labels: list[str], n: int, seed: int = 42, method: str = "pearson", rid: str | None = None, grid: int = 4001) -> DataFrame:
+def copula(df: DataFrame, numbers: list[str], labels: list[str], n: int, seed: int = 42, method: str = "pearson", rid: str | None = None, grid: int = 2000) -> DataFrame:
     """(row_id, numbers, labels): n rows with the marginals and the correlation of the scores of `df`; labels are drawn apart.
-    Marginals are read at `grid` exact quantiles with linear interpolation between them; constants stay."""
-    long = melt(df, numbers)
-    places = F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), lambda i: F.round(i / F.lit(grid - 1.0) * (F.col("n_all") - 1)).cast("bigint"))
-    marks: dict[str, np.ndarray] = {c: np.zeros(grid) for c in numbers}
-    for x in order_statistics(long, {"n": F.lit(1)}, {"n": places}).collect():
-        marks[x.c][x.i] = x.n
-    if method == "spearman" and rid:
-        pairs = spearman(df, numbers, rid)
-    else:
-        score = df.select(*[probit(_forward(marks[c])(F.col(c).cast("double"))).alias(c) for c in numbers])
-        pairs = pair_statistics(score, numbers)
+    A marginal is the exact cumulative share at the ends of `grid` cells of its column, linear in between; constants stay, and a value
+    that fills a cell is a step."""
+    cells = Cells.of_columns(df, numbers, grid, stable=True)
+    marks = {c: cells.steps(c, "n") if c in cells.place else (np.zeros(2), np.array([0.0, 1.0])) for c in numbers}
     d, m = len(numbers), np.eye(len(numbers))
-    r = {(p.a, p.b): p.r for p in pairs.collect()} if d > 1 else {}
-    for (a, b), v in r.items():
-        i, j = numbers.index(a), numbers.index(b)
-        m[i, j] = m[j, i] = v
+    if method == "spearman" and rid:
+        for p in spearman(df, numbers, rid).collect():
+            i, j = numbers.index(p.a), numbers.index(p.b)
+            m[i, j] = m[j, i] = p.r
+    elif d > 1:
+        ways = [_forward(marks[c]) for c in numbers]
+        m = scored_correlation(df, numbers, lambda x: np.column_stack([probit_array(way(x[:, j])) for j, way in enumerate(ways)]))
     lower = cholesky_psd(m) if d else m
     base = df.sparkSession.range(n).withColumnRenamed("id", "row_id")
     g = [gaussian(seed, F.col("row_id"), f"g{j}") for j in range(d)]
@@ -96,30 +88,33 @@ def copula(df: DataFrame, numbers: list[str], labels: list[str], n: int, seed: i
     return with_draws(out.select("row_id", *numbers), df, labels, seed)
 
 
-def _forward(marks: np.ndarray):
-    """The share of the quantiles at most x, kept off 0 and 1; null stays null."""
+def _forward(marks: tuple[np.ndarray, np.ndarray]):
+    """The share of the values at most x, kept off 0 and 1; null stays null."""
+    values, shares = marks
 
-    @F.pandas_udf(T.DoubleType())
-    def forward(x: pd.Series) -> pd.Series:
-        u = np.clip(np.searchsorted(marks, x, "right") / (len(marks) + 1), 0.001, 0.999)
-        return pd.Series(np.where(x.isna(), np.nan, u))
+    def forward(v: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(values, v, "right")
+        a, b = np.clip(at - 1, 0, len(values) - 1), np.clip(at, 0, len(values) - 1)
+        width = values[b] - values[a]
+        u = shares[a] + np.where(width > 0, (v - values[a]) / np.where(width > 0, width, 1.0), 0.0) * (shares[b] - shares[a])
+        return np.where(np.isnan(v), np.nan, np.clip(np.where(at > 0, u, 0.0), 0.001, 0.999))
 
     return forward
 
 
-def _inverse(marks: np.ndarray):
-    at = np.linspace(0, 1, len(marks))
+def _inverse(marks: tuple[np.ndarray, np.ndarray]):
+    values, shares = marks
 
     @F.pandas_udf(T.DoubleType())
     def inverse(u: pd.Series) -> pd.Series:
-        return pd.Series(np.interp(u, at, marks))
+        return pd.Series(np.interp(u, shares, values))
 
     return inverse
 
 
 def bandwidths(df: DataFrame, columns: list[str], multiplier: float = 1.0) -> DataFrame:
     """(c, h): Silverman's 0.9 min(s, IQR / 1.34) n^-0.2; the deviation alone where the quartiles meet."""
-    q = quantiles(melt(df, columns), [0.25, 0.75])
+    q = column_quantiles(df, columns, [0.25, 0.75])
     s = melt(df, columns).groupBy("c").agg(F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("s"))
     iqr = (F.col("q1") - F.col("q0")) / 1.34
     spread = F.when(iqr > 0, F.least("s", iqr)).otherwise(F.col("s"))

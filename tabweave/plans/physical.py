@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,29 +14,54 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 24 << 20
 
 
+#: Folders of materialize() to be removed when the scope() they were made in ends; one list a nested scope.
+_SCOPES: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one only where none is set."""
+    """The folder all executors share, as the session names it. Where none is set: a temporary one in a local session, in which all
+    tasks run on this machine, and an error on a cluster, whose executors would each write to a disk of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("no shared folder: set spark.checkpoint.dir to one that all executors reach")
         found = tempfile.mkdtemp(prefix="tabweave-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation.
 
-    The table is removed when the session ends.
+    The table is removed when the scope() it was made in ends, else when the session ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tabweave/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    target, files = _folder(spark, path)
+    files.deleteOnExit(target)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Frees the tables that operators materialize inside it once it ends: write the result within the scope."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            target, files = _folder(spark, path)
+            files.delete(target, True)
+
+
 def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Mark `df` for broadcast if `rows` x `row_bytes`, a counted size, is within BROADCAST_BYTES; else leave it to a shuffle join."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
@@ -86,6 +113,24 @@ def dense_rank_within(df: DataFrame, keys: list[str], unique: list[Column], name
     return local.join(shifts, [*keys, part]).withColumn(name, F.col(name) + F.col(shift)).drop(part, order, shift)
 
 
+def running_sums(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """`df` with, for each of `values`, v_upto (its sum over the rows of the group up to this one by `order`, which must tell the rows
+    of a group apart) and v_all (its sum over the group).
+
+    The rows are cut into ranges of (keys, order) at sampled splitters, so a range is a share of all rows whatever their values and
+    however large a group is; windows run inside a range, and only the sums of ranges are added up across them. The cut is written
+    once, as the number of a range must not change.
+    """
+    part = free_name(df, "_part")
+    cut = materialize(df.repartitionByRange(*keys, *order).withColumn(part, F.spark_partition_id()), "ranges")
+    every, before = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(*keys, part).agg(*[F.sum(v).alias(f"{v}_part") for v in values])
+    sizes = sizes.select(*keys, part, *[F.coalesce(F.sum(f"{v}_part").over(before), F.lit(0)).alias(f"{v}_before") for v in values], *[F.sum(f"{v}_part").over(every).alias(f"{v}_all") for v in values])
+    inside = Window.partitionBy(*keys, part).orderBy(*order)
+    local = cut.select("*", *[F.sum(v).over(inside).alias(f"{v}_in") for v in values])
+    return local.join(sizes, [*keys, part]).select(*df.columns, *[(F.col(f"{v}_in") + F.col(f"{v}_before")).alias(f"{v}_upto") for v in values], *[f"{v}_all" for v in values])
+
+
 def pin(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add `value` as a column that is computed once: a generator keeps the optimizer from copying a costly expression into each use."""
     return df.select("*", F.explode(F.array(value)).alias(name))
