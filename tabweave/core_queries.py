@@ -15,10 +15,6 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
-def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return column_defects(_read(spark, sf, "churn_rows"), _read(spark, sf, "column_profiles")).select("dataset_id", "load_no", "column_name", "issue")
-
-
 #: Every column of churn_rows but the key of its loads. Labels may be spelled with outer blanks and in any case.
 PANEL = Layout(
     codes=("account_id", "plan_code", "site_code"),
@@ -29,9 +25,19 @@ PANEL = Layout(
         "account_id": "[A-Z]{2}-[0-9]{8}", "plan_code": "[A-Z][0-9]{2}-[A-Z]{2}", "site_code": "[A-Z][0-9]{2}",
         "contract_type": r"(?i)[ \t]*(?:month-to-month|one-year|two-year)[ \t]*", "churn_risk": r"(?i)[ \t]*(?:low|medium|high)[ \t]*"})
 
+#: The columns whose defects p1_found reports, with their patterns.
+FOUND = Layout(patterns={k: v for k, v in PANEL.patterns.items() if k != "site_code"})
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return column_defects(_read(spark, sf, "churn_rows"), _read(spark, sf, "column_profiles"), FOUND).select("dataset_id", "load_no", "column_name", "issue")
+
 
 def p1_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return column_profile(_read(spark, sf, "churn_rows"), PANEL)
+    """The whole profile, its figures at digits in which two ways of adding up doubles agree."""
+    digits = {"missing_share": 9, "missing_shift": 9, "min": 3, "max": 3, "mean": 7, "std": 5, "skew": 5, "kurtosis": 4, "mean_shift": 6}
+    t = column_profile(_read(spark, sf, "churn_rows"), PANEL).withColumns({c: F.round(c, d) for c, d in digits.items()})
+    return t.withColumn("mean", F.when(F.col("column_name").isin(*PANEL.times), F.round("mean", 5)).otherwise(F.col("mean")))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,10 +143,39 @@ SELECT dataset_id, load_no, column_name, count(*) AS rows, count(*) - count(x) -
   round(min(x), 6) AS min, round(max(x), 6) AS max, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std FROM cells GROUP BY ALL
 """
 
+def _p1_profile() -> str:
+    """Two passes: means first, then sums of powers of the distance from them."""
+    parts = []
+    for c in PANEL.columns:
+        if c in PANEL.numbers:
+            x = f"CASE WHEN {c} IS NULL OR isnan(CAST({c} AS DOUBLE)){'' if c in PANEL.signed else f' OR {c} < 0'} THEN NULL ELSE CAST({c} AS DOUBLE) END"
+            parts.append(f"SELECT dataset_id, load_no, '{c}' AS column_name, {x} AS x, CAST(NULL AS VARCHAR) AS t, CAST(NULL AS VARCHAR) AS f, FALSE AS wrong, FALSE AS is_time FROM churn_rows")
+        else:
+            t = f"CASE WHEN lower(trim({c}, ' \t')) IN {_TOKENS} THEN NULL ELSE {c} END"
+            f = f"lower(trim({c}, ' \t'))" if c in PANEL.labels else f"regexp_replace(regexp_replace(regexp_replace({c}, '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '9', 'g')"
+            parts.append(f"SELECT dataset_id, load_no, '{c}', CAST(NULL AS DOUBLE), {t}, CASE WHEN ({t}) IS NOT NULL THEN {f} END, NOT regexp_full_match(({t}), '{PANEL.patterns[c]}'), FALSE FROM churn_rows")
+    for c in PANEL.times:
+        parts.append(f"SELECT dataset_id, load_no, '{c}', epoch_us({c}) / 1e6 - 1.7e9, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), FALSE, TRUE FROM churn_rows")
+    return f"""
+WITH cells(dataset_id, load_no, column_name, x, t, f, wrong, is_time) AS ({" UNION ALL ".join(parts)}),
+a AS (SELECT dataset_id, load_no, column_name, count(*) AS rows, count(*) - count(x) - count(t) AS missing, count(DISTINCT x) + count(DISTINCT t) AS d, count(x) AS n, min(x) AS lo, max(x) AS hi, avg(x) AS m,
+  count(*) FILTER (wrong) AS violations, count(*) FILTER (NOT is_time AND (abs(x) >= 1e12 OR round(x * 1e6) / 1e6 <> x)) AS inexact, any_value(CASE WHEN is_time THEN 1.7e9 ELSE 0 END) AS origin FROM cells GROUP BY dataset_id, load_no, column_name),
+p AS (SELECT c.dataset_id, c.load_no, c.column_name, sum((x - m) ** 2) AS m2, sum((x - m) ** 3) AS m3, sum((x - m) ** 4) AS m4 FROM cells c JOIN a ON a.dataset_id = c.dataset_id AND a.load_no = c.load_no AND a.column_name = c.column_name GROUP BY ALL),
+forms AS (SELECT dataset_id, load_no, column_name, f, count(*) AS k FROM cells WHERE f IS NOT NULL GROUP BY ALL),
+tops AS (SELECT dataset_id, load_no, column_name, f AS top_form, k AS top_count FROM forms QUALIFY row_number() OVER (PARTITION BY dataset_id, load_no, column_name ORDER BY k DESC, f DESC) = 1),
+s AS (SELECT a.*, m2, m3, m4, CASE WHEN n >= 2 THEN CASE WHEN lo = hi THEN 0.0 ELSE sqrt(m2 / (n - 1)) END END AS std FROM a JOIN p USING (dataset_id, load_no, column_name)),
+b AS (SELECT *, lag(m) OVER w AS b_m, lag(std) OVER w AS b_std, lag(n) OVER w AS b_n, lag(missing / rows) OVER w AS b_gap FROM s WINDOW w AS (PARTITION BY dataset_id, column_name ORDER BY load_no))
+SELECT dataset_id, load_no, column_name, rows, missing, round(missing / rows, 9) AS missing_share, round(missing / rows - b_gap, 9) AS missing_shift, d AS "distinct", round(lo + origin, 3) AS min, round(hi + origin, 3) AS max,
+  CASE WHEN origin > 0 THEN round(m + origin, 5) ELSE round(m, 7) END AS mean, round(std, 5) AS std, round(CASE WHEN n >= 3 THEN CASE WHEN lo = hi THEN 0.0 ELSE sqrt(n * (n - 1)) / (n - 2) * (m3 / n) / (m2 / n) ** 1.5 END END, 5) AS skew,
+  round(CASE WHEN n >= 4 THEN CASE WHEN lo = hi THEN 0.0 ELSE (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * ((m4 / n) / (m2 / n) ** 2 - 3) + 6) END END, 4) AS kurtosis,
+  round(CASE WHEN n >= 2 AND b_n >= 2 THEN (m - b_m) / nullif(sqrt((std ** 2 * (n - 1) + b_std ** 2 * (b_n - 1)) / (n + b_n - 2)), 0) END, 6) AS mean_shift, top_form, top_count, violations, inexact
+FROM b LEFT JOIN tops USING (dataset_id, load_no, column_name)"""
+
+
 _P3_FOUND = f"""
 WITH cells AS ({_CELLS}),
 s AS (SELECT dataset_id, load_no, site_code, column_name, count(x) + count(t) AS n FROM cells WHERE lower(trim(site_code, ' \t')) NOT IN {_TOKENS} AND column_name NOT IN ('account_id', 'plan_code', 'churn_risk') GROUP BY ALL)
 SELECT c.row_id, c.column_name FROM cells c JOIN s USING (dataset_id, load_no, site_code, column_name) WHERE c.x IS NULL AND c.t IS NULL AND s.n > 0
 """
 
-ORACLES = {"p1_found": _P1_FOUND, "p1_moments": _P1_MOMENTS, "p3_found": _P3_FOUND, "p2_found": _p2_found()}
+ORACLES = {"p1_found": _P1_FOUND, "p1_profile": _p1_profile(), "p1_moments": _P1_MOMENTS, "p3_found": _P3_FOUND, "p2_found": _p2_found()}

@@ -1,13 +1,11 @@
 """Column-level quality profile of every load of a table, and what changed since the load before.
 
 One scan cuts every row into cells and pre-aggregates them by (load, column, form): the form of a code is its shape, of a
-label its cleaned spelling, of a number the bucket of an order-preserving grid. Everything else is arithmetic over that
-table, whose size follows the number of loads and not the number of rows: counts, ranges, label shares,
-and two-sided bounds on the Kolmogorov distance between neighbouring loads. Only the buckets where those bounds leave the
-verdict open are read again value by value, so the verdict is exact without sorting the values of a column anywhere.
-
-column_defects() needs no more than that. Only column_profile() adds exact power sums, distincts and violations of patterns, from a second
-scan that counts values.
+label its cleaned spelling, of a number the bucket of an order-preserving grid. A second scan counts values and adds up exact, mergeable
+power sums, distincts and violations of patterns. Both end in one table, the profile, whose size follows the number of loads and not
+the number of rows. column_profile() shows it; column_defects() takes its issues from it, with two-sided bounds on the Kolmogorov
+distance between neighbouring loads from the counted forms. Only the buckets where those bounds leave the verdict open are read again
+value by value, so the verdict is exact without sorting the values of a column anywhere.
 
 A hot load or account is harmless: the first aggregation combines on the map side and no window runs over rows.
 """
@@ -15,12 +13,16 @@ A hot load or account is harmless: the first aggregation combines on the map sid
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from decimal import Decimal
+from math import comb
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabweave.functions.missing import ALL_TOKENS, bare, number_missing, text_missing
-from tabweave.plans.physical import materialize
+from tabweave.plans.physical import materialize, pin
 
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
@@ -54,7 +56,7 @@ class Layout:
     patterns: dict[str, str] = field(default_factory=dict)
     #: Buckets to each unit of ln(1 + |x|), and decimals kept by the exact power sums.
     resolution: int = 16
-    scale: int = 4
+    scale: int = 6
 
     @property
     def columns(self) -> list[str]:
@@ -100,12 +102,19 @@ def form_counts(df: DataFrame, lay: Layout = Layout()) -> DataFrame:
     return _cells(df, lay, lay.columns).groupBy("g", "l", "c", "b", "f").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
 
 
+#: Powers of q = u x LIMB + v as sums of products: for each power k, (times u, times v) of its terms, whose factor is a binomial.
+LIMB = 100_000_000
+TERMS = [(k, i, k - i) for k in (2, 3, 4) for i in range(k + 1)]
+
+
 def value_sums(df: DataFrame, lay: Layout = Layout()) -> DataFrame:
-    """(g, l, c): distinct present values, violations of patterns, power sums p1..p4, and inexact, the values they are not exact for.
+    """(g, l, c): distinct present values, violations of patterns, exact power sums, and inexact, the values they are not exact for.
 
-    Values are counted first, so patterns and powers are worked out once a distinct value. A number is read as a whole number of
-    10^-scale; the sums of its powers are whole decimals, exact and the same in any order of merging. Where a value has more digits, is
-    100,000 or more, or a sum passes 38 digits, the sums of that column and load are floating ones.
+    Values are counted first, so patterns and powers are worked out once a distinct value. A number is read as a whole number q of
+    10^-scale, below 10^16, and q as u x 10^8 + v; the sums of the products of u and v (q1 and t2_0 to t4_4) are whole decimals of at
+    most 38 digits, exact and the same in any order of merging, and give the sums of the powers of q, of any size, by the binomial
+    theorem (see central_moments()). A value with more decimals or of 10^16 units or more is counted as inexact, and so are all of a
+    column and load whose sum passes 38 digits.
     """
     parts = []
     for i, name in enumerate(lay.columns):
@@ -124,14 +133,84 @@ def value_sums(df: DataFrame, lay: Layout = Layout()) -> DataFrame:
     for name, pattern in lay.patterns.items():
         wrong = wrong | ((F.col("c") == lay.columns.index(name)) & ~F.rlike(F.coalesce("v", F.col("x").cast("string")), F.lit(rf"^(?:{pattern})\z")))
     x, unit = F.col("x"), 10.0**lay.scale
-    q = F.when(F.abs(x) < 1e5, F.round(x * unit)).cast("decimal(10,0)")
-    each = each.withColumn("q", q).withColumn("odd", x.isNotNull() & (F.col("q").isNull() | (F.col("q").cast("double") / unit != x)))
-    q, n = F.col("q"), F.col("n").cast("decimal(18,0)")
-    power, loose = {1: q, 2: q * q, 3: q * q * q, 4: q * q * q * q}, {1: x, 2: x * x, 3: x * x * x, 4: x * x * x * x}
+    each = each.withColumn("q", F.when(F.abs(x) < LIMB**2 / unit, F.rint(x * unit)).cast("bigint"))
+    each = each.withColumn("odd", x.isNotNull() & (F.col("q").isNull() | (F.col("q").cast("double") / unit != x)))
+    each = each.withColumn("u", F.expr(f"q div {LIMB}L")).withColumn("w", F.col("q") - F.col("u") * LIMB)
+    n, u, v = F.col("n"), F.col("u"), F.col("w")
+    whole = lambda e: e.cast("decimal(19,0)")
+    uu, uv, vv = u * u, u * v, v * v
+    product = {(2, 0): whole(uu), (1, 1): whole(uv), (0, 2): whole(vv), (3, 0): whole(uu) * whole(u), (2, 1): whole(uu) * whole(v), (1, 2): whole(vv) * whole(u), (0, 3): whole(vv) * whole(v),
+               (4, 0): whole(uu) * whole(uu), (3, 1): whole(uu) * whole(uv), (2, 2): whole(uu) * whole(vv), (1, 3): whole(vv) * whole(uv), (0, 4): whole(vv) * whole(vv)}
+
+    def added(e: Column, name: str, needs: Column | None) -> list[Column]:
+        """The sum over rows of n times e, where `needs` holds (elsewhere e is 0); -1 rows of it if it passes 38 digits."""
+        e = e.cast("decimal(38,0)")
+        term = F.when(n == 1, e).otherwise(F.try_multiply(e, whole(n)))
+        return [F.try_sum(F.when(needs, term) if needs is not None else term).alias(name)]
+
+    large = u != 0
     sums = each.groupBy("g", "l", "c").agg(
-        F.count(F.lit(1)).alias("distinct"), F.sum(F.when(wrong, F.col("n")).otherwise(0)).alias("violations"), F.sum(F.when(F.col("odd"), F.col("n")).otherwise(0)).alias("inexact"),
-        *[F.try_sum(F.try_multiply(p, n)).alias(f"s{k}") for k, p in power.items()], *[F.sum(p * F.col("n")).alias(f"e{k}") for k, p in loose.items()])
-    return sums.select("g", "l", "c", "distinct", "violations", "inexact", *[F.when(F.col("inexact") == 0, F.coalesce(F.col(f"s{k}").cast("double") / unit**k, F.col(f"e{k}"))).otherwise(F.col(f"e{k}")).alias(f"p{k}") for k in power])
+        F.count(F.lit(1)).alias("distinct"), F.sum(F.when(wrong, n).otherwise(0)).alias("violations"), F.sum(F.when(F.col("odd"), n).otherwise(0)).alias("inexact"),
+        F.count("q").alias("numbers"), F.count(F.when(large, 1)).alias("larges"), *added(whole(F.col("q")), "q1", None), *[e for k, i, j in TERMS for e in added(product[i, j], f"t{k}_{i}", large if i else None)])
+    # A sum that passed 38 digits is null although it has terms.
+    lost = F.lit(False)
+    for name, count in [("q1", "numbers"), *[(f"t{k}_{i}", "larges" if i else "numbers") for k, i, _ in TERMS]]:
+        lost = lost | ((F.col(count) > 0) & F.col(name).isNull())
+    return sums.withColumn("inexact", F.when((F.col("numbers") > 0) & lost & (F.col("inexact") == 0), F.col("numbers")).otherwise(F.col("inexact"))).drop("numbers", "larges")
+
+
+_MOMENTS = T.StructType([T.StructField(k, T.DoubleType()) for k in ("mean", "m2", "m3", "m4")])
+
+
+def central_moments(scale: int):
+    """(mean, m2, m3, m4) out of a count and the sums of value_sums(): sums of powers of the distance from the mean, in whole numbers of
+    any size until the last division, so that values far from zero keep all their digits. Runs on one row a (load, column)."""
+    binomial = {(k, i): comb(k, i) * LIMB**i for k, i, _ in TERMS}
+
+    def one(n: int, q1: Decimal, *terms: Decimal | None) -> tuple:
+        s = {1: int(q1), 2: 0, 3: 0, 4: 0}
+        for (k, i, _), t in zip(TERMS, terms):
+            if t is not None:
+                s[k] += binomial[k, i] * int(t)
+        unit = 10**scale
+        m2 = n * s[2] - s[1] ** 2
+        m3 = n * n * s[3] - 3 * n * s[1] * s[2] + 2 * s[1] ** 3
+        m4 = n**3 * s[4] - 4 * n * n * s[1] * s[3] + 6 * n * s[1] ** 2 * s[2] - 3 * s[1] ** 4
+        return s[1] / (n * unit), m2 / (n * unit**2), m3 / (n * n * unit**3), m4 / (n**3 * unit**4)
+
+    def run(n: pd.Series, *sums: pd.Series) -> pd.DataFrame:
+        none = (None,) * 4
+        rows = [none if pd.isna(r[0]) or pd.isna(r[1]) else one(int(r[0]), *r[1:]) for r in zip(n.tolist(), *[x.tolist() for x in sums])]
+        return pd.DataFrame(rows, columns=_MOMENTS.names, dtype="float64")
+
+    return F.pandas_udf(run, _MOMENTS)
+
+
+def loose_moments(df: DataFrame, lay: Layout, origins: dict[str, float]) -> DataFrame:
+    """(g, l, c): mean and sums of powers of the distance from it, by merging central moments in floating point: for values that have
+    more digits than the exact sums hold. Columns are read as their distance from `origins`. Null where a value is infinite."""
+    finite = lambda e: F.when(~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))), e)
+    n = F.col("n")
+    origin = F.element_at(F.array(*[F.lit(float(origins.get(c, 0.0))) for c in lay.columns]), F.col("c") + 1)
+    x = F.col("x") - origin
+    t = _cells(df, lay, list(origins)).where(x.isNotNull()).groupBy("g", "l", "c").agg(F.count(x).cast("double").alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("v"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"))
+    v = finite(F.col("v"))
+    return t.select("g", "l", "c", (finite(F.col("mean")) + origin).alias("mean"), (v * n).alias("m2"), (F.col("g1") * n * F.pow(v, F.lit(1.5))).alias("m3"), ((F.col("g2") + 3) * n * v * v).alias("m4"))
+
+
+def _with_moments(df: DataFrame, summary: DataFrame, lay: Layout) -> DataFrame:
+    """`summary` with distinct, violations, inexact, mean and m2 to m4 of each (g, l, c)."""
+    sums = [F.col(f"t{k}_{i}") for k, i, _ in TERMS]
+    exact = value_sums(df, lay)
+    t = summary.join(exact, ["g", "l", "c"], "left").withColumn("n", F.when((F.col("inexact") == 0) & F.col("q1").isNotNull(), F.col("present")).cast("bigint"))
+    t = pin(t, "m", central_moments(lay.scale)("n", "q1", *sums)).drop("n", "q1", *[f"t{k}_{i}" for k, i, _ in TERMS])
+    t = materialize(t, "profile")
+    some = F.when(F.abs("lo") < F.lit(float("inf")), F.col("lo"))
+    odd = {lay.columns[r.c]: r.at or 0.0 for r in t.where("inexact > 0").groupBy("c").agg(F.avg(some).alias("at")).collect()}
+    if odd:
+        own = loose_moments(df, lay, odd).select("g", "l", "c", F.struct("mean", "m2", "m3", "m4").alias("loose"))
+        t = t.join(own, ["g", "l", "c"], "left").withColumn("m", F.when(F.col("inexact") > 0, F.col("loose")).otherwise(F.col("m"))).drop("loose")
+    return t.select("*", "m.*").drop("m")
 
 
 def _with_neighbours(summary: DataFrame) -> DataFrame:
@@ -206,7 +285,8 @@ def _named(lay: Layout, c: Column) -> Column:
 
 
 def column_defects(df: DataFrame, stored: DataFrame | None, lay: Layout = Layout(), limits: Limits = Limits()) -> DataFrame:
-    """(group, load, column_name, issue, amount): the columns of `df` with a defect.
+    """(group, load, column_name, issue, amount, mean_shift): the columns of `df` with a defect. All come out of the profile of the load;
+    mean_shift is the standardised difference of means since the load before (null for text).
 
     issue is one of
       nulls   the share of missing values moved by more than limits.nulls since the load before;
@@ -220,7 +300,7 @@ def column_defects(df: DataFrame, stored: DataFrame | None, lay: Layout = Layout
     left out. Other columns of either table are ignored, whatever their names.
     """
     counts = materialize(form_counts(df, lay), "forms")
-    summary = materialize(summaries(counts, lay), "summaries")
+    summary = materialize(_shaped(_with_moments(df, summaries(counts, lay), lay)), "summaries")
     pairs = materialize(_pairs(counts, summary), "pairs")
     found = []
     share = lambda r, p: (r - p) / r
@@ -246,7 +326,9 @@ def column_defects(df: DataFrame, stored: DataFrame | None, lay: Layout = Layout
         wrong = ~(F.col("null_count").eqNullSafe(F.col("missing")) & F.col("min_value").eqNullSafe(F.col("lo")) & F.col("max_value").eqNullSafe(F.col("hi")))
         bad = own.join(kept, ["g", "l", "column_name"]).where(wrong).select("g", "l", "column_name", F.abs(F.col("null_count") - F.col("missing")).alias("amount")).groupBy("g", "l", "column_name").agg(F.max("amount").alias("amount"))
         result = result.select("g", "l", "column_name", "issue", "amount").unionByName(bad.select("g", "l", "column_name", F.lit("stored").alias("issue"), "amount"))
-    return result.select(F.col("g").alias(lay.group), F.col("l").alias(lay.load), "column_name", "issue", "amount")
+    shifts = summary.select("g", "l", _named(lay, F.col("c")).alias("column_name"), "mean_shift")
+    result = result.select("g", "l", "column_name", "issue", "amount").join(shifts, ["g", "l", "column_name"])
+    return result.select(F.col("g").alias(lay.group), F.col("l").alias(lay.load), "column_name", "issue", "amount", "mean_shift")
 
 
 def _timed(df: DataFrame, lay: Layout) -> tuple[DataFrame, Layout, dict[str, int]]:
@@ -260,6 +342,21 @@ def _timed(df: DataFrame, lay: Layout) -> tuple[DataFrame, Layout, dict[str, int
     return df, replace(lay, numbers=(*lay.numbers, *lay.times), signed=(*lay.signed, *lay.times), times=()), origin
 
 
+def _shaped(t: DataFrame) -> DataFrame:
+    """Adds std, skew, kurtosis and mean_shift to the sums of powers in `t`."""
+    n = F.col("present").cast("double")
+    m2 = F.when(F.col("m2").isNotNull(), F.greatest(F.col("m2"), F.lit(0.0)))
+    t = t.withColumn("std", F.when(n >= 2, F.sqrt(m2 / (n - 1))))
+    pop = F.nullif(m2 / n, F.lit(0.0))
+    flat = F.when(F.col("m2").isNotNull(), F.lit(0.0))
+    t = t.withColumn("skew", F.when(n >= 3, F.coalesce(F.sqrt(n * (n - 1)) / (n - 2) * (F.col("m3") / n) / F.pow(pop, F.lit(1.5)), flat)))
+    t = t.withColumn("kurtosis", F.when(n >= 4, F.coalesce((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * ((F.col("m4") / n) / (pop * pop) - 3) + 6), flat)))
+    w = Window.partitionBy("g", "c").orderBy("l")
+    mean0, std0, n0 = (F.lag(k).over(w) for k in ("mean", "std", "present"))
+    pooled = F.sqrt((F.pow(F.col("std"), F.lit(2.0)) * (n - 1) + F.pow(std0, F.lit(2.0)) * (n0 - 1)) / (n + n0 - 2))
+    return t.withColumn("mean_shift", F.when((n >= 2) & (n0 >= 2), (F.col("mean") - mean0) / F.nullif(pooled, F.lit(0.0)))).drop("m2", "m3", "m4")
+
+
 def column_profile(df: DataFrame, lay: Layout = Layout()) -> DataFrame:
     """One row a (group, load, column): rows, missing, distinct, range, moments, violations, shape and change since the load before.
 
@@ -272,20 +369,7 @@ def column_profile(df: DataFrame, lay: Layout = Layout()) -> DataFrame:
     back = F.element_at(F.array(*[F.lit(float(origin.get(c, 0))) for c in lay.columns]), F.col("c") + 1)
     counts = materialize(form_counts(df, lay), "forms")
     top = counts.where(F.col("f").isNotNull()).groupBy("g", "l", "c").agg(F.max(F.struct("n", "f"))["f"].alias("top_form"))
-    t = summaries(counts, lay).join(value_sums(df, lay), ["g", "l", "c"], "left").join(top, ["g", "l", "c"], "left")
-    n = F.col("present").cast("double")
-    mean = F.col("p1") / F.nullif(n, F.lit(0.0))
-    m2 = F.when(F.col("p1").isNotNull(), F.greatest(F.col("p2") - n * mean * mean, F.lit(0.0)))
-    m3 = F.col("p3") - 3 * mean * F.col("p2") + 2 * n * mean * mean * mean
-    m4 = F.col("p4") - 4 * mean * F.col("p3") + 6 * mean * mean * F.col("p2") - 3 * n * F.pow(mean, F.lit(4.0))
-    t = t.withColumn("mean", mean).withColumn("std", F.when(n >= 2, F.sqrt(m2 / (n - 1))))
-    pop = F.nullif(m2 / n, F.lit(0.0))
-    t = t.withColumn("skew", F.when(n >= 3, F.coalesce(F.sqrt(n * (n - 1)) / (n - 2) * (m3 / n) / F.pow(pop, F.lit(1.5)), F.when(F.col("mean").isNotNull(), F.lit(0.0)))))
-    t = t.withColumn("kurtosis", F.when(n >= 4, F.coalesce((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * ((m4 / n) / (pop * pop) - 3) + 6), F.when(F.col("mean").isNotNull(), F.lit(0.0)))))
-    w = Window.partitionBy("g", "c").orderBy("l")
-    mean0, std0, n0 = (F.lag(k).over(w) for k in ("mean", "std", "present"))
-    pooled = F.sqrt((F.pow(F.col("std"), F.lit(2.0)) * (n - 1) + F.pow(std0, F.lit(2.0)) * (n0 - 1)) / (n + n0 - 2))
-    t = t.withColumn("mean_shift", F.when((n >= 2) & (n0 >= 2), (F.col("mean") - mean0) / F.nullif(pooled, F.lit(0.0))))
+    t = _shaped(_with_moments(df, summaries(counts, lay), lay)).join(top, ["g", "l", "c"], "left")
     gap = (F.col("rows") - F.col("present")) / F.col("rows")
     return t.select(
         F.col("g").alias(lay.group), F.col("l").alias(lay.load), _named(lay, F.col("c")).alias("column_name"), "rows", (F.col("rows") - F.col("present")).alias("missing"),

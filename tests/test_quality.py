@@ -78,3 +78,38 @@ def test_patterns(spark):
 def test_datetime_columns_are_ignored(spark):
     rows = [(*row(1, 1), datetime(2024, 1, 1))]
     assert found(spark, rows, cols=COLS + ", observed_at timestamp") == set()
+
+
+def moments_of(spark, values):
+    """(mean, std, skew, kurtosis, inexact) of one column, and the same from whole numbers of any size."""
+    from fractions import Fraction
+
+    rows = [row(i, 1, age=float(v)) for i, v in enumerate(values)]
+    p = column_profile(spark.createDataFrame(rows, COLS)).where("column_name = 'account_age_months'").first()
+    x, n = [Fraction(float(v)) for v in values], len(values)
+    mean = sum(x) / n
+    m2, m3, m4 = (float(sum((v - mean) ** k for v in x)) for k in (2, 3, 4))
+    skew = (n * (n - 1)) ** 0.5 / (n - 2) * (m3 / n) / (m2 / n) ** 1.5
+    kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / n / (m2 / n) ** 2 - 3) + 6)
+    return p, (float(mean), (m2 / (n - 1)) ** 0.5, skew, kurt)
+
+
+def test_moments_far_from_zero(spark):
+    import random
+
+    r = random.Random(4)
+    cases = [[99_999 + (i % 10) / 100 for i in range(1000)], [1.7e9 + i % 10 for i in range(1000)], [1e5 + round(r.gauss(0, 1), 6) for _ in range(300)], [1e-6 * r.randint(1, 9) for _ in range(300)],
+             [1e9 + r.gauss(0, 1e-3) for _ in range(300)], [r.gauss(0, 1) * 1e-9 + 1e-6 for _ in range(300)], [r.choice([1.0, 2.0, 1e11]) for _ in range(300)], [1e13 + r.randint(0, 50) for _ in range(300)]]
+    for values in cases:
+        p, want = moments_of(spark, values)
+        got = p["mean"], p["std"], p["skew"], p["kurtosis"]
+        loose = 1e-5 if p.inexact else 1e-9
+        assert all(abs(a - b) <= loose * max(1, abs(b)) for a, b in zip(got, want)), (values[:3], got, want)
+        if not p.inexact:
+            assert abs(p["std"] / want[1] - 1) < 1e-9
+    assert [moments_of(spark, v)[0].inexact for v in cases[:3]] == [0, 0, 0]
+
+
+def test_infinite_values_have_no_moments(spark):
+    p = column_profile(spark.createDataFrame([row(1, 1, age=float("inf")), row(2, 1, age=3.0)], COLS)).where("column_name = 'account_age_months'").first()
+    assert (p["max"], p["mean"], p["std"]) == (float("inf"), None, None) and p.inexact == 1
