@@ -35,7 +35,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_profile(spark: SparkSession, sf: str) -> DataFrame:
     """The whole profile, its figures at digits in which two ways of adding up doubles agree."""
-    digits = {"missing_share": 9, "missing_shift": 9, "min": 3, "max": 3, "mean": 7, "std": 5, "skew": 5, "kurtosis": 4, "mean_shift": 6}
+    digits = {"missing_share": 9, "missing_shift": 9, "min": 3, "max": 3, "mean": 7, "std": 6, "skew": 7, "kurtosis": 6, "mean_shift": 7}
     t = column_profile(_read(spark, sf, "churn_rows"), PANEL).withColumns({c: F.round(c, d) for c, d in digits.items()})
     return t.withColumn("mean", F.when(F.col("column_name").isin(*PANEL.times), F.round("mean", 5)).otherwise(F.col("mean")))
 
@@ -166,9 +166,9 @@ tops AS (SELECT dataset_id, load_no, column_name, f AS top_form, k AS top_count
 s AS (SELECT a.*, m2, m3, m4, CASE WHEN n >= 2 THEN CASE WHEN lo = hi THEN 0.0 ELSE sqrt(m2 / (n - 1)) END END AS std FROM a JOIN p USING (dataset_id, load_no, column_name)),
 b AS (SELECT *, lag(m) OVER w AS b_m, lag(std) OVER w AS b_std, lag(n) OVER w AS b_n, lag(missing / rows) OVER w AS b_gap FROM s WINDOW w AS (PARTITION BY dataset_id, column_name ORDER BY load_no))
 SELECT dataset_id, load_no, column_name, rows, missing, round(missing / rows, 9) AS missing_share, round(missing / rows - b_gap, 9) AS missing_shift, d AS "distinct", round(lo + origin, 3) AS min, round(hi + origin, 3) AS max,
-  CASE WHEN origin > 0 THEN round(m + origin, 5) ELSE round(m, 7) END AS mean, round(std, 5) AS std, round(CASE WHEN n >= 3 THEN CASE WHEN lo = hi THEN 0.0 ELSE sqrt(n * (n - 1)) / (n - 2) * (m3 / n) / (m2 / n) ** 1.5 END END, 5) AS skew,
-  round(CASE WHEN n >= 4 THEN CASE WHEN lo = hi THEN 0.0 ELSE (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * ((m4 / n) / (m2 / n) ** 2 - 3) + 6) END END, 4) AS kurtosis,
-  round(CASE WHEN n >= 2 AND b_n >= 2 THEN (m - b_m) / nullif(sqrt((std ** 2 * (n - 1) + b_std ** 2 * (b_n - 1)) / (n + b_n - 2)), 0) END, 6) AS mean_shift, top_form, top_count, violations, inexact
+  CASE WHEN origin > 0 THEN round(m + origin, 5) ELSE round(m, 7) END AS mean, round(std, 6) AS std, round(CASE WHEN n >= 3 THEN CASE WHEN lo = hi THEN 0.0 ELSE sqrt(n * (n - 1)) / (n - 2) * (m3 / n) / (m2 / n) ** 1.5 END END, 7) AS skew,
+  round(CASE WHEN n >= 4 THEN CASE WHEN lo = hi THEN 0.0 ELSE (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * ((m4 / n) / (m2 / n) ** 2 - 3) + 6) END END, 6) AS kurtosis,
+  round(CASE WHEN n >= 2 AND b_n >= 2 THEN (m - b_m) / nullif(sqrt((std ** 2 * (n - 1) + b_std ** 2 * (b_n - 1)) / (n + b_n - 2)), 0) END, 7) AS mean_shift, top_form, top_count, violations, inexact
 FROM b LEFT JOIN tops USING (dataset_id, load_no, column_name)"""
 
 

@@ -13,8 +13,7 @@ A hot load or account is harmless: the first aggregation combines on the map sid
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
-from decimal import Decimal
-from math import comb
+from math import ceil, comb, floor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +23,11 @@ from pyspark.sql import types as T
 from tabweave.functions.missing import ALL_TOKENS, bare, number_missing, text_missing
 from tabweave.plans.physical import materialize, pin
 
+#: Numbers from here on, and those with more than six digits after the point, have no exact sums; ODD stands for their digits.
+LARGEST, ODD = 1e10, 9
+#: Powers of d = u x LIMB + v as sums of products: for each power k, (times u, times v) of its terms, whose factor is a binomial.
+LIMB = 100_000_000
+TERMS = [(k, i, k - i) for k in (2, 3, 4) for i in range(k + 1)]
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
@@ -98,23 +102,64 @@ def _cells(df: DataFrame, lay: Layout, columns: list[str]) -> DataFrame:
 
 
 def form_counts(df: DataFrame, lay: Layout = Layout()) -> DataFrame:
-    """(g, l, c, b, f): n, lo, hi, the one table made from rows."""
-    return _cells(df, lay, lay.columns).groupBy("g", "l", "c", "b", "f").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    """(g, l, c, b, f): n, lo, hi; decimals, the most digits after the point of the numbers that are whole multiples of 10^-6 and below
+    LARGEST, and odd, the count of the others."""
+    x = F.col("x")
+    whole = lambda d: F.rint(x * 10.0**d) / 10.0**d == x
+    digits = F.when(x.isNotNull(), F.when(F.abs(x) >= LARGEST, ODD).when(x == F.rint(x), 0).when(whole(2), 2).when(whole(4), 4).when(whole(6), 6).otherwise(ODD))
+    cells = _cells(df, lay, lay.columns).withColumn("digits", digits)
+    return cells.groupBy("g", "l", "c", "b", "f").agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.max(F.when(F.col("digits") < ODD, F.col("digits"))).alias("decimals"), F.count(F.when(F.col("digits") == ODD, 1)).alias("odd"))
 
 
-#: Powers of q = u x LIMB + v as sums of products: for each power k, (times u, times v) of its terms, whose factor is a binomial.
-LIMB = 100_000_000
-TERMS = [(k, i, k - i) for k in (2, 3, 4) for i in range(k + 1)]
+@dataclass(frozen=True)
+class Scale:
+    """How the numbers of a column become whole ones for exact sums: d = round(x 10^decimals) - shift, at most `reach` in size, whose
+    square is cut into h x limb + w. Sums of at most `rows` terms stay in 64-bit numbers if `short`, else they are decimals."""
+
+    decimals: int
+    shift: int
+    reach: int
+    rows: int
+
+    @property
+    def limb(self) -> int:
+        return max(1, self.reach)
+
+    @property
+    def short(self) -> bool:
+        return 2 * (self.reach + 1) ** 2 * self.rows < 2**62
+
+    @property
+    def wide(self) -> bool:
+        """Squares pass 64 bits: decimals throughout."""
+        return self.reach >= 2**31 - 2
 
 
-def value_sums(df: DataFrame, lay: Layout = Layout()) -> DataFrame:
-    """(g, l, c): distinct present values, violations of patterns, exact power sums, and inexact, the values they are not exact for.
+def scales_of(counts: DataFrame) -> dict[int, Scale]:
+    """By column number, from form_counts(): one row a column reaches the driver."""
+    sizes = counts.groupBy("g", "l", "c").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("decimals").alias("decimals"), F.min(F.when(F.col("lo") > -LARGEST, F.col("lo"))).alias("a"), F.max(F.when(F.col("hi") < LARGEST, F.col("hi"))).alias("b"))
+    out = {}
+    for r in sizes.where("lo IS NOT NULL").groupBy("c").agg(F.max("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b"), F.max("decimals").alias("decimals")).collect():
+        if r.decimals is not None:
+            lo, hi = (max(-LARGEST, min(LARGEST, v if v is not None else e)) for v, e in ((r.a, -LARGEST), (r.b, LARGEST)))
+            lo, hi = floor(lo * 10**r.decimals), ceil(hi * 10**r.decimals)
+            shift = (lo + hi) // 2
+            out[r.c] = Scale(r.decimals, shift, max(hi - shift, shift - lo, 1), r.n)
+    return out
 
-    Values are counted first, so patterns and powers are worked out once a distinct value. A number is read as a whole number q of
-    10^-scale, below 10^16, and q as u x 10^8 + v; the sums of the products of u and v (q1 and t2_0 to t4_4) are whole decimals of at
-    most 38 digits, exact and the same in any order of merging, and give the sums of the powers of q, of any size, by the binomial
-    theorem (see central_moments()). A value with more decimals or of 10^16 units or more is counted as inexact, and so are all of a
-    column and load whose sum passes 38 digits.
+
+#: The sums of products by the columns' way of adding up, with how each goes into the sum of the power k.
+SHORT = ["d", "h", "w", "dh", "dw", "hh", "hw", "ww"]
+
+
+def value_sums(df: DataFrame, lay: Layout, scales: dict[int, Scale]) -> DataFrame:
+    """(g, l, c): distinct present values, violations of patterns, and exact sums over the rows of products of the whole numbers d of a
+    column, its square's parts h and w (see Scale).
+
+    Values are counted first, so patterns and products are worked out once a distinct value. The sums are whole numbers, exact and
+    the same in any order of merging; central_moments() makes sums of powers of any size of them. Numbers that are no multiple of 10^-6
+    or too large are left to loose_moments().
     """
     parts = []
     for i, name in enumerate(lay.columns):
@@ -132,60 +177,79 @@ def value_sums(df: DataFrame, lay: Layout = Layout()) -> DataFrame:
     wrong = F.lit(False)
     for name, pattern in lay.patterns.items():
         wrong = wrong | ((F.col("c") == lay.columns.index(name)) & ~F.rlike(F.coalesce("v", F.col("x").cast("string")), F.lit(rf"^(?:{pattern})\z")))
-    x, unit = F.col("x"), 10.0**lay.scale
-    each = each.withColumn("q", F.when(F.abs(x) < LIMB**2 / unit, F.rint(x * unit)).cast("bigint"))
-    each = each.withColumn("odd", x.isNotNull() & (F.col("q").isNull() | (F.col("q").cast("double") / unit != x)))
-    each = each.withColumn("u", F.expr(f"q div {LIMB}L")).withColumn("w", F.col("q") - F.col("u") * LIMB)
-    n, u, v = F.col("n"), F.col("u"), F.col("w")
-    whole = lambda e: e.cast("decimal(19,0)")
-    uu, uv, vv = u * u, u * v, v * v
-    product = {(2, 0): whole(uu), (1, 1): whole(uv), (0, 2): whole(vv), (3, 0): whole(uu) * whole(u), (2, 1): whole(uu) * whole(v), (1, 2): whole(vv) * whole(u), (0, 3): whole(vv) * whole(v),
-               (4, 0): whole(uu) * whole(uu), (3, 1): whole(uu) * whole(uv), (2, 2): whole(uu) * whole(vv), (1, 3): whole(vv) * whole(uv), (0, 4): whole(vv) * whole(vv)}
-
-    def added(e: Column, name: str, needs: Column | None) -> list[Column]:
-        """The sum over rows of n times e, where `needs` holds (elsewhere e is 0); -1 rows of it if it passes 38 digits."""
-        e = e.cast("decimal(38,0)")
-        term = F.when(n == 1, e).otherwise(F.try_multiply(e, whole(n)))
-        return [F.try_sum(F.when(needs, term) if needs is not None else term).alias(name)]
-
-    large = u != 0
-    sums = each.groupBy("g", "l", "c").agg(
-        F.count(F.lit(1)).alias("distinct"), F.sum(F.when(wrong, n).otherwise(0)).alias("violations"), F.sum(F.when(F.col("odd"), n).otherwise(0)).alias("inexact"),
-        F.count("q").alias("numbers"), F.count(F.when(large, 1)).alias("larges"), *added(whole(F.col("q")), "q1", None), *[e for k, i, j in TERMS for e in added(product[i, j], f"t{k}_{i}", large if i else None)])
-    # A sum that passed 38 digits is null although it has terms.
-    lost = F.lit(False)
-    for name, count in [("q1", "numbers"), *[(f"t{k}_{i}", "larges" if i else "numbers") for k, i, _ in TERMS]]:
-        lost = lost | ((F.col(count) > 0) & F.col(name).isNull())
-    return sums.withColumn("inexact", F.when((F.col("numbers") > 0) & lost & (F.col("inexact") == 0), F.col("numbers")).otherwise(F.col("inexact"))).drop("numbers", "larges")
-
 
-_MOMENTS = T.StructType([T.StructField(k, T.DoubleType()) for k in ("mean", "m2", "m3", "m4")])
-
-
-def central_moments(scale: int):
-    """(mean, m2, m3, m4) out of a count and the sums of value_sums(): sums of powers of the distance from the mean, in whole numbers of
-    any size until the last division, so that values far from zero keep all their digits. Runs on one row a (load, column)."""
+    def of(value, default: int) -> Column:
+        return F.element_at(F.array(*[F.lit(value(scales[i]) if i in scales else default).cast("bigint") for i in range(len(lay.columns))]), F.col("c") + 1)
+
+    x, n = F.col("x"), F.col("n")
+    unit = F.element_at(F.array(*[F.lit(10.0 ** scales[i].decimals if i in scales else 1.0) for i in range(len(lay.columns))]), F.col("c") + 1)
+    fits = (F.abs(x) < LARGEST) & F.col("c").isin(*scales) if scales else F.lit(False)
+    each = each.withColumn("d", F.when(fits, F.rint(x * unit).cast("bigint") - of(lambda s: s.shift, 0))).withColumn("k", of(lambda s: s.limb, 1))
+    each = each.withColumn("way", F.when(F.col("d").isNotNull(), of(lambda s: 2 if s.wide else 0 if s.short else 1, 0)))
+    native = F.when(F.col("way") < 2, F.col("d") * F.col("d"))
+    each = each.withColumn("h", F.expr("CASE WHEN way < 2 THEN (d * d) div k END")).withColumn("w", F.when(F.col("way") < 2, native - F.col("h") * F.col("k")))
+    d, h, w, way = (F.col(k) for k in ("d", "h", "w", "way"))
+    term = {"d": d, "h": h, "w": w, "dh": d * h, "dw": d * w, "hh": h * h, "hw": h * w, "ww": w * w}
+    aggs = [F.count(F.lit(1)).alias("distinct"), F.sum(F.when(wrong, n).otherwise(0)).alias("violations")]
+    kinds = {2 if s.wide else 0 if s.short else 1 for s in scales.values()}
+    whole = lambda e: e.cast("decimal(20,0)")
+    for name, e in term.items():
+        if 0 in kinds:
+            aggs.append(F.sum(F.when(way == 0, n * e)).alias(f"a_{name}"))
+        if 1 in kinds:
+            aggs.append(F.sum(F.when(way == 1, F.when(n == 1, whole(e).cast("decimal(38,0)")).otherwise(F.try_multiply(whole(e), whole(n)).cast("decimal(38,0)")))).alias(f"b_{name}"))
+    if 2 in kinds:  # d = u x 10^8 + v, every product of powers of u and v apart
+        u, v = F.expr(f"d div {LIMB}L"), d - F.expr(f"d div {LIMB}L") * LIMB
+        uu, uv, vv = u * u, u * v, v * v
+        product = {(2, 0): whole(uu), (1, 1): whole(uv), (0, 2): whole(vv), (3, 0): whole(uu) * whole(u), (2, 1): whole(uu) * whole(v), (1, 2): whole(vv) * whole(u), (0, 3): whole(vv) * whole(v),
+                   (4, 0): whole(uu) * whole(uu), (3, 1): whole(uu) * whole(uv), (2, 2): whole(uu) * whole(vv), (1, 3): whole(vv) * whole(uv), (0, 4): whole(vv) * whole(vv)}
+        aggs.append(F.sum(F.when(way == 2, whole(d) * whole(n))).alias("t1_1"))
+        for p, i, j in TERMS:
+            e = product[i, j].cast("decimal(38,0)")
+            aggs.append(F.try_sum(F.when(way == 2, F.when(n == 1, e).otherwise(F.try_multiply(e, whole(n))))).alias(f"t{p}_{i}"))
+    return each.groupBy("g", "l", "c").agg(*aggs)
+
+
+def central_moments(scales: dict[int, Scale], names: list[str]):
+    """(mean, m2, m3, m4) out of c, a count and the sums of value_sums(), called `names`: sums of powers of the distance from the mean,
+    in whole numbers of any size until the last division, so that values far from zero keep all their digits. Null where a sum passed 38
+    digits. Runs on one row a (load, column)."""
     binomial = {(k, i): comb(k, i) * LIMB**i for k, i, _ in TERMS}
 
-    def one(n: int, q1: Decimal, *terms: Decimal | None) -> tuple:
-        s = {1: int(q1), 2: 0, 3: 0, 4: 0}
-        for (k, i, _), t in zip(TERMS, terms):
-            if t is not None:
-                s[k] += binomial[k, i] * int(t)
-        unit = 10**scale
-        m2 = n * s[2] - s[1] ** 2
-        m3 = n * n * s[3] - 3 * n * s[1] * s[2] + 2 * s[1] ** 3
-        m4 = n**3 * s[4] - 4 * n * n * s[1] * s[3] + 6 * n * s[1] ** 2 * s[2] - 3 * s[1] ** 4
-        return s[1] / (n * unit), m2 / (n * unit**2), m3 / (n * n * unit**3), m4 / (n**3 * unit**4)
-
-    def run(n: pd.Series, *sums: pd.Series) -> pd.DataFrame:
-        none = (None,) * 4
-        rows = [none if pd.isna(r[0]) or pd.isna(r[1]) else one(int(r[0]), *r[1:]) for r in zip(n.tolist(), *[x.tolist() for x in sums])]
+    def powers(c: int, t: dict[str, int]) -> tuple[int, int, int, int] | None:
+        s = scales[c]
+        try:
+            if s.wide:
+                return (t["t1_1"], *[sum(binomial[k, i] * t[f"t{k}_{i}"] for i in range(k + 1)) for k in (2, 3, 4)])
+            d, h, w, dh, dw, hh, hw, ww = (t[("a_" if s.short else "b_") + k] for k in SHORT)
+        except KeyError:
+            return None
+        k = s.limb
+        return d, k * h + w, k * dh + dw, k * k * hh + 2 * k * hw + ww
+
+    def one(c: int, n: int, t: dict[str, int]) -> tuple:
+        p = powers(c, t)
+        if p is None:
+            return (None,) * 4
+        s, s1, s2, s3, s4 = scales[c], *p
+        unit = 10**s.decimals
+        m2 = n * s2 - s1**2
+        m3 = n * n * s3 - 3 * n * s1 * s2 + 2 * s1**3
+        m4 = n**3 * s4 - 4 * n * n * s1 * s3 + 6 * n * s1**2 * s2 - 3 * s1**4
+        return (s1 + n * s.shift) / (n * unit), m2 / (n * unit**2), m3 / (n * n * unit**3), m4 / (n**3 * unit**4)
+
+    def run(c: pd.Series, n: pd.Series, *sums: pd.Series) -> pd.DataFrame:
+        rows = []
+        for c_, n_, *r in zip(c.tolist(), n.tolist(), *[x.tolist() for x in sums]):
+            rows.append((None,) * 4 if pd.isna(n_) or c_ not in scales else one(c_, int(n_), {k: int(v) for k, v in zip(names, r) if not pd.isna(v)}))
         return pd.DataFrame(rows, columns=_MOMENTS.names, dtype="float64")
 
     return F.pandas_udf(run, _MOMENTS)
 
 
+_MOMENTS = T.StructType([T.StructField(k, T.DoubleType()) for k in ("mean", "m2", "m3", "m4")])
+
+
 def loose_moments(df: DataFrame, lay: Layout, origins: dict[str, float]) -> DataFrame:
     """(g, l, c): mean and sums of powers of the distance from it, by merging central moments in floating point: for values that have
     more digits than the exact sums hold. Columns are read as their distance from `origins`. Null where a value is infinite."""
@@ -198,13 +262,17 @@ def loose_moments(df: DataFrame, lay: Layout, origins: dict[str, float]) -> Data
     return t.select("g", "l", "c", (finite(F.col("mean")) + origin).alias("mean"), (v * n).alias("m2"), (F.col("g1") * n * F.pow(v, F.lit(1.5))).alias("m3"), ((F.col("g2") + 3) * n * v * v).alias("m4"))
 
 
-def _with_moments(df: DataFrame, summary: DataFrame, lay: Layout) -> DataFrame:
+def _with_moments(df: DataFrame, counts: DataFrame, summary: DataFrame, lay: Layout) -> DataFrame:
     """`summary` with distinct, violations, inexact, mean and m2 to m4 of each (g, l, c)."""
-    sums = [F.col(f"t{k}_{i}") for k, i, _ in TERMS]
-    exact = value_sums(df, lay)
-    t = summary.join(exact, ["g", "l", "c"], "left").withColumn("n", F.when((F.col("inexact") == 0) & F.col("q1").isNotNull(), F.col("present")).cast("bigint"))
-    t = pin(t, "m", central_moments(lay.scale)("n", "q1", *sums)).drop("n", "q1", *[f"t{k}_{i}" for k, i, _ in TERMS])
+    scales = scales_of(counts)
+    sums = value_sums(df, lay, scales)
+    names = [c for c in sums.columns if c not in ("g", "l", "c", "distinct", "violations")]
+    t = summary.join(sums, ["g", "l", "c"], "left").withColumn("n", F.when(F.col("inexact") == 0, F.nullif(F.col("present"), F.lit(0))).cast("bigint"))
+    # As decimals: a column of 64-bit numbers with nulls would reach Python as doubles.
+    t = pin(t, "m", central_moments(scales, names)("c", "n", *[F.col(k).cast("decimal(38,0)") for k in names])).drop("n", *names)
     t = materialize(t, "profile")
+    # Lost: a sum passed 38 digits.
+    t = t.withColumn("inexact", F.when(F.col("m.mean").isNull() & (F.col("inexact") == 0) & F.col("lo").isNotNull(), F.col("present")).otherwise(F.col("inexact")))
     some = F.when(F.abs("lo") < F.lit(float("inf")), F.col("lo"))
     odd = {lay.columns[r.c]: r.at or 0.0 for r in t.where("inexact > 0").groupBy("c").agg(F.avg(some).alias("at")).collect()}
     if odd:
@@ -224,7 +292,7 @@ def summaries(counts: DataFrame, lay: Layout = Layout()) -> DataFrame:
     there = F.col("b").isNotNull() | F.col("f").isNotNull()
     base = counts.groupBy("g", "l", "c").agg(
         F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(there, F.col("n"))), F.lit(0)).alias("present"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-        F.max(F.when(F.col("f").isNotNull(), F.col("n"))).alias("top"))
+        F.max(F.when(F.col("f").isNotNull(), F.col("n"))).alias("top"), *([F.sum("odd").alias("inexact")] if "odd" in counts.columns else []))
     return _with_neighbours(base)
 
 
@@ -300,7 +368,7 @@ def column_defects(df: DataFrame, stored: DataFrame | None, lay: Layout = Layout
     left out. Other columns of either table are ignored, whatever their names.
     """
     counts = materialize(form_counts(df, lay), "forms")
-    summary = materialize(_shaped(_with_moments(df, summaries(counts, lay), lay)), "summaries")
+    summary = materialize(_shaped(_with_moments(df, counts, summaries(counts, lay), lay)), "summaries")
     pairs = materialize(_pairs(counts, summary), "pairs")
     found = []
     share = lambda r, p: (r - p) / r
@@ -369,7 +437,7 @@ def column_profile(df: DataFrame, lay: Layout = Layout()) -> DataFrame:
     back = F.element_at(F.array(*[F.lit(float(origin.get(c, 0))) for c in lay.columns]), F.col("c") + 1)
     counts = materialize(form_counts(df, lay), "forms")
     top = counts.where(F.col("f").isNotNull()).groupBy("g", "l", "c").agg(F.max(F.struct("n", "f"))["f"].alias("top_form"))
-    t = _shaped(_with_moments(df, summaries(counts, lay), lay)).join(top, ["g", "l", "c"], "left")
+    t = _shaped(_with_moments(df, counts, summaries(counts, lay), lay)).join(top, ["g", "l", "c"], "left")
     gap = (F.col("rows") - F.col("present")) / F.col("rows")
     return t.select(
         F.col("g").alias(lay.group), F.col("l").alias(lay.load), _named(lay, F.col("c")).alias("column_name"), "rows", (F.col("rows") - F.col("present")).alias("missing"),
