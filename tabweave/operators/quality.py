@@ -12,7 +12,9 @@ A hot load or account is harmless: the first aggregation combines on the map sid
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from math import ceil, comb, floor
 
 import pandas as pd
@@ -81,24 +83,33 @@ def bucket_of(x: Column, resolution: int) -> Column:
     return F.when(x < 0, -1 - grid).when(x >= 0, grid)
 
 
+#: Columns cut to cells in one projection. More would make one method that the JVM does not compile (over 8,000 bytes of code) and then
+#: takes five times as long; each part of the union reads its own columns only.
+AT_ONCE = 3
+
+
+def _melted(df: DataFrame, lay: Layout, columns: list[str], fields: Callable[[str, Column], list[Column]]) -> DataFrame:
+    """(g, l, c, fields): one row a cell of `columns`; c is the place in the layout. Rows without a group or load are left out."""
+    g, l = F.col(f"`{lay.group}`"), F.col(f"`{lay.load}`")
+    own = [(i, name) for i, name in enumerate(lay.columns) if name in columns]
+    parts = []
+    for at in range(0, len(own), AT_ONCE):
+        cells = F.array(*[F.struct(F.lit(i).cast("int").alias("c"), *fields(name, F.col(f"`{name}`"))) for i, name in own[at : at + AT_ONCE]])
+        parts.append(df.where(g.isNotNull() & l.isNotNull()).select(g.alias("g"), l.alias("l"), F.explode(cells).alias("e")).select("g", "l", "e.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _cells(df: DataFrame, lay: Layout, columns: list[str]) -> DataFrame:
     """One row a cell: g, l, c (place in the layout), x (number), b (bucket), f (form). All null where missing."""
-    parts = []
-    for i, name in enumerate(lay.columns):
-        if name not in columns:
-            continue
-        c = F.col(f"`{name}`")
+    def fields(name: str, c: Column) -> list[Column]:
         if name in lay.numbers:
             x = c.cast("double")
             x = F.when(~number_missing(x, lay.lacks_negatives(name)), x + F.lit(0.0))
-            b, f = bucket_of(x, lay.resolution), F.lit(None).cast("string")
-        else:
-            there = ~text_missing(c, lay.tokens)
-            x, b = F.lit(None).cast("double"), F.lit(None).cast("bigint")
-            f = F.when(there, bare(c) if name in lay.labels else shape_of(c))
-        parts.append(F.struct(F.lit(i).cast("int").alias("c"), x.alias("x"), b.alias("b"), f.alias("f")))
-    g, l = F.col(f"`{lay.group}`"), F.col(f"`{lay.load}`")
-    return df.where(g.isNotNull() & l.isNotNull()).select(g.alias("g"), l.alias("l"), F.explode(F.array(*parts)).alias("e")).select("g", "l", "e.*")
+            return [x.alias("x"), bucket_of(x, lay.resolution).alias("b"), F.lit(None).cast("string").alias("f")]
+        f = F.when(~text_missing(c, lay.tokens), bare(c) if name in lay.labels else shape_of(c))
+        return [F.lit(None).cast("double").alias("x"), F.lit(None).cast("bigint").alias("b"), f.alias("f")]
+
+    return _melted(df, lay, columns, fields)
 
 
 def form_counts(df: DataFrame, lay: Layout = Layout()) -> DataFrame:
@@ -115,7 +126,7 @@ def form_counts(df: DataFrame, lay: Layout = Layout()) -> DataFrame:
 @dataclass(frozen=True)
 class Scale:
     """How the numbers of a column become whole ones for exact sums: d = round(x 10^decimals) - shift, at most `reach` in size, whose
-    square is cut into h x limb + w. Sums of at most `rows` terms stay in 64-bit numbers if `short`, else they are decimals."""
+    square is cut into h x limb + w. A sum has at most `rows` terms."""
 
     decimals: int
     shift: int
@@ -127,13 +138,9 @@ class Scale:
         return max(1, self.reach)
 
     @property
-    def short(self) -> bool:
-        return 2 * (self.reach + 1) ** 2 * self.rows < 2**62
-
-    @property
-    def wide(self) -> bool:
-        """Squares pass 64 bits: decimals throughout."""
-        return self.reach >= 2**31 - 2
+    def way(self) -> str:
+        """short; long: the sums pass 64 bits; wide: so do squares, and all products are decimals."""
+        return "wide" if self.reach >= 2**31 - 2 else "short" if 2 * (self.reach + 1) ** 2 * self.rows < 2**62 else "long"
 
 
 def scales_of(counts: DataFrame) -> dict[int, Scale]:
@@ -161,19 +168,23 @@ def value_sums(df: DataFrame, lay: Layout, scales: dict[int, Scale]) -> DataFram
     the same in any order of merging; central_moments() makes sums of powers of any size of them. Numbers that are no multiple of 10^-6
     or too large are left to loose_moments().
     """
-    parts = []
-    for i, name in enumerate(lay.columns):
-        c = F.col(f"`{name}`")
-        none = F.lit(None)
+    def fields(name: str, c: Column) -> list[Column]:
         if name in lay.numbers:
             x = c.cast("double")
-            pair = F.when(~number_missing(x, lay.lacks_negatives(name)), x + F.lit(0.0)), none.cast("string")
-        else:
-            pair = none.cast("double"), F.when(~text_missing(c, lay.tokens), c.cast("string"))
-        parts.append(F.struct(F.lit(i).alias("c"), pair[0].alias("x"), pair[1].alias("v")))
-    g, l = F.col(f"`{lay.group}`"), F.col(f"`{lay.load}`")
-    each = df.where(g.isNotNull() & l.isNotNull()).select(g.alias("g"), l.alias("l"), F.explode(F.array(*parts)).alias("e")).select("g", "l", "e.*")
-    each = each.where("x IS NOT NULL OR v IS NOT NULL").groupBy("g", "l", "c", "x", "v").agg(F.count(F.lit(1)).alias("n"))
+            return [F.when(~number_missing(x, lay.lacks_negatives(name)), x + F.lit(0.0)).alias("x"), F.lit(None).cast("string").alias("v")]
+        return [F.lit(None).cast("double").alias("x"), F.when(~text_missing(c, lay.tokens), c.cast("string")).alias("v")]
+
+    parts = []
+    for way in ("text", "short", "long", "wide"):
+        columns = [name for i, name in enumerate(lay.columns) if (scales[i].way if i in scales else "text") == way]
+        if columns:
+            each = _melted(df, lay, columns, fields).where("x IS NOT NULL OR v IS NOT NULL").groupBy("g", "l", "c", "x", "v").agg(F.count(F.lit(1)).alias("n"))
+            parts.append(_added(each, lay, scales, way))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _added(each: DataFrame, lay: Layout, scales: dict[int, Scale], way: str) -> DataFrame:
+    """The figures of value_sums() of the columns that are added up in this way, out of counted values."""
     wrong = F.lit(False)
     for name, pattern in lay.patterns.items():
         wrong = wrong | ((F.col("c") == lay.columns.index(name)) & ~F.rlike(F.coalesce("v", F.col("x").cast("string")), F.lit(rf"^(?:{pattern})\z")))
@@ -184,29 +195,30 @@ def value_sums(df: DataFrame, lay: Layout, scales: dict[int, Scale]) -> DataFram
     x, n = F.col("x"), F.col("n")
     unit = F.element_at(F.array(*[F.lit(10.0 ** scales[i].decimals if i in scales else 1.0) for i in range(len(lay.columns))]), F.col("c") + 1)
     fits = (F.abs(x) < LARGEST) & F.col("c").isin(*scales) if scales else F.lit(False)
-    each = each.withColumn("d", F.when(fits, F.rint(x * unit).cast("bigint") - of(lambda s: s.shift, 0))).withColumn("k", of(lambda s: s.limb, 1))
-    each = each.withColumn("way", F.when(F.col("d").isNotNull(), of(lambda s: 2 if s.wide else 0 if s.short else 1, 0)))
-    native = F.when(F.col("way") < 2, F.col("d") * F.col("d"))
-    each = each.withColumn("h", F.expr("CASE WHEN way < 2 THEN (d * d) div k END")).withColumn("w", F.when(F.col("way") < 2, native - F.col("h") * F.col("k")))
-    d, h, w, way = (F.col(k) for k in ("d", "h", "w", "way"))
-    term = {"d": d, "h": h, "w": w, "dh": d * h, "dw": d * w, "hh": h * h, "hw": h * w, "ww": w * w}
     aggs = [F.count(F.lit(1)).alias("distinct"), F.sum(F.when(wrong, n).otherwise(0)).alias("violations")]
-    kinds = {2 if s.wide else 0 if s.short else 1 for s in scales.values()}
+    if way == "text":
+        return each.groupBy("g", "l", "c").agg(*aggs)
+    each = each.withColumn("d", F.when(fits, F.rint(x * unit).cast("bigint") - of(lambda s: s.shift, 0)))
     whole = lambda e: e.cast("decimal(20,0)")
-    for name, e in term.items():
-        if 0 in kinds:
-            aggs.append(F.sum(F.when(way == 0, n * e)).alias(f"a_{name}"))
-        if 1 in kinds:
-            aggs.append(F.sum(F.when(way == 1, F.when(n == 1, whole(e).cast("decimal(38,0)")).otherwise(F.try_multiply(whole(e), whole(n)).cast("decimal(38,0)")))).alias(f"b_{name}"))
-    if 2 in kinds:  # d = u x 10^8 + v, every product of powers of u and v apart
-        u, v = F.expr(f"d div {LIMB}L"), d - F.expr(f"d div {LIMB}L") * LIMB
+    d = F.col("d")
+    if way == "wide":  # d = u x LIMB + v, every product of powers of u and v apart
+        each = each.withColumn("u", F.expr(f"d div {LIMB}L")).withColumn("w", d - F.col("u") * LIMB)
+        u, v = F.col("u"), F.col("w")
         uu, uv, vv = u * u, u * v, v * v
         product = {(2, 0): whole(uu), (1, 1): whole(uv), (0, 2): whole(vv), (3, 0): whole(uu) * whole(u), (2, 1): whole(uu) * whole(v), (1, 2): whole(vv) * whole(u), (0, 3): whole(vv) * whole(v),
                    (4, 0): whole(uu) * whole(uu), (3, 1): whole(uu) * whole(uv), (2, 2): whole(uu) * whole(vv), (1, 3): whole(vv) * whole(uv), (0, 4): whole(vv) * whole(vv)}
-        aggs.append(F.sum(F.when(way == 2, whole(d) * whole(n))).alias("t1_1"))
+        aggs.append(F.sum(whole(d) * whole(n)).alias("t1_1"))
         for p, i, j in TERMS:
             e = product[i, j].cast("decimal(38,0)")
-            aggs.append(F.try_sum(F.when(way == 2, F.when(n == 1, e).otherwise(F.try_multiply(e, whole(n))))).alias(f"t{p}_{i}"))
+            aggs.append(F.try_sum(F.when(n == 1, e).otherwise(F.try_multiply(e, whole(n)))).alias(f"t{p}_{i}"))
+        return each.groupBy("g", "l", "c").agg(*aggs)
+    each = each.withColumn("k", of(lambda s: s.limb, 1)).withColumn("h", F.expr("(d * d) div k")).withColumn("w", d * d - F.col("h") * F.col("k"))
+    h, w = F.col("h"), F.col("w")
+    for name, e in {"d": d, "h": h, "w": w, "dh": d * h, "dw": d * w, "hh": h * h, "hw": h * w, "ww": w * w}.items():
+        if way == "short":
+            aggs.append(F.sum(n * e).alias(f"a_{name}"))
+        else:
+            aggs.append(F.sum(F.when(n == 1, whole(e).cast("decimal(38,0)")).otherwise(F.try_multiply(whole(e), whole(n)).cast("decimal(38,0)"))).alias(f"b_{name}"))
     return each.groupBy("g", "l", "c").agg(*aggs)
 
 
@@ -219,9 +231,9 @@ def central_moments(scales: dict[int, Scale], names: list[str]):
     def powers(c: int, t: dict[str, int]) -> tuple[int, int, int, int] | None:
         s = scales[c]
         try:
-            if s.wide:
+            if s.way == "wide":
                 return (t["t1_1"], *[sum(binomial[k, i] * t[f"t{k}_{i}"] for i in range(k + 1)) for k in (2, 3, 4)])
-            d, h, w, dh, dw, hh, hw, ww = (t[("a_" if s.short else "b_") + k] for k in SHORT)
+            d, h, w, dh, dw, hh, hw, ww = (t[("a_" if s.way == "short" else "b_") + k] for k in SHORT)
         except KeyError:
             return None
         k = s.limb
