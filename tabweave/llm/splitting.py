@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabweave.llm.tokens import code_points, token_starts
-from tabweave.plans.physical import small_side
+from tabweave.plans.physical import pin, small_side
 
 _PIECE = T.StructType([T.StructField(n, T.LongType()) for n in ("token_from", "token_to", "char_from", "char_to", "repeated")] + [T.StructField("cut", T.StringType())])
 PLAN = T.StructType([T.StructField("tokens", T.LongType()), T.StructField("finest_cut", T.StringType()), T.StructField("pieces", T.ArrayType(_PIECE))])
@@ -86,7 +86,7 @@ def split_documents(docs: DataFrame, limits: DataFrame) -> DataFrame:
     """
     limits = limits.groupBy("source").agg(F.min(F.struct(F.col("piece_tokens").cast("bigint").alias("m"), F.col("overlap_tokens").cast("bigint").alias("o"))).alias("_x"))
     rows = docs.select("doc_id", "source", "text", F.col("cells.n_chars").alias("_cells")).join(small_side(limits, limits.count(), 64), "source")
-    planned = rows.withColumn("_p", _plan("text", "_cells", "_x.m", "_x.o")).where(F.col("_p.tokens").isNotNull())
+    planned = pin(rows, "_p", _plan("text", "_cells", "_x.m", "_x.o")).where(F.col("_p.tokens").isNotNull())
     each = planned.select("doc_id", "source", "text", F.col("_p.tokens").alias("tokens"), F.col("_p.finest_cut").alias("finest_cut"), F.size("_p.pieces").alias("pieces"), F.posexplode("_p.pieces").alias("piece", "_e"))
     return each.select(
         "doc_id", "source", "tokens", "finest_cut", (F.col("piece") + 1).alias("piece"), "pieces", "_e.*",
