@@ -2,37 +2,52 @@
 
 A whole document is hundreds of times longer than the stretch of an item that may have leaked into it, so the Jaccard
 similarity that a MinHash of whole sets estimates drowns. Both sides are therefore cut to passages of one size before they are
-sketched: WINDOW neighbouring shingles of WORDS words. The sketch of a passage is the minimum of its hashed shingles, and two
-passages that hold the same words have the same minimum, so equal minima are the candidates. With five words and two shingles
-a passage is six words long, and that makes the search complete: a stretch of 20 words with at most one word in eight
-changed, dropped or inserted has at most two edits, which leave a run of six words or more (longer ones likewise).
+sketched: WINDOW neighbouring shingles of WORDS words. The sketch of a passage is the minimum of its hashed shingles, and the
+signature of a text is the set of those minima with their places. Two passages that hold the same words have the same minimum, so
+equal minima are the candidates. With five words and two shingles a passage is six words long, and that makes the search complete: a
+stretch of 20 words with at most one word in eight changed, dropped or inserted has at most two edits, which leave a run of six
+words or more (longer ones likewise).
+
+Items are partitioned by size, and each partition has its own thresholds (see thresholds()): how many elements of its signature an
+item must have in common with a document's neighbourhood, and how many of its shingles must be contained in it. Both are the fewest
+that a qualifying stretch of an item of that size can leave, so nothing that qualifies is lost.
 
 Candidates are verified on the words themselves: by exact containment of the item's shingles in the stretch of the document
 around them, then by edits. A stretch of L item words qualifies if L >= 20 and its edits are at most L / 8. A qualifying
 stretch of 40 words or more has a qualifying part under 40, so at most 4 edits and a band of 4 diagonals either side of the
 candidate need be looked at.
 
-One pass over the corpus, no shuffle of text, nothing gathered but the hits. The items are sent to the workers in blocks of
-a fixed number, so what is sent has a bound whatever their number.
+The documents are read once, whatever the number of items. Words are 64-bit hashes, the same everywhere, so that both sides meet by a
+join of minima. A Bloom filter of the items' minima, whose size has a bound, goes to the workers; of a document only the neighbourhoods
+of minima that pass it leave its task, as hashed words. What the filter lets through by chance, the join drops.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabweave.plans.physical import materialize
+
 WORDS, WINDOW, LEAST, RATE, BAND = 5, 2, 20, 8, 4
 REACH = 2 * LEAST
-ITEMS_PER_BLOCK = 5_000
 HITS = "doc_id bigint, item_id bigint, item_word bigint, words bigint, edits bigint, shared_shingles bigint, item_shingles bigint"
-
-TAG = re.compile(r"</?[A-Za-z!][^<>\n]{0,300}>")
+#: Lower ends of the size partitions of items, in words.
+SIZES = (20, 24, 32, 64, 128, 256, 1024)
+#: Bits of the filter for each minimum, hashed places of one, and the most bits there are (16 MB).
+BITS_EACH, PROBES, MOST_BITS = 64, 3, 1 << 27
+#: Words of a neighbourhood after which it is cut, parts overlapping by more than a stretch spans.
+NEAR = 512
+
+# A tag of up to 300 characters on a line, one of any length whose attributes have values, or a comment.
+TAG = re.compile(r"</?[A-Za-z!][^<>\n]{0,300}>|<[A-Za-z][\w:-]*(?:\s+[\w:@.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))+\s*/?>|<!--.*?-->", re.DOTALL)
 ENTITY = re.compile(r"&(?:[A-Za-z]{2,8}|#[0-9]{1,6}|#x[0-9A-Fa-f]{1,5});")
 ESCAPE = re.compile(r"\\[nrtfv\"'/]")
 WORD = re.compile(r"\w+")
@@ -51,31 +66,76 @@ def words_of(text: str) -> list[str]:
     return [w for x in found if (w := x.strip("_"))] if "_" in text else found
 
 
-def shingle_hashes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, valid) of the shingles of word numbers; one with an unknown word (-1) is not valid."""
-    n = len(ids) - WORDS + 1
+class _Hashes(dict):
+    """64-bit hashes of words, worked out once a word; forgotten when there are many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) - 2**63
+        self[word] = h = h if h != OUTSIDE else OUTSIDE + 1
+        return h
+
+
+#: Stands for no word in a row of item words.
+OUTSIDE = -2
+_HASHES = _Hashes()
+
+
+def hashed_words(text: str) -> np.ndarray:
+    found = words_of(text)
+    return np.fromiter(map(_HASHES.__getitem__, found), np.int64, len(found))
+
+
+def shingle_hashes(words: np.ndarray) -> np.ndarray:
+    n = len(words) - WORDS + 1
     if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    wide, valid, h = ids.astype(np.uint64), np.ones(n, bool), np.zeros(n, np.uint64)
+        return np.zeros(0, np.uint64)
+    wide, h = words.view(np.uint64), np.zeros(n, np.uint64)
     for k in range(WORDS):
         part = wide[k : k + n] + MIX[k]
         h = (h ^ (part * MIX[(k + 1) % WORDS])) * MIX[k]
         h ^= h >> np.uint64(29)
-        valid &= ids[k : k + n] >= 0
-    return h, valid
+    return h
 
 
-def minima(h: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, values): the MinHash of every passage of WINDOW valid shingles."""
+def signature(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, values): the shingles that are the MinHash of a passage of WINDOW shingles, the first one if tied."""
     n = len(h) - WINDOW + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    m, ok = h[:n].copy(), valid[:n].copy()
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least, at = h[:n].copy(), np.arange(n)
     for k in range(1, WINDOW):
-        np.minimum(m, h[k : k + n], out=m)
-        ok &= valid[k : k + n]
-    at = np.flatnonzero(ok)
-    return at, m[at]
+        less = h[k : k + n] < least
+        least[less], at[less] = h[k : k + n][less], np.flatnonzero(less) + k
+    places = np.unique(at)
+    return places, h[places].view(np.int64)
+
+
+@lru_cache(None)
+def thresholds(most: int) -> tuple[int, int]:
+    """(elements of the signature, shingles): the fewest that a qualifying stretch of an item of at most `most` words leaves unharmed,
+    over all ways in which its edits cut it into runs."""
+    def fewest(kept: int, runs: int, of: int) -> int:
+        best = {0: 0}
+        for _ in range(runs):
+            new: dict[int, int] = {}
+            for used, got in best.items():
+                for r in range(kept - used + 1):
+                    v = got + max(0, r - WORDS + 1) // of
+                    if v < new.get(used + r, 1 << 30):
+                        new[used + r] = v
+            best = new
+        return best[kept]
+
+    lengths = [(L, L // RATE) for L in range(LEAST, min(most, REACH - 1) + 1)]
+    return tuple(max(1, min(fewest(L - e, e + 1, of) for L, e in lengths)) for of in (WINDOW, 1))
+
+
+def size_class(n: int) -> tuple[int, int]:
+    """(elements, shingles) that the partition of items of n words asks for."""
+    above = [b for b in SIZES if b > n]
+    return thresholds(above[0] - 1 if above else 1 << 20)
 
 
 def fewest_edits(a: np.ndarray, b: np.ndarray, p: int, d: int) -> tuple[int, int, int] | None:
@@ -109,116 +169,186 @@ def fewest_edits(a: np.ndarray, b: np.ndarray, p: int, d: int) -> tuple[int, int
 
 
 def may_qualify(rows: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which candidates can hold a qualifying stretch at all. rows: item words around each candidate (-2 outside the item); at: the
+    """Which candidates can hold a qualifying stretch at all. rows: item words around each candidate (OUTSIDE outside the item); at: the
     document place that belongs to each candidate's first row. An item word that stands nowhere in the band costs at least one edit,
     so a stretch with a negative sum of 1 a word found and 1 - RATE a word not found cannot qualify."""
     cols = at[:, None, None] + np.arange(rows.shape[1])[None, :, None] + np.arange(-BAND, BAND + 1)
     inside = (cols >= 0) & (cols < len(b))
     found = (inside & (b[np.clip(cols, 0, len(b) - 1)] == rows[:, :, None])).any(2)
-    run = np.where(rows == -2, -10_000, np.where(found, 1, 1 - RATE)).cumsum(1)
+    run = np.where(rows == OUTSIDE, -10_000, np.where(found, 1, 1 - RATE)).cumsum(1)
     run = np.concatenate([np.zeros((len(rows), 1), run.dtype), run], axis=1)
     return ((run[:, LEAST:] - np.minimum.accumulate(run[:, :-LEAST], axis=1)) >= 0).any(1)
 
 
+def verify(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray, places: np.ndarray) -> tuple[int, int, int, int, int] | None:
+    """(item word, words, edits, shared shingles, item shingles) of the first qualifying stretch of item words `a` in the neighbourhood
+    `b`, at candidates given by their place in the item and the diagonal they lie on; None if there is none."""
+    order = np.lexsort((places, diagonals))
+    places, diagonals = places[order], diagonals[order]
+    gap = np.full(REACH, OUTSIDE, np.int64)
+    flat = np.concatenate([gap, a, gap])
+    able = np.concatenate([may_qualify(flat[places[k : k + 1000, None] + np.arange(2 * REACH)], b, (places + diagonals)[k : k + 1000] - REACH) for k in range(0, len(places), 1000)])
+    mine, theirs = shingle_hashes(a), shingle_hashes(b)
+    least = size_class(len(a))[1]
+    for i in np.flatnonzero(able):
+        p, d = int(places[i]), int(diagonals[i])
+        near = theirs[max(0, p + d - REACH - BAND) : max(0, p + d + REACH + BAND)]
+        shared = int(np.isin(mine[max(0, p - REACH) : p + REACH], near).sum())
+        if shared >= least:
+            found = fewest_edits(a, b, p, d)
+            if found:
+                return *found, shared, len(mine)
+    return None
+
+
+def probes(values: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The places of each value in a filter of `bits` (a power of two) bits."""
+    v = values.view(np.uint64)
+    return [((v * MIX[k]) >> np.uint64(20)) & np.uint64(bits - 1) for k in range(PROBES)]
+
+
+class Filter:
+    """A Bloom filter as an array of 64-bit words."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+
+    def passes(self, values: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(values), bool)
+        for at in probes(values, 64 * len(self.words)):
+            ok &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return ok
+
+
+def neighbourhoods(words: np.ndarray, sieve: Filter) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, values, places): the parts of a document around the elements of its signature that pass the filter. Elements within REACH
+    words of each other share a part; a part of many is cut so that whatever a stretch spans lies whole in one."""
+    places, values = signature(shingle_hashes(words))
+    have = np.flatnonzero(sieve.passes(values)) if len(values) else []
+    if not len(have):
+        return
+    places, values = places[have], values[have]
+    for own in np.split(np.arange(len(places)), np.flatnonzero(np.diff(places) > REACH) + 1):
+        first, last = places[own[0]], places[own[-1]]
+        for at in range(int(first), int(last) + 1, NEAR - 2 * (REACH + BAND)):
+            part = own[(places[own] >= at) & (places[own] < at + NEAR)]
+            if len(part) and (at == first or places[part[-1]] >= at + 2 * (REACH + BAND)):
+                lo = max(0, int(places[part[0]]) - REACH - BAND)
+                hi = int(places[part[-1]]) + REACH + BAND + WORDS + WINDOW
+                yield words[lo:hi], values[part], places[part] - lo
+
+
 class ItemIndex:
-    """A block of items as word numbers, and the passages' minima with the places they come from."""
+    """The search over items held in memory, for texts one at a time: what leaked_items() does by joins."""
 
     def __init__(self, items: list[tuple[int, str | None]]) -> None:
-        self.vocabulary: dict[str, int] = {}
         self.words: dict[int, np.ndarray] = {}
-        self.hashes: dict[int, np.ndarray] = {}
-        keys, owner, place = [], [], []
+        self.seeds: dict[int, list[tuple[int, int]]] = {}
         for item, prompt in items:
-            found = words_of(prompt or "")
-            if len(found) < LEAST:
-                continue
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in found], np.int64)
-            h, ok = shingle_hashes(ids)
-            at, values = minima(h, ok)
-            self.words[item], self.hashes[item] = ids, h
-            keys.append(values)
-            owner.append(np.full(len(at), item, np.int64))
-            place.append(at)
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        k = join(keys, np.uint64)
-        order = np.argsort(k, kind="stable")
-        self.keys, self.owner, self.place = k[order], join(owner, np.int64)[order], join(place, np.int64)[order]
-        # All items in one array, REACH places apart, so that words around a candidate are one slice.
-        gap, self.base, flat, n = np.full(REACH, -2, np.int64), {}, [], 0
-        for item, ids in self.words.items():
-            flat += [gap, ids]
-            self.base[item] = n + REACH
-            n += REACH + len(ids)
-        self.flat = np.concatenate([*flat, gap])
+            a = hashed_words(prompt or "")
+            if len(a) >= LEAST:
+                self.words[item] = a
+                for place, value in zip(*(x.tolist() for x in signature(shingle_hashes(a)))):
+                    self.seeds.setdefault(value, []).append((item, place))
+        values, bits = np.array(list(self.seeds), np.int64), 1 << 16
+        words = np.zeros(bits // 64, np.uint64)
+        for at in probes(values, bits):
+            np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        self.sieve = Filter(words)
 
     def hits(self, doc: int, text: str) -> Iterator[tuple]:
-        get = self.vocabulary.get
-        ids = np.array([get(w, -1) for w in words_of(text)], np.int64)
-        h, ok = shingle_hashes(ids)
-        at, values = minima(h, ok)
-        left, right = np.searchsorted(self.keys, values, "left"), np.searchsorted(self.keys, values, "right")
-        have = np.flatnonzero(right > left)
-        if not len(have):
-            return
-        sizes = right[have] - left[have]
-        post = np.repeat(left[have], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        docs, items, places = np.repeat(at[have], sizes), self.owner[post], self.place[post]
-        diag = docs - places
-        order = np.lexsort((places, diag, items))
-        items, places, diag = items[order], places[order], diag[order]
-        # Neighbouring hits of one diagonal lead to the same stretch: one in LEAST words is tried.
-        group = np.ones(len(items), bool)
-        group[1:] = (items[1:] != items[:-1]) | (diag[1:] != diag[:-1]) | (places[1:] // WORDS != places[:-1] // WORDS)
-        items, places, diag = items[group], places[group], diag[group]
-        start = np.array([self.base[i] for i in items.tolist()], np.int64) + places - REACH
-        able = np.concatenate([
-            may_qualify(self.flat[start[k : k + 1000, None] + np.arange(2 * REACH)], ids, (places + diag)[k : k + 1000] - REACH)
-            for k in range(0, len(items), 1000)])
         done: set[int] = set()
-        least_shared = LEAST - LEAST // RATE * WORDS - WORDS  # of the item's shingles; 24 words with 3 edits keep the fewest
-        for i in np.flatnonzero(able):
-            item = int(items[i])
-            if item in done:
-                continue
-            p, d = int(places[i]), int(diag[i])
-            mine = self.hashes[item]
-            window = mine[max(0, p - REACH) : p + REACH]
-            theirs = slice(max(0, p + d - REACH - BAND), max(0, p + d + REACH + BAND))
-            shared = int(np.isin(window, h[theirs][ok[theirs]]).sum())
-            if shared < least_shared:
-                continue
-            found = fewest_edits(self.words[item], ids, p, d)
-            if found:
-                done.add(item)
-                yield doc, item, *found, shared, len(mine)
-
-
-def leaked_items(docs: DataFrame, items: DataFrame, per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
+        for b, values, places in neighbourhoods(hashed_words(text), self.sieve):
+            found: dict[int, dict[tuple[int, int], int]] = {}
+            common: dict[int, set[int]] = {}
+            for value, at in zip(values.tolist(), places.tolist()):
+                for item, place in self.seeds.get(value, ()):
+                    common.setdefault(item, set()).add(place)
+                    key = (at - place, place // WORDS)
+                    found.setdefault(item, {})[key] = min(place, found.get(item, {}).get(key, place))
+            for item, own in found.items():
+                if item not in done and len(common[item]) >= size_class(len(self.words[item]))[0]:
+                    hit = verify(self.words[item], b, np.array([d for d, _ in own], np.int64), np.array(list(own.values()), np.int64))
+                    if hit:
+                        done.add(item)
+                        yield doc, item, *hit
+
+
+def _item_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [(int(i), w, size_class(len(w))[0]) for i, t in zip(b["item_id"], b["prompt"]) if len(w := hashed_words(t)) >= LEAST]
+        yield pd.DataFrame(rows, columns=["item_id", "words", "least"])
+
+
+def _item_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [(k, place, value) for k, w in zip(b["item"].tolist(), b["words"]) for place, value in zip(*(x.tolist() for x in signature(shingle_hashes(np.asarray(w, np.int64)))))]
+        yield pd.DataFrame(rows, columns=["item", "place", "value"])
+
+
+def _filter_of(seeds: DataFrame) -> Filter:
+    """The filter of the seeds' values: made of words that hold a bit, of which there are at most MOST_BITS / 64."""
+    bits = 1 << 16
+    while bits < min(MOST_BITS, BITS_EACH * seeds.count()):
+        bits *= 2
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at = np.concatenate(probes(b["value"].to_numpy(np.int64), bits)) if len(b) else np.zeros(0, np.uint64)
+            yield pd.DataFrame({"word": (at >> np.uint64(6)).astype(np.int64), "bit": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
+
+    held = seeds.select("value").mapInPandas(places, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    words = np.zeros(bits // 64, np.uint64)
+    words[held["word"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64).view(np.uint64)
+    return Filter(words)
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, per_block: int | None = None) -> DataFrame:
     """(doc_id, item_id, item_word, words, edits, shared_shingles, item_shingles): each pair of a document and an item it gives away.
 
     docs: doc_id, text; items: item_id, prompt. item_word is where in the prompt a qualifying stretch of `words` words begins (from
     0), shared_shingles how many of the item's five-word shingles stand in that part of the document. Every item that qualifies
     counts, also one with the words of another. A word dropped at an end is an edit like any other: 18 words as they stand qualify as 20
     with two dropped. Items of under 20 words, null and empty texts give nothing; a pair comes out once,
-    however often its rows are repeated; other columns are ignored.
+    however often its rows are repeated; other columns are ignored. Documents are read once whatever `per_block` says: it cut items into
+    blocks before they met by a join.
+
+    A minimum that many items share (a prompt's template) and many documents hold is a hot key of the join of minima, which adaptive
+    execution splits on either side; texts are not part of that join.
     """
     spark = docs.sparkSession
-    listed = items.select("item_id", "prompt").where(F.col("item_id").isNotNull() & F.col("prompt").isNotNull())
-    blocks = max(1, -(-listed.count() // per_block))
-    text = docs.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-
-    def search(block: int) -> DataFrame:
-        rows = listed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect() if blocks > 1 else listed.collect()
-        index = spark.sparkContext.broadcast(ItemIndex(sorted((int(r[0]), r[1]) for r in rows)))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                found = [x for doc, t in zip(b["doc_id"], b["text"]) for x in index.value.hits(int(doc), t)]
-                yield pd.DataFrame(found, columns=[x.split()[0] for x in HITS.split(", ")])
-
-        return text.mapInPandas(run, HITS)
-
-    return reduce(DataFrame.unionByName, map(search, range(blocks))).dropDuplicates(["doc_id", "item_id"])
+    listed = items.select(F.col("item_id").cast("bigint").alias("item_id"), "prompt").where(F.col("item_id").isNotNull() & F.col("prompt").isNotNull()).distinct()
+    own = materialize(listed.mapInPandas(_item_words, "item_id bigint, words array<bigint>, least int").withColumn("item", F.monotonically_increasing_id()), "items")
+    seeds = materialize(own.select("item", "words").mapInPandas(_item_seeds, "item bigint, place int, value bigint"), "seeds")
+    sieve = spark.sparkContext.broadcast(_filter_of(seeds))
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(int(doc), *part) for doc, t in zip(b["doc_id"], b["text"]) for part in neighbourhoods(hashed_words(t), sieve.value)]
+            yield pd.DataFrame(rows, columns=["doc_id", "near", "values", "places"])
+
+    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    parts = text.mapInPandas(near, "doc_id bigint, near array<bigint>, values array<bigint>, places array<int>").withColumn("part", F.monotonically_increasing_id())
+    parts = materialize(parts, "neighbourhoods")
+    seen = parts.select("part", F.explode(F.arrays_zip("values", "places")).alias("e")).select("part", F.col("e.values").alias("value"), F.col("e.places").alias("at"))
+    met = seen.join(seeds, "value").select("part", "item", "place", (F.col("at") - F.col("place")).alias("diagonal"))
+    # Neighbouring elements of one diagonal lead to the same stretch: one in WORDS words is tried.
+    tried = met.groupBy("part", "item", "diagonal", F.floor(F.col("place") / WORDS).alias("slot")).agg(F.min("place").alias("place"), F.collect_set("place").alias("all"))
+    pairs = tried.groupBy("part", "item").agg(F.collect_list(F.struct("diagonal", "place")).alias("tried"), F.size(F.array_distinct(F.flatten(F.collect_list("all")))).alias("common"))
+    full = pairs.join(own, "item").where(F.col("common") >= F.col("least")).join(parts.select("part", "doc_id", "near"), "part")
+    full = full.select("doc_id", "item_id", "words", "near", F.col("tried.diagonal").alias("diagonals"), F.col("tried.place").alias("places"))
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for doc, item, *arrays in zip(b["doc_id"], b["item_id"], b["words"], b["near"], b["diagonals"], b["places"]):
+                hit = verify(*(np.asarray(x, np.int64) for x in arrays))
+                if hit:
+                    found.append((doc, item, *hit))
+            yield pd.DataFrame(found, columns=[x.split()[0] for x in HITS.split(", ")])
+
+    return full.mapInPandas(check, HITS).groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "item_word", "words", "shared_shingles", "item_shingles")).alias("h")).select(
+        "doc_id", "item_id", "h.item_word", "h.words", "h.edits", "h.shared_shingles", "h.item_shingles")
 
 
 def leak_report(hits: DataFrame, items: DataFrame) -> DataFrame:
