@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabweave.functions.missing import bare, number_missing, text_missing
 from tabweave.operators.impute import filled_cells, impute
 from tabweave.operators.quality import Layout, column_defects, column_profile
 from tabweave.operators.records import SEPARATORS, parse_records
-from tabweave.operators.timestamps import normalize_timestamps
+from tabweave.operators.timestamps import DICTIONARY, VERSION, normalize_timestamps
+from tabweave.plans.physical import materialize, shared_dir
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -61,12 +65,56 @@ def p3_filled(spark: SparkSession, sf: str) -> DataFrame:
     return impute(_read(spark, sf, "churn_rows"), decimals=_DECIMALS)
 
 
+def p3_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """One row a column: cells, missing ones, and whether all present values are kept, all missing ones are filled and marked, and those
+    filled from their group lie within what it has."""
+    rows = _read(spark, sf, "churn_rows")
+    t = impute(rows, decimals=_DECIMALS)
+    keys = ["dataset_id", "load_no", "site_code"]
+    number = {c: F.when(~number_missing(F.col(c)), F.col(c)) for c in _FILLED[:4]}
+    ends = rows.groupBy(*keys).agg(*[e for c, x in number.items() for e in (F.min(x).alias(f"lo_{c}"), F.max(x).alias(f"hi_{c}"))])
+    t = t.join(ends, keys, "left")
+    parts = []
+    for c in _FILLED:
+        gone = number_missing(F.col(c)) if c in number else text_missing(F.col(c))
+        own = F.col(f"{c}_filled") == F.col(c) if c in number else bare(F.col(f"{c}_filled")) == bare(F.col(c))
+        step = 0.5 * 10.0 ** -_DECIMALS.get(c, 0)
+        inside = F.col(f"{c}_filled").between(F.col(f"lo_{c}") - step, F.col(f"hi_{c}") + step) if c in number else F.lit(True)
+        parts.append(F.struct(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("cells"), F.count_if(gone).alias("missing"), (F.count_if(~gone & ~F.coalesce(own, F.lit(False))) == 0).alias("kept"),
+                              (F.count_if(gone & (F.col(f"{c}_filled").isNull() | F.col(f"{c}_source").isNull())) + F.count_if(~gone & F.col(f"{c}_source").isNotNull()) == 0).alias("marked"), (F.count_if(gone & (F.col(f"{c}_source") == "group") & ~inside) == 0).alias("inside")))
+    return t.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("e")).select("e.*")
+
+
+_STAMP_SOURCE = ("dataset_id", "column_name")
+
+
+def _stamps(spark: SparkSession, rows: DataFrame, dictionary: str) -> DataFrame:
+    return normalize_timestamps(rows, "raw_value", "zone_name", dictionary, source=_STAMP_SOURCE)
+
+
+def _new_dictionary(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tabweave/instants-{uuid.uuid4().hex}"
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize_timestamps(_read(spark, sf, "stamp_cells"), "raw_value", "zone_name").where(F.col("status") == "read").select("stamp_id", "outcome")
+    return _stamps(spark, _read(spark, sf, "stamp_cells"), _new_dictionary(spark)).where(F.col("status") == "read").select("stamp_id", "outcome")
 
 
 def p5_normalized(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize_timestamps(_read(spark, sf, "stamp_cells"), "raw_value", "zone_name")
+    return _stamps(spark, _read(spark, sf, "stamp_cells"), _new_dictionary(spark))
+
+
+def p5_increments(spark: SparkSession, sf: str) -> DataFrame:
+    """(step, rows, words): the dictionary after the cells received in the first half of the time, and after all of them."""
+    cells, path, out = _read(spark, sf, "stamp_cells"), _new_dictionary(spark), None
+    ends = cells.agg(F.min("received_at").alias("a"), F.max("received_at").alias("b")).first()
+    half = F.coalesce(F.col("received_at") <= F.lit(ends.a + (ends.b - ends.a) / 2), F.lit(True)) if ends.a else F.lit(True)
+    for step, part in enumerate((cells.where(half), cells), 1):
+        rows = _stamps(spark, part, path).where(F.col("outcome").isNotNull() | (F.col("status") == "missing")).agg(F.count(F.lit(1)).alias("rows"))
+        words = materialize(spark.read.schema(DICTIONARY).parquet(f"{path}/version={VERSION}").agg(F.count(F.lit(1)).alias("words")), "words")
+        one = materialize(rows, "rows").select(F.lit(step).cast("bigint").alias("step"), "rows").crossJoin(words)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def p1_moments(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,7 +122,7 @@ def p1_moments(spark: SparkSession, sf: str) -> DataFrame:
     return column_profile(_read(spark, sf, "churn_rows")).select("dataset_id", "load_no", "column_name", "rows", "missing", "distinct", *figures)
 
 
-QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p1_moments": p1_moments, "p2_found": p2_found, "p2_parsed": p2_parsed, "p3_found": p3_found, "p3_filled": p3_filled, "p5_found": p5_found, "p5_normalized": p5_normalized}
+QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p1_moments": p1_moments, "p2_found": p2_found, "p2_parsed": p2_parsed, "p3_found": p3_found, "p3_filled": p3_filled, "p3_kept": p3_kept, "p5_found": p5_found, "p5_normalized": p5_normalized, "p5_increments": p5_increments}
 
 # The tokens and the reading of missing values are those of tabweave.functions.missing.
 _TOKENS = "('','na','n/a','nan','null','none','nil','undefined','?','#n/a','missing','-')"
@@ -178,4 +226,15 @@ s AS (SELECT dataset_id, load_no, site_code, column_name, count(x) + count(t) AS
 SELECT c.row_id, c.column_name FROM cells c JOIN s USING (dataset_id, load_no, site_code, column_name) WHERE c.x IS NULL AND c.t IS NULL AND s.n > 0
 """
 
-ORACLES = {"p1_found": _P1_FOUND, "p1_profile": _p1_profile(), "p1_moments": _P1_MOMENTS, "p3_found": _P3_FOUND, "p2_found": _p2_found()}
+_P3_KEPT = f"""
+WITH cells AS ({_CELLS})
+SELECT column_name, count(*) AS cells, count(*) - count(x) - count(t) AS missing, TRUE AS kept, TRUE AS marked, TRUE AS "inside" FROM cells WHERE column_name NOT IN ('account_id', 'plan_code', 'churn_risk') GROUP BY column_name"""
+
+_P5_INCREMENTS = f"""
+WITH m AS (SELECT min(received_at) AS a, max(received_at) AS b FROM stamp_cells),
+c AS (SELECT dataset_id, column_name, received_at, trim(raw_value, ' \t') AS raw, CASE WHEN zone_name IS NULL OR lower(trim(zone_name, ' \t')) IN {_TOKENS} THEN '' ELSE trim(zone_name, ' \t') END AS zone,
+  raw_value IS NULL OR lower(trim(raw_value, ' \t')) IN {_TOKENS} AS gone, regexp_full_match(coalesce(raw_value, ''), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}\\.[0-9]{{6}}Z') AND try_cast(raw_value AS TIMESTAMP) IS NOT NULL AS fine FROM stamp_cells),
+s AS (SELECT 1 AS step, c.* FROM c, m WHERE received_at <= a + (b - a) / 2 UNION ALL SELECT 2, c.* FROM c)
+SELECT step, count(*) AS rows, count(DISTINCT CASE WHEN NOT gone AND NOT fine THEN (dataset_id, column_name, raw, zone) END) AS words FROM s GROUP BY step"""
+
+ORACLES = {"p3_kept": _P3_KEPT, "p5_increments": _P5_INCREMENTS, "p1_found": _P1_FOUND, "p1_profile": _p1_profile(), "p1_moments": _P1_MOMENTS, "p3_found": _P3_FOUND, "p2_found": _p2_found()}

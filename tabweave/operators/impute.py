@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 from tabweave.functions.missing import ALL_TOKENS, bare, number_missing, text_missing
 from tabweave.plans.physical import Veil, free_name, materialize, small_side
 
+#: Random rows of a group whose rare label a cell may get.
+RARE_DRAWS = 4
 SUMS = "kind int, i int, j int, v double"
 #: Rows whose group gives nothing for a field fall back on rows of their dataset in the same span of time, then on their dataset, then on all.
 SOURCES = ("group", "time", "dataset", "all")
@@ -195,12 +197,13 @@ def _filler(shape: Shape, rounds: list[Equations], seed: int):
     return F.pandas_udf(run, out)
 
 
-def _label_list(df: DataFrame, c: Column, tokens: tuple[str, ...], most: int) -> list[tuple[str, str]]:
-    """(label, its most frequent spelling) of the `most` most frequent labels."""
+def _label_list(df: DataFrame, c: Column, tokens: tuple[str, ...], most: int) -> tuple[list[tuple[str, str]], bool]:
+    """(label, its most frequent spelling) of the `most` most frequent labels, and whether there are others."""
     t = F.btrim(c, F.lit(" \t"))
     each = df.select(F.when(~text_missing(c, tokens), t).alias("t")).where(F.col("t").isNotNull()).groupBy("t").count()
     labels = each.groupBy(F.lower("t").alias("k")).agg(F.sum("count").alias("n"), F.max(F.struct("count", "t")).alias("m"))
-    return [(r.k, r.m.t) for r in labels.orderBy(F.desc("n"), "k").limit(most).collect()]
+    found = [(r.k, r.m.t) for r in labels.orderBy(F.desc("n"), "k").limit(most + 1).collect()]
+    return found[:most], len(found) > most
 
 
 def impute(
@@ -226,7 +229,8 @@ def impute(
     was there, else where the filled one starts from: group (same group, which has a value), time (rows of the dataset in the same
     span of days), dataset or all. `helpers` are label fields that explain others and are never filled. Filled numbers stay within what
     their group has, at `decimals`. A group key that is null or a missing token makes no group. A field without any value anywhere
-    stays null. Labels beyond the `most_labels` most frequent are kept but not filled in. Every row comes out once, repeated ones too; an
+    stays null. The `most_labels` most frequent labels are classes of their own; the others share one, and a cell of that class is filled
+    with the label of a random row of its group that has such a one. Every row comes out once, repeated ones too; an
     empty table gives an empty one. New names that are taken get a trailing underscore.
     """
     decimals = decimals or {}
@@ -241,8 +245,14 @@ def impute(
     for q in quart:
         lo, hi = (q[0], q[1]) if q else (0.0, 0.0)
         fence.append((lo - 3 * (hi - lo), hi + 3 * (hi - lo)) if hi > lo else (-float("inf"), float("inf")))
-    words = [_label_list(v.df, col(c), tokens, most_labels) for c in fields]
-    spot = [F.nullif(F.array_position(F.array(*[F.lit(k) for k, _ in w]), bare(col(c))), F.lit(0)).cast("int") - 1 if w else F.lit(None).cast("int") for c, w in zip(fields, words)]
+    listed = [_label_list(v.df, col(c), tokens, most_labels) for c in fields]
+    # Labels beyond the most frequent share a last class; which of them is filled in is drawn among the rows of the group.
+    words = [[*w, ("", "")] if more else w for w, more in listed]
+    spot = []
+    for c, (w, more) in zip(fields, listed):
+        at = F.nullif(F.array_position(F.array(*[F.lit(k) for k, _ in w]), bare(col(c))), F.lit(0)).cast("int") - 1 if w else F.lit(None).cast("int")
+        spot.append(F.when(~text_missing(col(c), tokens), F.coalesce(at, F.lit(len(w)))) if more else at)
+    rare = [f for f, (_, more) in enumerate(listed[: len(labels)]) if more]
     known = F.lit(True)
     for g in group:
         known = known & ~(text_missing(col(g), tokens) if kinds[v.name(g)] == "string" else col(g).isNull())
@@ -258,9 +268,14 @@ def impute(
         figures += [F.count(c).alias(f"n{i}"), F.sum(c).alias(f"sum{i}"), F.sum(c * c).alias(f"sq{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
     for f, w in enumerate(words):
         figures += [F.count_if(F.col(f"s{f}") == k).alias(f"m{f}_{k}") for k in range(len(w))]
+    for f in rare:
+        draw = lambda i, f=f: F.max(F.when(F.col(f"s{f}") == len(words[f]) - 1, F.struct(F.xxhash64(F.lit(seed + i), "key").alias("h"), F.col(f"t{f}").alias("t"))))
+        figures += [draw(i).alias(f"r{f}_{i}") for i in range(RARE_DRAWS)]
     names = [f"g{i}" for i in range(len(group))]
     groups = materialize(clean.where("known").groupBy(*names).agg(*figures), "groups")
+    drawn = [f"r{f}_{i}" for f in rare for i in range(RARE_DRAWS)]
     total = groups.agg(
+        *[F.max(r).alias(r) for r in drawn],
         F.count(F.lit(1)).alias("groups"),
         *[e for i in range(len(numbers)) for e in (F.sum(f"n{i}").alias(f"n{i}"), F.sum(f"sum{i}").alias(f"sum{i}"), F.sum(F.col(f"sq{i}") - F.col(f"sum{i}") * F.col(f"sum{i}") / F.col(f"n{i}")).alias(f"w{i}"), F.min(f"lo{i}").alias(f"lo{i}"), F.max(f"hi{i}").alias(f"hi{i}"))],
         *[F.sum(f"m{f}_{k}").alias(f"m{f}_{k}") for f, w in enumerate(words) for k in range(len(w))]).first()
@@ -276,7 +291,7 @@ def impute(
             ms = [F.col(f"m{f}_{k}") for k in range(len(w))]
             whole = F.nullif(sum(ms[1:], ms[0]), F.lit(0)) if ms else F.lit(None)
             e += [(m / whole).alias(f"{level}share{f}_{k}") for k, m in enumerate(ms)]
-        return e
+        return e + [F.col(f"{r}.t").alias(f"{level}{r}") for r in drawn]
 
     near = groups.select(*names, *start("G"))
     rows = clean.join(small_side(near, total["groups"], 8 * (3 * len(numbers) + sum(map(len, words)) + 4)), names, "left")
@@ -289,12 +304,12 @@ def impute(
             lack = lack | (F.col(f"t{f}").isNull() & F.col(f"Gshare{f}_0").isNull())
     rows = materialize(rows.withColumn("lack", lack).drop(*names, "known"), "rows")
     timed = clean.groupBy("d", "span").agg(*figures)
-    whole = timed.groupBy("d").agg(*[(F.min if n.startswith("lo") else F.max if n.startswith("hi") else F.sum)(n).alias(n) for n in timed.columns[2:]])
+    whole = timed.groupBy("d").agg(*[(F.min if n.startswith("lo") else F.max if n.startswith(("hi", "r")) else F.sum)(n).alias(n) for n in timed.columns[2:]])
     far = rows.where("lack").join(timed.select("d", "span", *start("T")), ["d", "span"], "left").join(whole.select("d", *start("D")), ["d"], "left")
     far = materialize(far, "far")
     have = set(rows.columns)
     full = rows.where(~F.col("lack"))
-    full = full.select("*", *[F.lit(None).cast("double").alias(c) for c in far.columns if c not in have]).unionByName(far)
+    full = full.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in far.dtypes if c not in have]).unionByName(far)
 
     mean, low, high, source, share = [], [], [], [], []
     for i in range(len(numbers)):
@@ -324,8 +339,11 @@ def impute(
         out += [F.when(gap, value).otherwise(F.col(f"x{i}")).alias(free_name(df, f"{c}_filled")), F.when(gap & value.isNotNull(), source[i]).alias(free_name(df, f"{c}_source"))]
     for f, c in enumerate(labels):
         spelled = F.get(F.array(*[F.lit(s) for _, s in words[f]]), F.col(f"got.a{f}")) if words[f] else F.lit(None).cast("string")
+        if f in rare:  # one of a few rows of the group that have such a label, by the row's own hash
+            picks = [F.coalesce(*[F.col(f"{lv}r{f}_{i}") for lv in "GTD"], F.lit(total[f"r{f}_{i}"].t)) for i in range(RARE_DRAWS)]
+            spelled = F.when(F.col(f"got.a{f}") == len(words[f]) - 1, F.get(F.array(*picks), F.pmod("key", F.lit(RARE_DRAWS)).cast("int"))).otherwise(spelled)
         gap = F.col(f"t{f}").isNull()
-        clean_label = F.coalesce(F.get(F.array(*[F.lit(s) for _, s in words[f]]), F.col(f"s{f}")), F.col(f"t{f}")) if words[f] else F.col(f"t{f}")
+        clean_label = F.coalesce(F.get(F.array(*[F.lit(s) for _, s in listed[f][0]]), F.col(f"s{f}")), F.col(f"t{f}")) if words[f] else F.col(f"t{f}")
         out += [F.when(gap, spelled).otherwise(clean_label).alias(free_name(df, f"{c}_filled")), F.when(gap & spelled.isNotNull(), source[len(numbers) + f]).alias(free_name(df, f"{c}_source"))]
     return done.select(*out)
 

@@ -59,3 +59,23 @@ def test_clashing_names(spark):
     out = impute(spark.createDataFrame(rows, COLS + ", key string, account_age_months_filled double"))
     r = out.where("row_id = 1").first()
     assert r.key == "k" and r.account_age_months_filled == 1.5 and r.account_age_months_filled_ == 4.0
+
+
+def test_rare_labels_are_filled_in(spark):
+    """With room for one class, a group whose labels are all rarer ones gets one of its own."""
+    cols = "row_id bigint, dataset_id bigint, load_no int, site_code string, observed_at timestamp, account_age_months double, monthly_charges double, usage_hours double, support_tickets double, contract_type string, churn_risk string"
+    when = datetime(2024, 1, 1)
+    rows = [(i, 1, 1, "A", when, 1.0, 2.0, 3.0, 4.0, "Common", "Low") for i in range(60)]
+    rows += [(100 + i, 1, 2, "B", when, 1.0, 2.0, 3.0, 4.0, ["Rare one", "Rare two", None][i % 3], "Low") for i in range(30)]
+    done = impute(spark.createDataFrame(rows, cols), most_labels=1).where("load_no = 2 AND contract_type IS NULL").collect()
+    assert len(done) == 10 and {r.contract_type_filled for r in done} <= {"Rare one", "Rare two"} and {r.contract_type_source for r in done} == {"group"}
+
+
+def test_figures_that_are_not_broadcast(spark, monkeypatch):
+    """The plan of many groups, in which rows meet their group by a shuffle, fills the same."""
+    from tabweave.plans import physical
+
+    d = spark.read.parquet("/root/testdata/sf0.001/churn_rows.parquet")
+    want = {tuple(r) for r in impute(d, keep=["row_id"]).collect()}
+    monkeypatch.setattr(physical, "BROADCAST_BYTES", 0)
+    assert {tuple(r) for r in impute(d, keep=["row_id"]).collect()} == want
