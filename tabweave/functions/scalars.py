@@ -77,6 +77,29 @@ def signed_delta(x: Column, digits: int = 2) -> Column:
     return F.concat(F.when(x >= 0, F.lit("+")).otherwise(F.lit("")), F.format_string(f"%.{digits}f", F.round(x, digits)))
 
 
+def iso_date(t: Column) -> Column:
+    """A moment as 2024-01-31T10:20:30.123Z."""
+    return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def relative_time(t: Column, now: Column) -> Column:
+    """just now, 5m ago, 3h ago, 2d ago, and from a week on the date (Jan 5, 2024)."""
+    s = F.floor((F.unix_millis(now) - F.unix_millis(t)) / 1000)
+    ago = lambda per, unit: F.concat(F.floor(s / per).cast("string"), F.lit(f"{unit} ago"))
+    return F.when(s < 60, "just now").when(s < 3600, ago(60, "m")).when(s < 86_400, ago(3600, "h")).when(s < 7 * 86_400, ago(86_400, "d")).otherwise(F.date_format(t, "MMM d, yyyy"))
+
+
+# How states, verdicts and strategies are shown.
+STATUS_LABELS = {"pending": "Pending", "running": "Running", "completed": "Completed", "failed": "Failed"}
+VERDICT_LABELS = {"recommended": "Augmentation Recommended", "not_recommended": "Augmentation Not Recommended", "inconclusive": "Inconclusive"}
+STRATEGY_LABELS = {"smote": "SMOTE", "adasyn": "ADASYN", "smote_tomek": "SMOTE-Tomek", "oversampling": "Random Oversampling", "noise_injection": "Noise Injection", "combined": "Combined Strategy"}
+
+
+def labelled(c: Column, labels: dict[str, str]) -> Column:
+    """The label of a value; a value without one as it stands."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(v) for pair in labels.items() for v in pair]), c), c)
+
+
 def truncate(c: Column, most: int) -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)
 

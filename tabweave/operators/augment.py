@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.functions.rng import gaussian, uniform
-from tabweave.operators.fidelity import closest_records
+from tabweave.operators.fidelity import closest_records, ks
 from tabweave.operators.neighbours import nearest_rows, tomek_links
+from tabweave.operators.relations import correlation_fidelity
 from tabweave.plans.physical import one_row, running_sums
 
 
@@ -124,3 +126,27 @@ def synthetic_quality(real: DataFrame, synth: DataFrame, rid: str, sid: str, num
     shift = F.round(sum(gaps[1:], gaps[0]) / len(numbers), 3)
     t = d.withColumn("distribution_shift", shift)
     return t.withColumn("diversity", F.floor((1 - F.least(F.lit(1.0), F.col("distribution_shift") * 0.5)) * 88 + 0.5).cast("int"))
+
+
+def _mean_distance(df: DataFrame, rid: str, numbers: list[str], first: int) -> float | None:
+    """Mean distance of the pairs of the `first` rows by id, missing numbers as 0; None under two rows."""
+    x = df.orderBy(rid).limit(first).select(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in numbers]).toPandas().to_numpy()
+    if len(x) < 2:
+        return None
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(2))
+    return float(d.sum() / (len(x) * (len(x) - 1)))
+
+
+def synthesis_quality(real: DataFrame, synth: DataFrame, rid: str, sid: str, numbers: list[str], pair_rows: int = 50, near_rows: int = 200, near: float = 0.05) -> DataFrame:
+    """One row: correlation_fidelity (1 - mean difference of correlations), distribution_fidelity (1 - twice the mean KS distance),
+    diversity (80 times the ratio of mean distances among the first `pair_rows` rows of each side, at most 100; 50 where there are no
+    pairs) and redundancy (percent of the first `near_rows` synthetic rows closer than `near` to a real one, by range and per
+    dimension). Both row counts are part of the measure; correlations and distributions are of all rows."""
+    c = one_row(correlation_fidelity(real, synth, numbers))["pairwise_fidelity"] if len(numbers) > 1 else F.lit(1.0)
+    d = one_row(ks(real, synth, numbers).agg(F.sum("d").alias("d")))["d"] / F.lit(len(numbers))
+    a, b = _mean_distance(synth, sid, numbers, pair_rows), _mean_distance(real, rid, numbers, pair_rows)
+    spread = 50 if a is None else int(np.floor(max(0.0, min(100.0, 80 * (a / b if b else 1.0))) + 0.5))
+    head = synth.orderBy(sid).limit(near_rows)
+    close = closest_records(real, head, rid, sid, numbers, [])
+    share = one_row(close.agg(F.round(100.0 * F.count_if(F.col("dcr") < near) / F.count(F.lit(1)), 1).alias("r")))["r"]
+    return real.sparkSession.range(1).select(c.alias("correlation_fidelity"), F.round(F.greatest(F.lit(0.0), 1 - 2 * d), 4).alias("distribution_fidelity"), F.lit(spread).alias("diversity"), F.coalesce(share, F.lit(0.0)).alias("redundancy"))

@@ -209,6 +209,36 @@ def one_hot(df: DataFrame, column: str, categories: list[str]) -> DataFrame:
     return df.withColumns({f"{column}_{k}": F.coalesce((F.col(column) == k).cast("int"), F.lit(0)) for k in categories})
 
 
+def dataset_profile(df: DataFrame, kinds: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(column_name, data_type, null_count, missing_pct, unique_count, min, max, mean, std, skewness) of every column of a table, and one
+    row of it as a whole: rows, columns, columns of each type, cells, missing ones. `kinds` gives types (numeric, datetime,
+    categorical) where the column's own type does not: numbers are numeric, dates and timestamps datetime, all else categorical.
+    Datetimes have their range as milliseconds since 1970 in UTC."""
+    own = {c: "numeric" if t in ("double", "float", "int", "bigint", "smallint", "tinyint") or t.startswith("decimal") else "datetime" if t in ("date", "timestamp", "timestamp_ntz") else "categorical" for c, t in df.dtypes}
+    own |= kinds or {}
+    numbers, moments_ = [c for c in own if own[c] == "numeric"], [c for c in own if own[c] == "datetime"]
+    m = missing_report(df, list(own), SERVICE_TOKENS)
+    at = df.select(*[F.unix_millis(F.col(f"`{c}`").cast("timestamp")).cast("double").alias(c) for c in moments_])
+    stats = moments(melt(df, numbers)).select("c", "min", "max", "mean", "std", "skew") if numbers else None
+    ends = melt(at, moments_).groupBy("c").agg(F.min("x").alias("min"), F.max("x").alias("max"), *[F.lit(None).cast("double").alias(k) for k in ("mean", "std", "skew")]) if moments_ else None
+    both = reduce(DataFrame.unionByName, [t for t in (stats, ends) if t is not None]) if numbers or moments_ else None
+    kind = F.element_at(F.create_map(*[F.lit(v) for pair in own.items() for v in pair]), F.col("column_name"))
+    rows = one_row(df.agg(F.count(F.lit(1)).alias("n")))["n"]
+    t = m.join(both.withColumnRenamed("c", "column_name"), "column_name", "left") if both is not None else m.select("*", *[F.lit(None).cast("double").alias(k) for k in ("min", "max", "mean", "std", "skew")])
+    share = F.coalesce(F.round(100.0 * F.col("missing") / F.nullif(rows, F.lit(0)), 2), F.lit(0.0))
+    columns = t.select("column_name", kind.alias("data_type"), F.col("missing").alias("null_count"), share.alias("missing_pct"), F.col("distinct").alias("unique_count"), "min", "max", "mean", "std", F.col("skew").alias("skewness"))
+    cells = rows * F.lit(len(own))
+    whole = m.agg(F.coalesce(F.sum("missing"), F.lit(0)).alias("missing")).select(
+        rows.alias("rows"), F.lit(len(own)).alias("columns"), *[F.lit(sum(v == k for v in own.values())).alias(f"{k}_columns") for k in ("numeric", "categorical", "datetime")], cells.alias("cells"), "missing",
+        F.coalesce(F.round(100.0 * F.col("missing") / F.nullif(cells, F.lit(0)), 2), F.lit(0.0)).alias("missing_pct"))
+    return columns, whole
+
+
+def retarget(df: DataFrame, target: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """class_counts() and need_score() of a table under another target."""
+    return class_counts(df, target), need_score(df, target, [c for c in columns if c != target])
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.rng import normal_cdf
 from tabweave.operators.neighbours import CELLS, nearest_rows
-from tabweave.plans.physical import materialize, one_row
+from tabweave.operators.order import column_quantiles
+from tabweave.plans.physical import materialize, one_row, running_sums
 
 
 def split_key(seed: int, rid: str) -> Column:
@@ -43,6 +46,65 @@ def shuffled_split(df: DataFrame, rid: str, ratio: float = 0.25, seed: int = 42)
     return t.join(F.broadcast(cells), "_p").withColumn("is_test", place <= F.greatest(F.floor(total * ratio), F.lit(2))).drop("_h", "_p", "_before")
 
 
+def sequential_split(df: DataFrame, rid: str, ratio: float = 0.25) -> DataFrame:
+    """`df` with is_test: all rows after the first floor(n x (1 - ratio)) in the order of `rid`, which must tell rows apart."""
+    t = running_sums(df.withColumn("_one", F.lit(1)), [], [rid], ["_one"])
+    return t.withColumn("is_test", F.col("_one_upto") > F.floor(F.col("_one_all") * F.lit(1 - ratio))).drop("_one", "_one_upto", "_one_all")
+
+
+def split_target(df: DataFrame, target: str, rid: str) -> tuple[DataFrame, DataFrame]:
+    """The features (with `rid`) and (rid, target) of a table."""
+    return df.drop(target), df.select(rid, target)
+
+
+def splice_target(features: DataFrame, targets: DataFrame, rid: str, target: str, columns: list[str]) -> DataFrame:
+    """split_target() undone: the columns in their first order, rows without a target with null."""
+    return features.join(targets.select(rid, target), rid, "left").select(*columns)
+
+
+@dataclass(frozen=True)
+class Encoder:
+    """What encode() needs to know of the rows it was fitted on: (column, median, mean, deviation) and (column, mode, categories)."""
+
+    numbers: tuple[tuple[str, float, float, float], ...]
+    labels: tuple[tuple[str, str, tuple[str, ...]], ...]
+
+    @property
+    def columns(self) -> list[str]:
+        return [f"e{i}" for i in range(max(1, len(self.numbers) + sum(len(k) for _, _, k in self.labels)))]
+
+
+def fit_encoder(train: DataFrame, numbers: list[str], labels: list[str] | None = None, ids: list[str] | None = None, most: int = 50) -> Encoder:
+    """Medians, means and deviations of `numbers`, modes and categories of `labels` of the training rows; `ids` are left out. A label has
+    its `most` most frequent categories (ties by name), in the order of their names. A column without values has median and mean 0,
+    one without spread the deviation 1; a label without values the mode UNKNOWN."""
+    numbers, labels = ([c for c in own or [] if c not in (ids or [])] for own in (numbers, labels))
+    number = {c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in numbers}
+    middle = {r.c: r.q0 for r in column_quantiles(train, numbers, [0.5]).collect()} if numbers else {}
+    one = train.agg(*[e for i, x in enumerate(number.values()) for e in (F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"))]).first() if numbers else {}
+    usable = lambda v: v is not None and v > 0 and np.isfinite(v)
+    found = tuple((c, float(middle.get(c) or 0.0), float(one[f"m{i}"] or 0.0), float(one[f"s{i}"]) if usable(one[f"s{i}"]) else 1.0) for i, c in enumerate(numbers))
+    kinds = []
+    for c in labels:
+        v = F.col(f"`{c}`").cast("string")
+        top = train.where(v.isNotNull() & (v != "")).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "v").limit(most).collect()
+        kinds.append((c, top[0].v if top else "UNKNOWN", tuple(sorted(r.v for r in top))))
+    return Encoder(found, tuple(kinds))
+
+
+def encode(df: DataFrame, encoder: Encoder, keep: list[str]) -> DataFrame:
+    """`keep` and the encoder's columns: numbers filled with the median and standardised, then 1 or 0 for each category (a missing label
+    is its mode, an unknown one 0 in all); one column of zeros if there are none."""
+    parts = []
+    for c, median, mean, sd in encoder.numbers:
+        x = F.col(f"`{c}`").cast("double")
+        parts.append((F.coalesce(F.when(~F.isnan(x), x), F.lit(median)) - F.lit(mean)) / F.lit(sd))
+    for c, mode, kinds in encoder.labels:
+        v = F.coalesce(F.nullif(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit(mode))
+        parts += [F.when(v == k, 1.0).otherwise(0.0) for k in kinds]
+    return df.select(*keep, *[e.alias(n) for e, n in zip(parts or [F.lit(0.0)], encoder.columns)])
+
+
 def knn_predict(train: DataFrame, test: DataFrame, rid: str, label: str, k: int = 3, vector: str | None = None, numbers: list[str] | None = None) -> DataFrame:
     """(rid, actual, predicted): the most frequent label of the k nearest training rows, ties by label."""
     near = nearest_rows(test, train, rid, rid, numbers or [], [], [1.0] * len(numbers or []), k, vector=vector)
@@ -120,9 +182,10 @@ def utility_verdict(lift: Column) -> Column:
     return F.when(lift >= 0.02, "VERIFIED_POSITIVE").when(lift < -0.03, "DEGRADED_REJECT").otherwise("VIABLE_NEUTRAL")
 
 
-def tstr(real: DataFrame, synth: DataFrame, rid: str, label: str, vector: str | None = None, numbers: list[str] | None = None, test_size: float = 0.25, seed: int = 42, k: int = 3) -> DataFrame:
-    """One row: a k-nearest-neighbour model trained on real and one trained on synthetic rows, both tested on the same real rows."""
-    s = materialize(shuffled_split(real, rid, test_size, seed), "split")
+def tstr(real: DataFrame, synth: DataFrame, rid: str, label: str, vector: str | None = None, numbers: list[str] | None = None, test_size: float = 0.25, seed: int = 42, k: int = 3, in_order: bool = False) -> DataFrame:
+    """One row: a k-nearest-neighbour model trained on real and one trained on synthetic rows, both tested on the same real rows: a random
+    quarter, or the last by `rid` if `in_order`."""
+    s = materialize(sequential_split(real, rid, test_size) if in_order else shuffled_split(real, rid, test_size, seed), "split")
     test, train = s.where("is_test"), s.where("NOT is_test")
     base = summary_metrics(knn_predict(train, test, rid, label, k, vector, numbers))
     made = one_row(summary_metrics(knn_predict(synth, test, rid, label, k, vector, numbers)))
@@ -166,21 +229,86 @@ def fit_predict(train: DataFrame, test: DataFrame, rid: str, label: str, numbers
     return scored.select(rid, F.col("_l").alias("actual"), F.get(names, F.col("prediction").cast("int")).alias("predicted"))
 
 
-def controlled_evaluation(df: DataFrame, rid: str, label: str, numbers: list[str], strategies: dict[str, Callable[[DataFrame, int], DataFrame] | None], runs: int = 3, kind: str = "decision_tree", ratio: float = 0.25, seed: int = 42) -> DataFrame:
-    """(strategy, run, accuracy, precision, recall, f1): each strategy (None is the baseline) augments only the training rows of each run."""
-    rows = []
+def controlled_predictions(df: DataFrame, rid: str, label: str, numbers: list[str], strategies: dict[str, Callable[[DataFrame, int], DataFrame] | None], runs: int = 3, kind: str = "decision_tree", ratio: float = 0.25, seed: int = 42, labels: list[str] | None = None) -> DataFrame:
+    """(strategy, run, rid, actual, predicted) of all test rows: each strategy (None is the baseline) augments only the training rows of
+    each run, and numbers (and `labels`, if the strategies keep them) are encoded by what the rows it trains on say."""
+    parts, labels = [], labels or []
     for run in range(runs):
         own = seed + 17 * run
-        s = materialize(stratified_split(df.select(rid, label, *numbers), label, rid, ratio, own), "split")
+        s = materialize(stratified_split(df.select(rid, label, *numbers, *labels), label, rid, ratio, own), "split")
         test, train = s.where("is_test").drop("is_test"), s.where("NOT is_test").drop("is_test")
         for name, augment in strategies.items():
-            used = train if augment is None else train.select(rid, F.col(label).cast("string").alias(label), *numbers).unionByName(augment(train, own).select(F.lit(-1).cast("bigint").alias(rid), F.col("cls").alias(label), *numbers))
-            m = summary_metrics(fit_predict(used, test, rid, label, numbers, kind, own))
-            rows.append(m.select(F.lit(name).alias("strategy"), F.lit(run).alias("run"), "*"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+            used = train.select(F.col(rid).cast("bigint").alias(rid), F.col(label).cast("string").alias(label), *numbers, *labels)
+            if augment is not None:
+                # Every new row has an id of its own, below all ids there are.
+                made = running_sums(augment(train, own).withColumn("_one", F.lit(1)), [], ["key"], ["_one"])
+                low = one_row(train.agg(F.least(F.min(rid), F.lit(0)).cast("bigint").alias("m")))["m"]
+                have = [c if c in made.columns else F.lit(None).cast("string").alias(c) for c in labels]
+                used = used.unionByName(made.select((low - F.col("_one_upto")).alias(rid), F.col("cls").alias(label), *numbers, *have))
+            e = fit_encoder(used, numbers, labels)
+            found = fit_predict(encode(used, e, [rid, label]), encode(test, e, [rid, label]), rid, label, e.columns, kind, own)
+            parts.append(found.select(F.lit(name).alias("strategy"), F.lit(run).alias("run"), rid, "actual", "predicted"))
+    return materialize(reduce(DataFrame.unionByName, parts), "predictions")
+
+
+def _class_counts(pred: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, label, tp, said, own) of each label on either side, from counts of pairs: one aggregation over rows."""
+    counts = pred.groupBy(*keys, "actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    sides = F.array(F.struct(F.col("actual").alias("label"), F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0).alias("tp"), F.lit(0).cast("bigint").alias("said"), F.col("n").alias("own")),
+                    F.struct(F.col("predicted").alias("label"), F.lit(0).cast("bigint").alias("tp"), F.col("n").alias("said"), F.lit(0).cast("bigint").alias("own")))
+    return counts.select(*keys, F.explode(sides).alias("e")).select(*keys, "e.*").groupBy(*keys, "label").agg(*[F.sum(k).alias(k) for k in ("tp", "said", "own")])
+
+
+def grouped_metrics(pred: DataFrame, keys: list[str]) -> DataFrame:
+    """summary_metrics() of each group of `keys`."""
+    c = _class_counts(pred, keys)
+    safe = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
+    t = c.withColumn("p", safe(F.col("tp"), F.col("said"))).withColumn("r", safe(F.col("tp"), F.col("own")))
+    t = t.withColumn("f", F.coalesce(2 * F.col("p") * F.col("r") / F.nullif(F.col("p") + F.col("r"), F.lit(0.0)), F.lit(0.0)))
+    m = t.groupBy(*keys).agg(F.round(F.sum("tp") / F.sum("own"), 4).alias("accuracy"), *[F.round(F.avg(F.round(k, 4)), 4).alias(name) for k, name in (("p", "precision"), ("r", "recall"), ("f", "f1"))])
+    return m.select(*keys, "accuracy", "precision", "recall", "f1")
+
+
+def controlled_evaluation(df: DataFrame, rid: str, label: str, numbers: list[str], strategies: dict[str, Callable[[DataFrame, int], DataFrame] | None], runs: int = 3, kind: str = "decision_tree", ratio: float = 0.25, seed: int = 42, labels: list[str] | None = None) -> DataFrame:
+    """(strategy, run, accuracy, precision, recall, f1) of controlled_predictions()."""
+    return grouped_metrics(controlled_predictions(df, rid, label, numbers, strategies, runs, kind, ratio, seed, labels), ["strategy", "run"])
+
+
+def averaged_confusion(pred: DataFrame) -> DataFrame:
+    """(strategy, actual, predicted, n): the confusion counts of controlled_predictions() over its runs, on average, at two digits; pairs
+    that never occur are left out."""
+    runs = pred.groupBy("strategy").agg(F.count_distinct("run").alias("runs"))
+    counts = pred.groupBy("strategy", "actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(F.broadcast(runs), "strategy").select("strategy", "actual", "predicted", F.round(F.col("n") / F.col("runs"), 2).alias("n"))
+
+
+def recall_impact(pred: DataFrame, baseline: str = "baseline") -> DataFrame:
+    """(strategy, label, delta, impact): mean recall over the runs against the baseline's, in percent at one digit; improved or degraded
+    beyond 0.03."""
+    r = _class_counts(pred, ["strategy", "run"]).groupBy("strategy", "label").agg(F.sum(F.coalesce(F.col("tp") / F.nullif(F.col("own"), F.lit(0)), F.lit(0.0))).alias("r"))
+    r = r.join(F.broadcast(pred.groupBy("strategy").agg(F.count_distinct("run").alias("runs"))), "strategy").select("strategy", "label", (F.col("r") / F.col("runs")).alias("r"))
+    base = r.where(F.col("strategy") == baseline).select("label", F.col("r").alias("r0"))
+    d = F.col("r") - F.coalesce("r0", F.lit(0.0))
+    return r.where(F.col("strategy") != baseline).join(base, "label", "left").select("strategy", "label", F.round(100 * d, 1).alias("delta"), F.when(d > 0.03, "improved").when(d < -0.03, "degraded").otherwise("unchanged").alias("impact"))
+
+
+def metrics_table(runs: DataFrame, experiment: str, kind: str, ratio: float = 0.25, baseline: str = "baseline") -> DataFrame:
+    """One row a strategy with the fifteen columns of an experiment's metrics file: experiment, model, runs, split, strategy, means and
+    deviation, gain over the baseline in percent, p value, whether it is significant, verdict."""
+    own = runs.groupBy("strategy").agg(F.count(F.lit(1)).alias("runs"), *[F.round(F.avg(k), 4).alias(f"{k}_mean") for k in ("f1", "accuracy", "precision", "recall")], F.round(F.coalesce(F.stddev_samp("f1"), F.lit(0.0)), 4).alias("f1_std"))
+    t = own.join(recommendations(runs, baseline).select("strategy", "improvement_pct", "p", "significant"), "strategy", "left")
+    first = F.col("strategy") == baseline
+    verdict = F.when(first, "Baseline").when(F.col("improvement_pct") > 1, "Recommended").when(F.col("improvement_pct") < -1, "Harmful").otherwise("Marginal")
+    return t.select(
+        F.lit(experiment).alias("experiment"), F.lit(kind).alias("model"), "runs", F.lit(1 - ratio).alias("train_share"), "strategy", "f1_mean", "f1_std", "accuracy_mean", "precision_mean", "recall_mean",
+        F.coalesce("improvement_pct", F.lit(0.0)).alias("f1_gain_pct"), F.coalesce("p", F.lit(1.0)).alias("p"), F.coalesce("significant", F.lit(False)).alias("significant"), verdict.alias("verdict"), (~first).alias("augmented"))
+
+
+def compare_experiments(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(strategy, f1_a, f1_b, delta, better): two metrics_table()s side by side, by strategy; null where one lacks it."""
+    a, b = (t.select("strategy", F.col("f1_mean").alias(n)) for t, n in ((first, "f1_a"), (second, "f1_b")))
+    d = F.round(F.col("f1_b") - F.col("f1_a"), 4)
+    return a.join(b, "strategy", "full").select("strategy", "f1_a", "f1_b", d.alias("delta"), F.when(d > 0, "b").when(d < 0, "a").when(d == 0, "same").alias("better"))
 
 
 def recommendations(runs: DataFrame, baseline: str = "baseline") -> DataFrame:

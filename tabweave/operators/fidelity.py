@@ -162,5 +162,12 @@ def audit_service(real: DataFrame, synth: DataFrame, columns: list[str]) -> Data
     return t.select("ks_p_mean", "ks_passed", one_row(w)["w"].alias("wasserstein_mean"), one_row(covariance_distance(real, synth, columns))["frobenius"].alias("covariance_frobenius"))
 
 
+def audit_service_whole(real: DataFrame, synth: DataFrame, rid: str, sid: str, columns: list[str]) -> DataFrame:
+    """audit_service() with the closeness of single rows (mean distance to the closest record, share of rows that are no copy) and the
+    number of columns."""
+    p = privacy(closest_records(real, synth, rid, sid, columns, [], "service"), "service")
+    return audit_service(real, synth, columns).select("*", *[one_row(p)[k].alias(k) for k in ("dcr_score", "zero_memorization_rate")], F.lit(len(columns)).alias("columns"))
+
+
 def drift(real: DataFrame, augmented: DataFrame, columns: list[str]) -> DataFrame:
     return feature_audit(real, augmented, columns).select("column_name", "real_mean", "synth_mean", "real_std", "synth_std", "ks", "severity", "w1")

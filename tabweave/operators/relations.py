@@ -49,13 +49,17 @@ def pair_statistics(df: DataFrame, columns: list[str], diagonal: bool = False) -
 
 def scored_correlation(df: DataFrame, columns: list[str], score: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """The correlation matrix of score(rows by columns), an array function whose values lie around 0; one scan."""
-    own = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{j}") for j, c in enumerate(columns)])
     d, m = len(columns), np.eye(len(columns))
-    for a, b, _, r, _ in _from_sums(_products(own, score), list(range(d)), [0.0] * d, False):
+    for a, b, _, r, _ in _from_sums(scored_products(df, columns, score), list(range(d)), [0.0] * d, False):
         m[a, b] = m[b, a] = r
     return m
 
 
+def scored_products(df: DataFrame, columns: list[str], score: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sums of products (see _gram()) of score(rows by columns)."""
+    return _products(df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{j}") for j, c in enumerate(columns)]), score)
+
+
 def _products(rows: DataFrame, change: Callable[[np.ndarray], np.ndarray] | None) -> np.ndarray:
     d = len(rows.columns)
     s = np.zeros((4, d, d))

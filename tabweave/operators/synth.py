@@ -19,7 +19,7 @@ from tabweave.functions.rng import gaussian, normal_cdf, probit_array, uniform
 from tabweave.operators.augment import column_ranges, ranked
 from tabweave.operators.neighbours import nearest_rows
 from tabweave.operators.order import Cells, column_quantiles, melt, running_counts
-from tabweave.operators.relations import binned, mutual_information, scored_correlation, spearman
+from tabweave.operators.relations import binned, mutual_information, scored_correlation, scored_products, spearman
 from tabweave.plans.physical import materialize, one_row, running_sums, small_side
 
 
@@ -112,6 +112,35 @@ def _inverse(marks: tuple[np.ndarray, np.ndarray]):
     return inverse
 
 
+def copula_service(df: DataFrame, numbers: list[str], labels: list[str], n: int, rid: str, seed: int = 42) -> DataFrame:
+    """(row_id, numbers, labels): as copula(), but with the sums of products of the scores over n - 1, at most 0.99 in size, as
+    correlations, with values that occur (the one at place floor(u n) of its column) and with each label from a random row."""
+    if not numbers:
+        return jitter(df, numbers, n, rid, seed)
+    cells = Cells.of_columns(df, numbers, 2000, stable=True)
+    ways = [_forward(cells.steps(c, "n") if c in cells.place else (np.zeros(2), np.array([0.0, 1.0]))) for c in numbers]
+    d, m = len(numbers), np.eye(len(numbers))
+    score = lambda x: np.column_stack([probit_array(np.clip(way(x[:, j]), 1e-4, 0.9999)) for j, way in enumerate(ways)])
+    s = scored_products(df, numbers, score)
+    for i in range(d):
+        for j in range(i):
+            m[i, j] = m[j, i] = float(np.clip(s[0, i, j] / max(1.0, s[3, i, j] - 1), -0.99, 0.99))
+    lower = cholesky_psd(m)
+    base = df.sparkSession.range(n).withColumnRenamed("id", "row_id")
+    out = base.withColumns({f"_g{j}": gaussian(seed, F.col("row_id"), f"g{j}") for j in range(d)})
+    values = running_sums(melt(df, numbers, [rid]).withColumn("one", F.lit(1)), ["c"], ["x", rid], ["one"]).select("c", "x", (F.col("one_upto") - 1).alias("place"), "one_all")
+    for i, c in enumerate(numbers):
+        z = sum((F.lit(float(lower[i, j])) * F.col(f"_g{j}") for j in range(i + 1)), F.lit(0.0))
+        size = cells.total(c, "n") if c in cells.place else 0
+        own = values.where(F.col("c") == c).select("place", F.round("x", 4).alias(c))
+        out = out.withColumn("place", F.least(F.floor(normal_cdf(z) * size), F.lit(size - 1)).cast("bigint")).join(own, "place", "left").drop("place")
+    rows = ranked(df.withColumn("_all", F.lit("all")), "_all", rid).select("rank0", F.col("rid").alias(rid)).join(df.select(rid, *labels), rid)
+    total = one_row(rows.agg(F.count(F.lit(1)).alias("n")))["n"]
+    for c in labels:
+        out = out.withColumn("rank0", F.floor(uniform(seed, F.col("row_id"), f"label_{c}") * total)).join(rows.select("rank0", c), "rank0", "left").drop("rank0")
+    return out.select("row_id", *numbers, *labels)
+
+
 def bandwidths(df: DataFrame, columns: list[str], multiplier: float = 1.0) -> DataFrame:
     """(c, h): Silverman's 0.9 min(s, IQR / 1.34) n^-0.2; the deviation alone where the quartiles meet."""
     q = column_quantiles(df, columns, [0.25, 0.75])
@@ -280,10 +309,12 @@ def autoencoder(df: DataFrame, numbers: list[str], n: int, seed: int = 42, laten
 
 
 def synthesize(df: DataFrame, algorithm: str, n: int, rid: str, numbers: list[str], labels: list[str] | None = None, seed: int = 42, **params) -> DataFrame:
-    """Dispatch by name: copula, kde, bayes_network, jitter (gaussian_jitter), smote, autoencoder (vae)."""
+    """Dispatch by name: copula, copula_service, kde, bayes_network, jitter (gaussian_jitter), smote, autoencoder (vae)."""
     labels = labels or []
     if algorithm == "copula":
         return copula(df, numbers, labels, n, seed, **params) if numbers else jitter(df, numbers, n, rid, seed)
+    if algorithm == "copula_service":
+        return copula_service(df, numbers, labels, n, rid, seed, **params)
     if algorithm == "kde":
         return kde(df, numbers, labels, n, rid, seed, **params)
     if algorithm == "bayes_network":

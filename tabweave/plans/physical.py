@@ -122,6 +122,9 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], values: list[
     once, as the number of a range must not change.
     """
     part = free_name(df, "_part")
+    if not keys:
+        every = free_name(df, "_every")
+        return running_sums(df.withColumn(every, F.lit(0)), [every], order, values).drop(every)
     cut = materialize(df.repartitionByRange(*keys, *order).withColumn(part, F.spark_partition_id()), "ranges")
     every, before = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     sizes = cut.groupBy(*keys, part).agg(*[F.sum(v).alias(f"{v}_part") for v in values])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.functions.scalars import PLAIN, csv_field, sql_literal, trim
+from tabweave.plans.physical import one_row, running_sums
 
 
 def safe_filename(name: str) -> str:
@@ -19,10 +20,12 @@ def safe_table(name: str) -> str:
 
 
 def safe_columns(names: list[str]) -> list[str]:
-    out = []
+    """Lower-case names of letters, digits and underscores; one that comes out twice gets _2, _3."""
+    out: list[str] = []
     for i, n in enumerate(names, 1):
         c = re.sub(r"[^a-zA-Z0-9_]", "_", n or f"col_{i}").lower().lstrip("_")
-        out.append(f"col_{c}" if not c or c[0].isdigit() else c)
+        c = f"col_{c}" if not c or c[0].isdigit() else c
+        out.append(c if c not in out else next(f"{c}_{k}" for k in range(2, len(names) + 2) if f"{c}_{k}" not in out))
     return out
 
 
@@ -42,13 +45,30 @@ def json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("line"))
 
 
+def json_structured(df: DataFrame, key: str, filename: str, exported_at: str) -> DataFrame:
+    """(place, line): one JSON document {metadata, records} as lines in the order of `place`: metadata (filename, exportedAt, rowCount,
+    columnCount, headers), then one record a line in the order of `key`, which must tell rows apart."""
+    import json
+
+    kinds = dict(df.dtypes)
+    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    rows = running_sums(df.select(record.alias("r"), F.col(f"`{key}`").alias("k")).withColumn("one", F.lit(1)), [], ["k"], ["one"])
+    n = one_row(df.agg(F.count(F.lit(1)).alias("n")))["n"]
+    facts = json.dumps({"filename": filename, "exportedAt": exported_at}, ensure_ascii=False)[:-1]
+    head = F.concat(F.lit('{"metadata":' + facts.replace(": ", ":").replace(", ", ",") + ',"rowCount":'), n.cast("string"), F.lit(f',"columnCount":{len(kinds)},"headers":{json.dumps(df.columns, ensure_ascii=False, separators=(",", ":"))}}},"records":['))
+    first = df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("place"), head.alias("line"))
+    last = df.sparkSession.range(1).select((n + 1).alias("place"), F.lit("]}").alias("line"))
+    body = rows.select(F.col("one_upto").alias("place"), F.concat("r", F.when(F.col("one_upto") < F.col("one_all"), ",").otherwise("")).alias("line"))
+    return first.unionByName(body).unionByName(last)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
-def sql_types(df: DataFrame, columns: list[str] | None = None, sample: int | None = 500, order: str | None = None) -> DataFrame:
-    """(column_name, sql_type): BOOLEAN, BIGINT, NUMERIC(14, 4), TIMESTAMP, TEXT or VARCHAR(255), the first that all values are. The first
-    `sample` rows by `order` decide, as an export's header is made; None reads all."""
+def sql_types(df: DataFrame, columns: list[str] | None = None, sample: int | None = None, order: str | None = None) -> DataFrame:
+    """(column_name, sql_type): BOOLEAN, BIGINT, NUMERIC(14, 4), TIMESTAMP, TEXT or VARCHAR(255), the first that all values are. All rows decide, or the
+    first `sample` ones by `order`."""
     columns = columns or df.columns
     part = df.select(*columns, *([order] if order and order not in columns else []))
     if sample:
@@ -87,9 +107,10 @@ def sql_inserts(df: DataFrame, table: str, key: str, batch: int = 100, columns:
     return grouped.select(F.concat_ws(".", "block", "part").alias("batch"), text.alias("statement"))
 
 
-def sql_schema(df: DataFrame, table: str, drop: bool = True, sample: int | None = 500) -> str:
-    """DROP and CREATE TABLE text with a serial key."""
+def sql_schema(df: DataFrame, table: str, drop: bool = True, sample: int | None = None, key: str = "row_key") -> str:
+    """DROP and CREATE TABLE text with a serial key, named `key` (or key_2 if a column has that name)."""
     kinds = {r.column_name: r.sql_type for r in sql_types(df, df.columns, sample).collect()}
     name = safe_table(table)
-    body = ",\n".join(['  "df_row_id" SERIAL PRIMARY KEY', *[f'  "{s}" {kinds[c]}' for c, s in zip(df.columns, safe_columns(df.columns))]])
+    first, *others = safe_columns([key, *df.columns])
+    body = ",\n".join([f'  "{first}" SERIAL PRIMARY KEY', *[f'  "{s}" {kinds[c]}' for c, s in zip(df.columns, others)]])
     return (f'DROP TABLE IF EXISTS "{name}";\n' if drop else "") + f'CREATE TABLE "{name}" (\n{body}\n);\n'
