@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.functions.missing import bare, number_missing, text_missing
+from tabweave.functions.missing import ALL_TOKENS, bare, number_missing, text_missing
 from tabweave.operators.impute import filled_cells, impute
 from tabweave.operators.quality import Layout, column_defects, column_profile
 from tabweave.operators.records import SEPARATORS, parse_records
@@ -125,7 +125,7 @@ def p1_moments(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p1_moments": p1_moments, "p2_found": p2_found, "p2_parsed": p2_parsed, "p3_found": p3_found, "p3_filled": p3_filled, "p3_kept": p3_kept, "p5_found": p5_found, "p5_normalized": p5_normalized, "p5_increments": p5_increments}
 
 # The tokens and the reading of missing values are those of tabweave.functions.missing.
-_TOKENS = "('','na','n/a','nan','null','none','nil','undefined','?','#n/a','missing','-')"
+_TOKENS = "(" + ",".join(f"'{t}'" for t in ALL_TOKENS) + ")"
 _NUM = "account_age_months monthly_charges usage_hours support_tickets".split()
 _TXT = "account_id plan_code contract_type churn_risk".split()
 _CELLS = " UNION ALL ".join(

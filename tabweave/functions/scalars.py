@@ -77,6 +77,11 @@ def signed_delta(x: Column, digits: int = 2) -> Column:
     return F.concat(F.when(x >= 0, F.lit("+")).otherwise(F.lit("")), F.format_string(f"%.{digits}f", F.round(x, digits)))
 
 
+def sha256(c: Column) -> Column:
+    """The SHA-256 of a text, in hexadecimal."""
+    return F.sha2(c, 256)
+
+
 def iso_date(t: Column) -> Column:
     """A moment as 2024-01-31T10:20:30.123Z."""
     return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

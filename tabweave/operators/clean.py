@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.missing import CLIENT_TOKENS, text_missing
 from tabweave.operators.order import column_quantiles
-from tabweave.plans.physical import one_row
+from tabweave.plans.physical import one_row, running_sums
 
 
 def blank_to_null(df: DataFrame, columns: list[str], tokens: tuple[str, ...] = CLIENT_TOKENS) -> DataFrame:
@@ -34,6 +34,17 @@ def clean(df: DataFrame, numbers: list[str], labels: list[str], target: str | No
     return kept.withColumns(out)
 
 
+def exclude(df: DataFrame, other: DataFrame, key: str, other_key: str | None = None) -> DataFrame:
+    """Rows whose `key` does not occur in `other`; a null key never occurs."""
+    return df.join(other.select(F.col(other_key or key).alias(key)), key, "left_anti")
+
+
+def sort_rows(df: DataFrame, by: list, unique: str) -> DataFrame:
+    """Every row with its place (from 1) in the order of `by` (columns or sort expressions), ties by `unique`: ranges of the whole order,
+    not one task."""
+    return running_sums(df.withColumn("_one", F.lit(1)), [], [*by, unique], ["_one"]).withColumnRenamed("_one_upto", "place").drop("_one", "_one_all")
+
+
 def clean_log(df: DataFrame, numbers: list[str], labels: list[str], target: str | None = None, tokens: tuple[str, ...] = CLIENT_TOKENS) -> DataFrame:
     """(column_name, action, n): what clean() does: fill_median, fill_mode, drop_target, zero_variance."""
     bare = blank_to_null(df, [*numbers, *labels, *([target] if target else [])], tokens)

@@ -147,6 +147,11 @@ def knn_classify(train: DataFrame, test: DataFrame, rid: str, label: str, number
     return found.select(F.col("rid").alias(rid), "actual", "predicted")
 
 
+def label_union(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(k): the labels that occur in either one-column table, each once."""
+    return first.toDF("k").union(second.toDF("k")).distinct()
+
+
 def confusion(pred: DataFrame) -> DataFrame:
     """(actual, predicted, n, share): all pairs of labels that occur on either side, share of the actual label at four digits."""
     seen = pred.select(F.explode(F.array("actual", "predicted")).alias("k")).distinct()
@@ -178,6 +183,7 @@ def summary_metrics(pred: DataFrame) -> DataFrame:
     return m.select(F.round(a, 4).alias("accuracy"), F.round("p", 4).alias("precision"), F.round("r", 4).alias("recall"), F.round("f", 4).alias("f1"))
 
 
+# The lifts of F1 at which a synthetic table is called useful or harmful, and those names.
 def utility_verdict(lift: Column) -> Column:
     return F.when(lift >= 0.02, "VERIFIED_POSITIVE").when(lift < -0.03, "DEGRADED_REJECT").otherwise("VIABLE_NEUTRAL")
 

@@ -67,6 +67,7 @@ def ks(first: DataFrame, second: DataFrame, columns: list[str], ties: str = "ref
     return cells.spark.createDataFrame([(c, *size[c], d) for c, d in best.items()], "c string, n1 bigint, n2 bigint, d double")
 
 
+# The distances from which a column's drift is called severe or moderate.
 def severity(d: Column) -> Column:
     return F.when(d >= 0.35, "severe").when(d >= 0.18, "moderate").otherwise("safe")
 
@@ -162,6 +163,12 @@ def audit_service(real: DataFrame, synth: DataFrame, columns: list[str]) -> Data
     return t.select("ks_p_mean", "ks_passed", one_row(w)["w"].alias("wasserstein_mean"), one_row(covariance_distance(real, synth, columns))["frobenius"].alias("covariance_frobenius"))
 
 
+def top_drift(real: DataFrame, synth: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the column with the largest KS statistic (at four digits), and that."""
+    k = ks(real, synth, columns).withColumn("k", F.round("d", 4))
+    return k.agg(F.max_by("c", "k").alias("feature"), F.max("k").alias("ks"))
+
+
 def audit_service_whole(real: DataFrame, synth: DataFrame, rid: str, sid: str, columns: list[str]) -> DataFrame:
     """audit_service() with the closeness of single rows (mean distance to the closest record, share of rows that are no copy) and the
     number of columns."""

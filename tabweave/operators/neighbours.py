@@ -11,7 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERIES_PER_BLOCK = 4096
@@ -25,13 +25,18 @@ def _numbers(batch: pa.RecordBatch, first: int, n: int) -> np.ndarray:
     return np.column_stack([np.asarray(batch.column(first + i).to_numpy(zero_copy_only=False), np.float64) for i in range(n)])
 
 
-def _texts(batch: pa.RecordBatch, first: int, n: int) -> np.ndarray:
-    cols = [np.array(batch.column(first + i).to_pylist(), dtype=object) for i in range(n)]
-    return np.column_stack(cols) if cols else np.zeros((batch.num_rows, 0), object)
+#: Stands for a missing label among the 64-bit hashes of labels.
+NO_LABEL = np.iinfo(np.int64).min
+
+
+def _labels(batch: pa.RecordBatch, first: int, n: int) -> np.ndarray:
+    cols = [batch.column(first + i).fill_null(NO_LABEL).to_numpy(zero_copy_only=False) for i in range(n)]
+    return np.column_stack(cols) if cols else np.zeros((batch.num_rows, 0), np.int64)
 
 
 def distances(qx: np.ndarray, qt: np.ndarray, x: np.ndarray, t: np.ndarray, by_dims: bool) -> np.ndarray:
-    """Queries by rows: root of the sum of squared differences, an unequal label counting 1; dimensions missing on a side are left out."""
+    """Queries by rows: root of the sum of squared differences, an unequal label counting 1; dimensions missing on a side are left out. Labels are
+    64-bit hashes."""
     total, dims = np.zeros((len(qx), len(x))), np.zeros((len(qx), len(x)))
     for j in range(qx.shape[1]):
         d = qx[:, j, None] - x[None, :, j]
@@ -40,7 +45,7 @@ def distances(qx: np.ndarray, qt: np.ndarray, x: np.ndarray, t: np.ndarray, by_d
         dims += there
     for j in range(qt.shape[1]):
         a, b = qt[:, j], t[:, j]
-        there = np.array([v is not None for v in a])[:, None] & np.array([v is not None for v in b])[None, :]
+        there = (a != NO_LABEL)[:, None] & (b != NO_LABEL)[None, :]
         total += there & (a[:, None] != b[None, :])
         dims += there
     return np.where(dims > 0, np.sqrt(total / np.maximum(dims, 1) if by_dims else total), np.inf)
@@ -50,16 +55,20 @@ def nearest_rows(queries: DataFrame, rows: DataFrame, qid: str, rid: str, number
     """(qid, rid, dist, rank): the k nearest rows of each query, ties by rid. numbers are divided by `scale`; `vector` names an array
     column used instead. With `group` only rows of the query's group count; rows of the query's own id are left out on request.
     Rows with no dimension in common are infinitely far and left out."""
+    def mark(c: str) -> Column:
+        v = F.col(f"`{c}`").cast("string")
+        return F.when(v.isNotNull(), F.xxhash64(v))
+
     def shape(d: DataFrame, i: str) -> DataFrame:
         nums = [F.col(f"`{vector}`").cast("array<double>").alias("v")] if vector else [(F.col(f"`{c}`").cast("double") / F.lit(s)).alias(f"x{j}") for j, (c, s) in enumerate(zip(numbers, scale))]
-        return d.select(F.col(f"`{i}`").cast("bigint").alias("id"), (F.col(f"`{group}`").cast("string") if group else F.lit("")).alias("g"), *nums, *[F.col(f"`{c}`").cast("string").alias(f"t{j}") for j, c in enumerate(labels)]).where(F.col("id").isNotNull())
+        return d.select(F.col(f"`{i}`").cast("bigint").alias("id"), (mark(group) if group else F.lit(0).cast("bigint")).alias("g"), *nums, *[mark(c).alias(f"t{j}") for j, c in enumerate(labels)]).where(F.col("id").isNotNull())
 
     def arrays(b: pa.RecordBatch) -> tuple:
-        ids, g = np.asarray(b.column(0).to_numpy(zero_copy_only=False), np.int64), np.array(b.column(1).to_pylist(), dtype=object)
+        ids, g = np.asarray(b.column(0).to_numpy(zero_copy_only=False), np.int64), b.column(1).fill_null(NO_LABEL).to_numpy(zero_copy_only=False)
         if vector:
             x = np.array([v if v is not None else np.nan for v in b.column(2).to_pylist()], np.float64).reshape(b.num_rows, -1)
-            return ids, g, x, _texts(b, 3, len(labels))
-        return ids, g, _numbers(b, 2, len(numbers)), _texts(b, 2 + len(numbers), len(labels))
+            return ids, g, x, _labels(b, 3, len(labels))
+        return ids, g, _numbers(b, 2, len(numbers)), _labels(b, 2 + len(numbers), len(labels))
 
     asked, all_rows = shape(queries, qid), shape(rows, rid)
     blocks = max(1, -(-asked.count() // per_block))

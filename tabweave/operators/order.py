@@ -98,8 +98,11 @@ class Cells:
             head = wide.agg(*[F.percentile_approx(f"x{j}", shares, 4 * cells).alias(f"s{j}") for j in range(len(columns))]).first() if columns else []
         else:
             sketch = wide.agg(*[F.kll_sketch_agg_double(f"x{j}", F.lit(min(65_535, 4 * cells))).alias(f"s{j}") for j in range(len(columns))], *[F.count(f"x{j}").alias(f"n{j}") for j in range(len(columns))])
-            at = F.array(*[F.lit(s) for s in shares])
-            head = sketch.select(*[F.when(F.col(f"n{j}") > 0, F.kll_sketch_get_quantile_double(f"s{j}", at)).alias(f"s{j}") for j in range(len(columns))]).first() if columns else []
+            # One row a column, so that the shares are written into the plan once.
+            each = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"s{j}").alias("s"), F.col(f"n{j}").alias("n")) for j in range(len(columns))])).alias("e")
+            marks = F.kll_sketch_get_quantile_double("e.s", F.array(*[F.lit(s) for s in shares]))
+            head = {r.j: r.q for r in sketch.select(each).where("e.n > 0").select("e.j", marks.alias("q")).collect()} if columns else {}
+            head = [head.get(j) for j in range(len(columns))]
         have = [j for j in range(len(columns)) if head[j]]
         keys = ["n"] if side is None else ["a", "b"]
         made = cls(wide.select(*[f"x{j}" for j in have], *(["w"] if side is not None else [])) if have else None, [columns[j] for j in have], [np.unique(np.asarray(head[j], np.float64)) for j in have], keys, _of_wide(len(keys)))

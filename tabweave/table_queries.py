@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.functions import rng, scalars
-from tabweave.functions.missing import bare, number_missing, text_missing
+from tabweave.functions.missing import CLIENT_TOKENS, bare, number_missing, text_missing
 from tabweave.operators import augment, clean, describe, evaluate, fidelity, neighbours, relations, synth
-from tabweave.operators.order import melt, quantiles
-from tabweave.plans.physical import materialize, shared_dir
+from tabweave.operators.order import melt
+from tabweave.plans.physical import materialize, one_row, shared_dir
 from tabweave.sources import export
 from tabweave.streaming import windowed_moments
 
@@ -105,7 +105,7 @@ def imbalance(t):
     return describe.imbalance(t("documents").select("lang"), "lang")
 
 
-_MISS = "('','nan','null','na','n/a','none','missing','?','-')"
+_MISS = "(" + ",".join(f"'{t}'" for t in CLIENT_TOKENS) + ")"
 
 
 def _missing_sql(table: str, columns: list[str]) -> str:
@@ -186,7 +186,11 @@ def infer_types(t):
     return describe.infer_types(t("orders").select(*[F.col(c).cast("string").alias(c) for c in _TYPES]), _TYPES, "service")
 
 
-@query()
+_CLIENT = f"""v AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, trim({e}, ' \t\r\n') AS v FROM churn_rows WHERE {c} IS NOT NULL AND lower(trim({e}, ' \t')) NOT IN {_MISS}" for c, e in (("account_id", "account_id"), ("site_code", "site_code"), ("contract_type", "contract_type"), ("monthly_charges", "'$' || monthly_charges")))}),
+k AS (SELECT c, count(*) AS n, count(DISTINCT lower(v)) AS d, count(*) FILTER (regexp_full_match(v, '[$]-?[0-9.]+(e[+-]?[0-9]+)?')) AS numbers FROM v GROUP BY c)"""
+
+
+@query(f"WITH {_CLIENT} SELECT c AS column_name, CASE WHEN numbers / n > 0.8 THEN 'numeric' WHEN d / n < 0.5 OR d <= 30 THEN 'categorical' ELSE 'text' END AS data_type FROM k")
 def infer_types_client(t):
     return describe.infer_types(t("churn_rows").select("account_id", "site_code", "contract_type", F.concat(F.lit("$"), F.col("monthly_charges").cast("string")).alias("monthly_charges")), ["account_id", "site_code", "contract_type", "monthly_charges"], "client")
 
@@ -306,8 +310,7 @@ def feature_drift(t):
 
 @query(f"WITH {_KS} SELECT max_by(c, round(d, 4)) AS feature, max(round(d, 4)) AS ks FROM ks")
 def top_drift(t):
-    k = fidelity.ks(*_halves(t), L4).withColumn("k", F.round("d", 4))
-    return k.agg(F.max_by("c", "k").alias("feature"), F.max("k").alias("ks"))
+    return fidelity.top_drift(*_halves(t), L4)
 
 
 @query(f"WITH {_KS}, a AS (SELECT (SELECT avg(greatest(0.0, 1 - round(d, 4))) FROM ks) AS n, (SELECT avg(x) FROM (SELECT round(1 - sum(abs(p - q)) / 2, 4) AS x FROM ({_TVD}) GROUP BY c)) AS k, {_CF} AS r) SELECT CAST(floor((0.4 * n + 0.3 * k + 0.3 * r) * 100 + 0.5) AS INT) AS overall_score, round(n, 4) AS numeric_fidelity, round(k, 4) AS categorical_fidelity, r AS correlation_fidelity FROM a")
@@ -438,7 +441,7 @@ def vector_math(t):
 
 @query("SELECT n_nationkey, sha256(n_name) AS sha FROM nation")
 def hash_text(t):
-    return t("nation").select("n_nationkey", F.sha2("n_name", 256).alias("sha"))
+    return t("nation").select("n_nationkey", scalars.sha256(F.col("n_name")).alias("sha"))
 
 
 @query(f"SELECT o_orderkey, round({_u(42, 'o_orderkey', '0')}, 12) AS u, round({_g(42, 'o_orderkey', 'x')}, 8) AS g FROM orders")
@@ -494,7 +497,11 @@ def kde_bandwidth(t):
     return synth.bandwidths(t("lineitem"), L4).select(F.col("c").alias("column_name"), F.round("h", 6).alias("h"))
 
 
-@query()
+@query(f"""WITH r AS (SELECT c_acctbal, row_number() OVER (ORDER BY c_custkey) - 1 AS k, count(*) OVER () AS n FROM customer),
+h AS (SELECT 0.9 * CASE WHEN quantile_cont(c_acctbal, 0.75) > quantile_cont(c_acctbal, 0.25) THEN least(stddev_samp(c_acctbal), (quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25)) / 1.34) ELSE stddev_samp(c_acctbal) END * pow(count(*), -0.2) AS h FROM customer),
+s AS (SELECT v, coalesce(lag(p) OVER (ORDER BY v), -1) AS low, p FROM (SELECT c_mktsegment AS v, sum(count(*)) OVER (ORDER BY c_mktsegment) / sum(count(*)) OVER () AS p FROM customer GROUP BY 1)),
+i AS (SELECT unnest(range(1000)) AS row_id), u AS (SELECT row_id, {_u(42, 'row_id', 'row_c_acctbal')} AS a, {_u(42, 'row_id', 'c0')} AS b, {_g(42, 'row_id', 'h_c_acctbal')} AS g FROM i)
+SELECT row_id, round(c_acctbal + g * h, 4) AS c_acctbal, s.v AS c_mktsegment FROM u JOIN r ON r.k = floor(a * n), h, s WHERE b > s.low AND b <= s.p""")
 def kde_sample(t):
     return synth.kde(t("customer"), ["c_acctbal"], ["c_mktsegment"], 1000, "c_custkey")
 
@@ -514,7 +521,10 @@ def bayes_sample(t):
     return synth.bayes_network(t("lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], ["l_returnflag", "l_linestatus"], 2000)
 
 
-@query()
+@query(f"""WITH w AS (SELECT max(s_acctbal) - min(s_acctbal) AS a, max(s_nationkey) - min(s_nationkey) AS b FROM supplier), r AS (SELECT s_suppkey, s_acctbal, s_nationkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS k, count(*) OVER () AS n FROM supplier),
+i AS (SELECT unnest(range(500)) AS row_id), d AS (SELECT row_id, r.s_suppkey AS s, r.s_acctbal AS x, r.s_nationkey AS y, floor({_u(42, 'row_id', '1')} * 5) + 1 AS rank, {_u(42, 'row_id', '2')} AS al FROM i JOIN r ON r.k = floor({_u(42, 'row_id', '0')} * n)),
+nb AS (SELECT p.s_suppkey AS s, q.s_acctbal AS x2, q.s_nationkey AS y2, row_number() OVER (PARTITION BY p.s_suppkey ORDER BY sqrt((p.s_acctbal / w.a - q.s_acctbal / w.a) ** 2 + (p.s_nationkey / w.b - q.s_nationkey / w.b) ** 2), q.s_suppkey) AS rank FROM r p, r q, w WHERE p.s_suppkey <> q.s_suppkey)
+SELECT row_id, round(x + al * (x2 - x), 4) AS s_acctbal, round(y + al * (y2 - y), 4) AS s_nationkey FROM d JOIN nb ON nb.s = d.s AND nb.rank = d.rank""")
 def interpolated_sample(t):
     return synth.interpolate(t("supplier"), ["s_acctbal", "s_nationkey"], 500, "s_suppkey")
 
@@ -590,9 +600,9 @@ def paired_t_test(t):
 
 
 def _experiment(t) -> DataFrame:
-    d = t("embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(j)).cast("double").alias(f"e{j}") for j in range(4)])
-    cols = [f"e{j}" for j in range(4)]
-    return evaluate.controlled_evaluation(d, "vec_id", "label", cols, {"baseline": None, "oversampling": lambda x, s: augment.oversample(x, "label", "vec_id", cols, seed=s)}, runs=2)
+    """On all churn rows with a risk and their numbers: three runs of the baseline and of two amounts of oversampling."""
+    more = lambda ratio: lambda x, s: augment.oversample(x, "churn_risk", "row_id", CHURN, ratio, seed=s)
+    return evaluate.controlled_evaluation(_labelled(t), "row_id", "churn_risk", CHURN, {"baseline": None, "oversampling": more(1.0), "oversampling_half": more(0.5)})
 
 
 @query()
@@ -605,6 +615,73 @@ def experiment_verdict(t):
     return evaluate.recommendations(_experiment(t))
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) > floor(count(*) OVER () * 0.75) AS is_test FROM orders")
+def sequential_split(t):
+    return evaluate.sequential_split(t("orders").select("o_orderkey"), "o_orderkey")
+
+
+@query(f"""WITH s AS (SELECT quantile_cont(b, 0.5) AS q, avg(b) AS m, stddev_samp(b) AS d FROM (SELECT CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END AS b FROM customer)), k AS (SELECT c_mktsegment AS v, row_number() OVER (ORDER BY c_mktsegment) - 1 AS i FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_custkey % 3 <> 0)),
+o AS (SELECT c_mktsegment AS v FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT c_custkey, round((coalesce(CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END, q) - m) / d, 8) AS e0, {', '.join(f"CASE WHEN (SELECT v FROM k WHERE i = {i}) = CASE WHEN c_custkey % 3 = 0 THEN (SELECT v FROM o) ELSE c_mktsegment END THEN 1.0 ELSE 0.0 END AS e{i + 1}" for i in range(5))} FROM customer, s""")
+def encoded_features(t):
+    d = t("customer").select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("bal"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("seg"))
+    e = evaluate.fit_encoder(d, ["bal"], ["seg"])
+    return evaluate.encode(d, e, ["c_custkey"]).withColumn("e0", F.round("e0", 8))
+
+
+_RUNS = "p AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'baseline' ELSE 'other' END AS strategy, o_orderkey % 3 AS run, o_orderpriority AS actual, CASE WHEN o_custkey % 3 = 0 OR (o_orderkey % 2 = 1 AND o_custkey % 3 = 1) THEN o_orderpriority WHEN o_custkey % 3 = 1 THEN '1-URGENT' ELSE '5-LOW' END AS predicted FROM orders)"
+
+
+def _experiment_predictions(t) -> DataFrame:
+    k, m = F.col("o_orderkey"), F.col("o_custkey") % 3
+    right = (m == 0) | ((k % 2 == 1) & (m == 1))
+    return t("orders").select(F.when(k % 2 == 0, "baseline").otherwise("other").alias("strategy"), (k % 3).alias("run"), F.col("o_orderpriority").alias("actual"), F.when(right, F.col("o_orderpriority")).when(m == 1, "1-URGENT").otherwise("5-LOW").alias("predicted"))
+
+
+@query(f"WITH {_RUNS} SELECT strategy, actual, predicted, round(count(*) / 3.0, 2) AS n FROM p GROUP BY ALL")
+def averaged_confusion(t):
+    return evaluate.averaged_confusion(_experiment_predictions(t))
+
+
+_RECALL = "r AS (SELECT strategy, run, actual AS label, avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END) AS r FROM p GROUP BY ALL), g AS (SELECT strategy, label, sum(r) / 3 AS r FROM r GROUP BY ALL)"
+
+
+@query(f"WITH {_RUNS}, {_RECALL}, d AS (SELECT g.strategy, g.label, g.r - b.r AS d FROM g JOIN g b ON b.label = g.label AND b.strategy = 'baseline' WHERE g.strategy <> 'baseline') SELECT strategy, label, round(100 * d, 1) AS delta, CASE WHEN d > 0.03 THEN 'improved' WHEN d < -0.03 THEN 'degraded' ELSE 'unchanged' END AS impact FROM d")
+def recall_impact(t):
+    return evaluate.recall_impact(_experiment_predictions(t))
+
+
+_GROUPED = """k AS (SELECT DISTINCT strategy, run, unnest([actual, predicted]) AS label FROM p), q AS (SELECT k.strategy, k.run, label, count(*) FILTER (actual = label AND predicted = label) AS tp, count(*) FILTER (predicted = label) AS said, count(*) FILTER (actual = label) AS own FROM k JOIN p ON p.strategy = k.strategy AND p.run = k.run GROUP BY ALL),
+m AS (SELECT *, coalesce(tp / nullif(said, 0), 0) AS pr, coalesce(tp / nullif(own, 0), 0) AS rc FROM q), e AS (SELECT strategy, run, round(sum(tp) / sum(own), 4) AS accuracy, round(avg(round(pr, 4)), 4) AS precision, round(avg(round(rc, 4)), 4) AS recall, round(avg(round(coalesce(2 * pr * rc / nullif(pr + rc, 0), 0), 4)), 4) AS f1 FROM m GROUP BY ALL)"""
+
+
+@query(f"WITH {_RUNS}, {_GROUPED} SELECT * FROM e")
+def grouped_metrics(t):
+    return evaluate.grouped_metrics(_experiment_predictions(t), ["strategy", "run"])
+
+
+@query(f"WITH {_RUNS}, {_GROUPED} SELECT strategy, count(*) AS runs, round(avg(f1), 4) AS f1_mean, round(stddev_samp(f1), 4) AS f1_std, round(avg(accuracy), 4) AS accuracy_mean, round(avg(precision), 4) AS precision_mean, round(avg(recall), 4) AS recall_mean FROM e GROUP BY strategy")
+def experiment_metrics(t):
+    runs = evaluate.grouped_metrics(_experiment_predictions(t), ["strategy", "run"])
+    return evaluate.metrics_table(runs, "orders", "rule").select("strategy", "runs", "f1_mean", "f1_std", "accuracy_mean", "precision_mean", "recall_mean")
+
+
+_ORD = ["o_orderkey", "o_totalprice", "o_orderstatus", "o_orderdate"]
+
+
+@query("""SELECT 'o_orderkey' AS column_name, 'numeric' AS data_type, count(*) - count(o_orderkey) AS null_count, count(DISTINCT o_orderkey) AS unique_count, CAST(min(o_orderkey) AS DOUBLE) AS min, CAST(max(o_orderkey) AS DOUBLE) AS max, round(avg(o_orderkey), 6) AS mean, round(stddev_samp(o_orderkey), 6) AS std FROM orders
+UNION ALL SELECT 'o_totalprice', 'numeric', count(*) - count(o_totalprice), count(DISTINCT o_totalprice), min(o_totalprice), max(o_totalprice), round(avg(o_totalprice), 6), round(stddev_samp(o_totalprice), 6) FROM orders
+UNION ALL SELECT 'o_orderstatus', 'categorical', count(*) - count(o_orderstatus), count(DISTINCT o_orderstatus), NULL, NULL, NULL, NULL FROM orders
+UNION ALL SELECT 'o_orderdate', 'datetime', count(*) - count(o_orderdate), count(DISTINCT o_orderdate), epoch_ms(min(o_orderdate)), epoch_ms(max(o_orderdate)), NULL, NULL FROM orders""")
+def table_profile(t):
+    return describe.dataset_profile(t("orders").select(*_ORD))[0].select("column_name", "data_type", "null_count", "unique_count", "min", "max", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query("SELECT count(*) AS rows, 4 AS columns, 2 AS numeric_columns, 1 AS categorical_columns, 1 AS datetime_columns, count(*) * 4 AS cells, 0 AS missing, 0.0 AS missing_pct FROM orders")
+def table_summary(t):
+    return describe.dataset_profile(t("orders").select(*_ORD))[1]
+
+
 @query("SELECT CASE WHEN count(DISTINCT o_totalprice) > 10 THEN 'regression' ELSE 'classification' END AS task FROM orders")
 def task_type(t):
     return evaluate.task_type(t("orders"), "o_totalprice")
@@ -647,15 +724,16 @@ KNN_FIT_ROWS = 5_000
 def _labelled(t) -> DataFrame:
     """(row_id, churn_risk, numbers) of all churn rows with a risk: labels trimmed and in lower case, missing numbers null."""
     d = t("churn_rows").where(~text_missing(F.col("churn_risk")))
-    return d.select("row_id", bare(F.col("churn_risk")).alias("churn_risk"), *[F.when(~number_missing(F.col(c)), F.col(c)).alias(c) for c in CHURN])
+    return d.select("row_id", bare(F.col("churn_risk")).alias("churn_risk"), *[F.when(~number_missing(F.col(c)), F.col(c)).alias(c) for c in CHURN], F.when(~text_missing(F.col("contract_type")), bare(F.col("contract_type"))).alias("contract_type"))
 
 
 def _predicted(t, kind: str) -> DataFrame:
-    """(row_id, actual, predicted) of all test rows, a quarter of each class; missing numbers are the medians of the training rows."""
+    """(row_id, actual, predicted) of all test rows, a quarter of each class; the numbers and the contract are encoded by what the
+    training rows say."""
     s = materialize(evaluate.stratified_split(_labelled(t), "churn_risk", "row_id"), "split")
-    middle = {r.c: r.q0 for r in quantiles(melt(s.where("NOT is_test"), CHURN), [0.5]).collect()}
-    train, test = (s.where(w).na.fill(middle) if middle else s.where(w) for w in ("NOT is_test", "is_test"))
-    return materialize(evaluate.fit_predict(train, test, "row_id", "churn_risk", CHURN, kind, fit_rows=KNN_FIT_ROWS), "predicted")
+    e = evaluate.fit_encoder(s.where("NOT is_test"), CHURN, ["contract_type"])
+    train, test = (evaluate.encode(s.where(w), e, ["row_id", "churn_risk"]) for w in ("NOT is_test", "is_test"))
+    return materialize(evaluate.fit_predict(train, test, "row_id", "churn_risk", e.columns, kind, fit_rows=KNN_FIT_ROWS), "predicted")
 
 
 def _model(t, kind: str) -> DataFrame:
@@ -713,25 +791,32 @@ def sql_inserts(t):
 
 @query("SELECT DISTINCT n_name AS k FROM nation UNION SELECT r_name FROM region")
 def union_distinct(t):
-    return t("nation").select(F.col("n_name").alias("k")).union(t("region").select("r_name")).distinct()
+    return evaluate.label_union(t("nation").select("n_name"), t("region").select("r_name"))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def exclude_rows(t):
-    return t("customer").join(t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    return clean.exclude(t("customer"), t("orders"), "c_custkey", "o_custkey").select("c_custkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def exclude_orders(t):
+    return clean.exclude(t("orders"), t("lineitem").where("l_returnflag = 'R'"), "o_orderkey", "l_orderkey").select("o_orderkey")
 
 
 @query("SELECT dataset_id, load_no, dataset_name, created_by FROM datasets WHERE contains(lower(dataset_name), 'panel') ORDER BY created_at DESC, dataset_id, load_no LIMIT 20 OFFSET 20")
 def catalog_page(t):
-    from tabweave.sources.catalog import page
+    from tabweave.sources.catalog import page, search
 
-    d = t("datasets").where(F.lower("dataset_name").contains("panel"))
+    d = search(t("datasets"), "panel", "dataset_name")
     return page(d, [F.desc("created_at"), "dataset_id", "load_no"], 20, 20).select("dataset_id", "load_no", "dataset_name", "created_by")
 
 
 @query("SELECT count(*) AS datasets, sum(row_count) AS rows, max(size_bytes) AS largest FROM datasets")
 def catalog_rollup(t):
-    return t("datasets").agg(F.count(F.lit(1)).alias("datasets"), F.sum("row_count").alias("rows"), F.max("size_bytes").alias("largest"))
+    from tabweave.sources.catalog import rollup
+
+    return rollup(t("datasets"), "row_count", "size_bytes")
 
 
 @query("SELECT s_suppkey, s_name, row_number() OVER (ORDER BY b DESC NULLS LAST, s_suppkey) AS place FROM (SELECT *, CASE WHEN s_acctbal < 0 THEN NULL ELSE s_acctbal END AS b FROM supplier) ORDER BY place LIMIT 10")
@@ -742,6 +827,42 @@ def sorted_table(t):
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("b"), "s_suppkey")).cast("bigint")).select("s_suppkey", "s_name", "place")
 
 
+@query("SELECT s_suppkey, s_name, row_number() OVER (ORDER BY b DESC NULLS LAST, s_suppkey) AS place FROM (SELECT *, CASE WHEN s_acctbal < 0 THEN NULL ELSE s_acctbal END AS b FROM supplier)")
+def sorted_rows(t):
+    d = t("supplier").withColumn("b", F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal")))
+    return clean.sort_rows(d, [F.desc_nulls_last("b")], "s_suppkey").select("s_suppkey", "s_name", "place")
+
+
+@query("SELECT (SELECT count(*) FROM customer) AS rows, TRUE AS bounded, TRUE AS named")
+def sql_insert_rows(t):
+    """Rows in the statements of sql_inserts, whether none has more than 100, and whether all name the same columns."""
+    s = export.sql_inserts(t("customer"), "customer", "c_custkey")
+    n = F.size(F.split("statement", r"\n  \("))  - 1
+    return s.agg(F.sum(n).alias("rows"), (F.max(n) <= 100).alias("bounded"), (F.count_distinct(F.substring_index("statement", " VALUES", 1)) == 1).alias("named"))
+
+
+@query("""SELECT 0 AS place, '{"metadata":{"filename":"nation.json","exportedAt":"2024-01-01T00:00:00.000Z","rowCount":' || count(*) || ',"columnCount":2,"headers":["n_nationkey","n_name"]},"records":[' AS line FROM nation
+UNION ALL SELECT row_number() OVER (ORDER BY n_nationkey), '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' || CASE WHEN row_number() OVER (ORDER BY n_nationkey DESC) = 1 THEN '' ELSE ',' END FROM nation UNION ALL SELECT count(*) + 1, ']}' FROM nation""")
+def json_structured(t):
+    return export.json_structured(t("nation").select("n_nationkey", "n_name"), "n_nationkey", "nation.json", "2024-01-01T00:00:00.000Z")
+
+
+_DISPLAY = ["smote", "combined", "other", "noise_injection"]
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') AS iso, CASE o_orderkey % 4 WHEN 0 THEN 'SMOTE' WHEN 1 THEN 'Combined Strategy' WHEN 2 THEN 'other' ELSE 'Noise Injection' END AS strategy, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' WHEN s < 604800 THEN s // 86400 || 'd ago' ELSE strftime(o_orderdate, '%b %-d, %Y') END AS ago FROM (SELECT *, (epoch_ms((SELECT max(o_orderdate) FROM orders)) - epoch_ms(o_orderdate)) // 1000 AS s FROM orders)")
+def display_texts(t):
+    d = t("orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("at"))
+    now = one_row(d.agg(F.max("at").alias("m")))["m"]
+    name = F.get(F.array(*[F.lit(x) for x in _DISPLAY]), (F.col("o_orderkey") % 4).cast("int"))
+    return d.select("o_orderkey", scalars.iso_date(F.col("at")).alias("iso"), scalars.labelled(name, scalars.STRATEGY_LABELS).alias("strategy"), scalars.relative_time(F.col("at"), now).alias("ago"))
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def stream_days(t):
+    return None
+
+
 def stream_moments(spark: SparkSession, sf: str) -> DataFrame:
     """windowed_moments() of the events, run as a stream to its end: all windows, those still open at the end too, over all events
     with a time, however late. The stream runs in complete mode and the result of its last batch is kept."""
@@ -765,4 +886,10 @@ def stream_moments(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(out.schema).parquet(*last) if last else spark.createDataFrame([], out.schema)
 
 
+def _stream_days(spark: SparkSession, sf: str) -> DataFrame:
+    """stream_moments() with days as text."""
+    return stream_moments(spark, sf).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")])
+
+
 QUERIES["stream_moments"] = stream_moments
+QUERIES["stream_days"] = _stream_days
