@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabweave.functions.missing import ALL_TOKENS
 from tabweave.llm.leakage import leak_report, leaked_items
 from tabweave.llm.packing import pack_documents
 from tabweave.llm.quotas import draw_sample, label_of, quotas, sample_report, shortfalls
@@ -112,7 +113,7 @@ def p8_kept(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_sample, p4_report, p4_kept, p6_found, p6_packing, p6_fill, p6_kept, p7_found, p7_report, p8_found, p8_pieces, p8_kept)}
 
-_TOKENS = "('','na','n/a','nan','null','none','nil','undefined','?','#n/a','missing','-')"
+_TOKENS = "(" + ",".join(f"'{t}'" for t in ALL_TOKENS) + ")"
 # White space as Python's str.isspace has it, for RE2.
 _SPACE = r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _COUNT = "len(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_" + _SPACE.replace("{", "{{").replace("}", "}}") + "]+'))"

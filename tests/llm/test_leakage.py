@@ -63,3 +63,46 @@ def test_documents(spark):
     assert {(r.doc_id, r.item_id) for r in leaked_items(docs, items).collect()} == expected and leaked_items(docs, items).count() == 4
     assert {(r.doc_id, r.item_id) for r in leaked_items(docs, items, per_block=1).collect()} == expected
     assert leaked_items(docs.limit(0), items).count() == 0 and leaked_items(docs, items.limit(0)).count() == 0
+
+
+def test_markup_of_any_length():
+    words = [f"word{i}" for i in range(40)]
+    index = ItemIndex([(1, " ".join(words))])
+    tag = '<img src="data:image/png;base64,' + "A" * 400 + '" alt="a picture of words">'
+    assert [x[1] for x in index.hits(1, f" {tag} ".join(words))] == [1]
+    assert [x[1] for x in index.hits(1, " <!-- a note\nof two lines, " + "x " * 300 + "--> ".join(words))] == [1]
+    assert words_of("if a<b and c>d: " + "e " * 200) == ["if", "a", "d"] + ["e"] * 200 and words_of("a<b " + "e " * 200 + "c>d")[-1] == "d"
+
+
+def test_long_documents_are_cut_without_loss(spark):
+    r = random.Random(2)
+    items = [(i, " ".join(f"i{i}w{r.randint(0, 30)}" for _ in range(30))) for i in range(40)]
+    text = " ".join(p for _ in range(6) for _, p in r.sample(items, 40))
+    index = ItemIndex(items)
+    assert {x[1] for x in index.hits(1, text)} == set(range(40))
+    docs = spark.createDataFrame([(1, text), (2, " ".join(w for w in items[3][1].split())[:-1])], DOCS)
+    found = {(x.doc_id, x.item_id) for x in leaked_items(docs, spark.createDataFrame([(i, "s", p) for i, p in items], ITEMS)).collect()}
+    assert found == {(1, i) for i in range(40)} | {(2, 3)}
+
+
+def test_a_shared_template_is_no_leak(spark):
+    """Items share a template of 12 words, which many documents hold: none of them holds 20 words of an item."""
+    template = " ".join(f"t{i}" for i in range(12))
+    items = spark.createDataFrame([(i, "s", template + " " + " ".join(f"q{i}x{j}" for j in range(15))) for i in range(200)], ITEMS)
+    docs = spark.createDataFrame([(i, f"before {template} after {i}") for i in range(300)] + [(999, template + " " + " ".join(f"q7x{j}" for j in range(15)))], DOCS)
+    assert [(x.doc_id, x.item_id) for x in leaked_items(docs, items).collect()] == [(999, 7)]
+
+
+def test_thresholds_are_the_fewest_left():
+    from tabweave.llm.leakage import size_class, thresholds
+
+    def cuts(kept, runs):
+        if runs == 1:
+            yield (kept,)
+            return
+        for r in range(kept + 1):
+            yield from ((r, *rest) for rest in cuts(kept - r, runs - 1))
+
+    shingles = min(sum(max(0, r - 4) for r in c) for n in range(20, 24) for c in cuts(n - 2, 3))
+    elements = min(sum(max(0, r - 4) // 2 for r in c) for n in range(20, 24) for c in cuts(n - 2, 3))
+    assert thresholds(23) == (elements, shingles) == size_class(21) and size_class(100)[0] == 1
