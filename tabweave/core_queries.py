@@ -52,6 +52,12 @@ def p2_parsed(spark: SparkSession, sf: str) -> DataFrame:
     return parse_records(_read(spark, sf, "raw_records")).where(F.col("reason").isNull()).drop("reason", "reason_column", "raw_kept", "raw_text")
 
 
+def p2_values(spark: SparkSession, sf: str) -> DataFrame:
+    """p2_parsed() with its date as text."""
+    t = p2_parsed(spark, sf)
+    return t.select("record_id", *[F.round(c, 9).alias(c) for c in ("annual_income", "credit_score", "debt_ratio")], F.col("applied_on").cast("string").alias("applied_on"), "applicant_id", "applicant_name", "loan_approved")
+
+
 _FILLED = ["account_age_months", "monthly_charges", "usage_hours", "support_tickets", "contract_type"]
 _DECIMALS = {"account_age_months": 0, "monthly_charges": 2, "usage_hours": 1, "support_tickets": 0}
 
@@ -104,6 +110,11 @@ def p5_normalized(spark: SparkSession, sf: str) -> DataFrame:
     return _stamps(spark, _read(spark, sf, "stamp_cells"), _new_dictionary(spark))
 
 
+def p5_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every cell with what it denotes, in microseconds too."""
+    return p5_normalized(spark, sf).select("stamp_id", "outcome", "micros", "status")
+
+
 def p5_increments(spark: SparkSession, sf: str) -> DataFrame:
     """(step, rows, words): the dictionary after the cells received in the first half of the time, and after all of them."""
     cells, path, out = _read(spark, sf, "stamp_cells"), _new_dictionary(spark), None
@@ -122,7 +133,7 @@ def p1_moments(spark: SparkSession, sf: str) -> DataFrame:
     return column_profile(_read(spark, sf, "churn_rows")).select("dataset_id", "load_no", "column_name", "rows", "missing", "distinct", *figures)
 
 
-QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p1_moments": p1_moments, "p2_found": p2_found, "p2_parsed": p2_parsed, "p3_found": p3_found, "p3_filled": p3_filled, "p3_kept": p3_kept, "p5_found": p5_found, "p5_normalized": p5_normalized, "p5_increments": p5_increments}
+QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p1_moments": p1_moments, "p2_found": p2_found, "p2_parsed": p2_parsed, "p2_values": p2_values, "p3_found": p3_found, "p3_filled": p3_filled, "p3_kept": p3_kept, "p5_found": p5_found, "p5_normalized": p5_normalized, "p5_increments": p5_increments, "p5_outcomes": p5_outcomes}
 
 # The tokens and the reading of missing values are those of tabweave.functions.missing.
 _TOKENS = "(" + ",".join(f"'{t}'" for t in ALL_TOKENS) + ")"
@@ -158,7 +169,7 @@ UNION ALL SELECT DISTINCT s.dataset_id, s.load_no, s.column_name, 'stored' FROM
 
 
 
-def _p2_found() -> str:
+def _p2_ctes() -> str:
     names = "('annual_income', 'credit_score', 'debt_ratio', 'applied_on')"
     parts = []
     for sep in SEPARATORS:
@@ -179,12 +190,29 @@ cut AS ({" UNION ALL ".join(parts)}),
 cells AS (SELECT record_id, unnest(names) AS name, trim(unnest(fields), ' 	') AS v FROM cut WHERE NOT broken AND len(names) = len(fields)),
 bare AS (SELECT record_id, name, v, regexp_replace(regexp_replace(regexp_replace(v, '(?s)^\\((.*)\\)$', '\\1'), '^[$€]', ''), '%$', '') AS b FROM cells WHERE name IN {names} AND lower(v) NOT IN {_TOKENS}),
 bad AS (SELECT DISTINCT record_id FROM bare WHERE CASE WHEN name = 'applied_on' THEN NOT regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') OR try_cast(v AS DATE) IS NULL ELSE NOT regexp_full_match(b, '{number}') END)
-SELECT record_id, 'broken_quoting' AS reason FROM cut WHERE broken
+"""
+
+
+_P2_FOUND = _p2_ctes() + """SELECT record_id, 'broken_quoting' AS reason FROM cut WHERE broken
 UNION ALL SELECT record_id, 'column_count' FROM cut WHERE NOT broken AND len(names) <> len(fields)
 UNION ALL SELECT record_id, 'invalid_value' FROM bad
 """
 
 
+def _p2_values() -> str:
+    number = lambda c: f"CASE WHEN {c}_b IS NULL THEN NULL ELSE (CASE WHEN starts_with({c}_t, '(') THEN -1 ELSE 1 END) * CAST(replace({c}_b, ',', '') AS DOUBLE) / (CASE WHEN regexp_full_match({c}_t, '(?s).*%[)]?') THEN 100 ELSE 1 END) END"
+    names = ("annual_income", "credit_score", "debt_ratio", "applied_on", "applicant_id", "applicant_name", "loan_approved")
+    raw = ", ".join(f"fields[list_position(names, '{c}')] AS {c}_r" for c in names)
+    there = lambda c: f"lower(trim({c}_r, ' \t')) NOT IN {_TOKENS}"
+    bare_ = lambda c: f"regexp_replace(regexp_replace(regexp_replace(trim({c}_r, ' \t'), '(?s)^\\((.*)\\)$', '\\1'), '^[$€]', ''), '%$', '')"
+    return _p2_ctes().rstrip() + f""",
+good AS (SELECT c.record_id, {raw} FROM cut c WHERE NOT broken AND len(names) = len(fields) AND record_id NOT IN (SELECT record_id FROM bad)),
+w AS (SELECT record_id, {", ".join(f"trim({c}_r, ' \t') AS {c}_t, CASE WHEN {there(c)} THEN {bare_(c)} END AS {c}_b" for c in names[:3])}, {", ".join(f"CASE WHEN {there(c)} THEN {c}_r END AS {c}" for c in names[3:])} FROM good)
+SELECT record_id, {", ".join(f"round({number(c)}, 9) AS {c}" for c in names[:3])}, trim(applied_on, ' \t') AS applied_on, applicant_id, applicant_name, loan_approved FROM w"""
+
+
+
+
 _P1_MOMENTS = f"""
 WITH cells AS ({_CELLS})
 SELECT dataset_id, load_no, column_name, count(*) AS rows, count(*) - count(x) - count(t) AS missing, count(DISTINCT x) + count(DISTINCT t) AS "distinct",
@@ -237,4 +265,46 @@ c AS (SELECT dataset_id, column_name, received_at, trim(raw_value, ' \t') AS raw
 s AS (SELECT 1 AS step, c.* FROM c, m WHERE received_at <= a + (b - a) / 2 UNION ALL SELECT 2, c.* FROM c)
 SELECT step, count(*) AS rows, count(DISTINCT CASE WHEN NOT gone AND NOT fine THEN (dataset_id, column_name, raw, zone) END) AS words FROM s GROUP BY step"""
 
-ORACLES = {"p3_kept": _P3_KEPT, "p5_increments": _P5_INCREMENTS, "p1_found": _P1_FOUND, "p1_profile": _p1_profile(), "p1_moments": _P1_MOMENTS, "p3_found": _P3_FOUND, "p2_found": _p2_found()}
+def _instants() -> str:
+    """SQL of read_instant(): stamp_cells as c with `wall`, `off` (minutes) or `named` (a zone), and from those `outcome` of each text."""
+    time = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?:\s*([AaPp])\.?[Mm]\.?)?"
+    zone = r"(?:\s*(?:([+-]\d{2}(?::?\d{2})?)|([A-Za-z]{1,5})))?(\s*\[[^\[\]]*\])?"
+    when = rf"(?:(?:[Tt]|,?\s+){time})?{zone}"
+    tail = ["h", "mi", "s", "f", "ap", "off", "abbr", "zone"]
+    forms = {
+        "a": (rf"(\d{{4}})([-/.])(\d{{1,2}})([-/.])(\d{{1,2}}){when}", ["y", "s1", "m", "s2", "d", *tail]),
+        "b": (rf"(\d{{1,2}})([-/.])(\d{{1,2}})([-/.])(\d{{4}}){when}", ["d", "s1", "m", "s2", "y", *tail]),
+        "c": (rf"(\d{{4}})(\d{{2}})(\d{{2}})(?:[Tt ]?(\d{{2}})(\d{{2}})(?:(\d{{2}})(?:[.,](\d+))?)?)?{zone}", ["y", "m", "d", "h", "mi", "s", "f", "off", "abbr", "zone"]),
+        "d": (rf"(?:([A-Za-z]{{3,9}}),?\s+)?(\d{{1,2}})(?:st|nd|rd|th)?[\s-]+([A-Za-z]{{3,9}})\.?,?[\s-]+(\d{{4}}){when}", ["wd", "d", "mon", "y", *tail]),
+        "e": (rf"(?:([A-Za-z]{{3,9}}),?\s+)?([A-Za-z]{{3,9}})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}}){when}", ["wd", "mon", "d", "y", *tail])}
+    fits = {k: f"regexp_full_match(t, '{rx}')" + (f" AND regexp_extract(t, '^{rx}$', 2) = regexp_extract(t, '^{rx}$', 4)" if k in "ab" else "") for k, (rx, _) in forms.items()}
+    part = lambda name: "coalesce(CASE form " + " ".join(f"WHEN '{k}' THEN x{k}.{name}_" for k, (_, names) in forms.items() if name in names) + " END, '')"
+    taken = ", ".join(f"CASE WHEN form = '{k}' THEN regexp_extract(t, '^{rx}$', {[n + '_' for n in names]}) END AS x{k}" for k, (rx, names) in forms.items())
+    months = "['january','february','march','april','may','june','july','august','september','october','november','december']"
+    date = lambda y, m, d: f"try_cast(printf('%04d-%02d-%02d', {y}, {m}, {d}) AS DATE)"
+    return f"""
+t0 AS (SELECT *, trim(raw_value, ' \t\r\n') AS t, raw_value IS NULL OR lower(trim(raw_value, ' \t')) IN {_TOKENS} AS gone,
+  regexp_full_match(coalesce(raw_value, ''), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}\\.[0-9]{{6}}Z') AND try_cast(raw_value AS TIMESTAMP) IS NOT NULL AS fine FROM stamp_cells),
+t1 AS (SELECT *, CASE WHEN gone OR fine THEN NULL WHEN regexp_full_match(t, '[0-9]+') AND length(t) IN (10, 13, 16) THEN 'epoch' {" ".join(f"WHEN {e} THEN '{k}'" for k, e in fits.items())} END AS form FROM t0),
+tx AS (SELECT *, {taken} FROM t1),
+t2 AS (SELECT *, {", ".join(f"{part(n)} AS g_{n}" for n in ("y", "m", "d", "mon", "wd", *tail))} FROM tx),
+t3 AS (SELECT *, TRY_CAST(g_y AS INT) AS y, TRY_CAST(g_d AS INT) AS d, CASE WHEN g_mon <> '' THEN CASE WHEN lower(g_mon) = 'sept' THEN 9 ELSE list_position(list_transform({months}, lambda x: x = lower(g_mon) OR x[1:3] = lower(g_mon)), TRUE) END ELSE TRY_CAST(g_m AS INT) END AS m,
+  coalesce(TRY_CAST(g_h AS INT), 0) AS h0, coalesce(TRY_CAST(g_mi AS INT), 0) AS mi, coalesce(TRY_CAST(g_s AS INT), 0) AS s, CAST(rpad(substr(g_f, 1, 6), 6, '0') AS INT) AS us FROM t2),
+t4 AS (SELECT *, CASE WHEN y IS NULL OR y = 0 OR m IS NULL OR m = 0 THEN NULL WHEN form = 'b' THEN coalesce({date("y", "m", "d")}, {date("y", "d", "m")}) ELSE {date("y", "m", "d")} END AS day,
+  CASE WHEN g_ap = '' THEN h0 WHEN h0 BETWEEN 1 AND 12 THEN h0 % 12 + CASE WHEN lower(g_ap) = 'p' THEN 12 ELSE 0 END ELSE 99 END AS h,
+  CASE WHEN g_off <> '' THEN (CASE WHEN g_off[1] = '-' THEN -1 ELSE 1 END) * (CAST(g_off[2:3] AS INT) * 60 + coalesce(TRY_CAST(replace(g_off[4:], ':', '') AS INT), 0)) WHEN g_abbr <> '' THEN CASE upper(g_abbr) WHEN 'Z' THEN 0 WHEN 'UTC' THEN 0 WHEN 'GMT' THEN 0 WHEN 'EST' THEN -300 WHEN 'EDT' THEN -240 WHEN 'CET' THEN 60 WHEN 'CEST' THEN 120 ELSE 9999 END END AS off,
+  CASE WHEN trim(g_zone) <> '' THEN trim(trim(g_zone)[2:-2]) WHEN zone_name IS NULL OR lower(trim(zone_name, ' \t')) IN {_TOKENS} THEN 'UTC' ELSE trim(zone_name, ' \t') END AS named FROM t3),
+t5 AS (SELECT *, form IS NOT NULL AND form <> 'epoch' AND day IS NOT NULL AND h <= 23 AND mi <= 59 AND s <= 59 AND (g_wd = '' OR starts_with(lower(dayname(day)), lower(g_wd)))
+  AND (off IS NULL OR (off BETWEEN -720 AND 840 AND coalesce(TRY_CAST(replace(g_off[4:], ':', '') AS INT), 0) <= 59)) AND (off IS NOT NULL OR named IN (SELECT name FROM pg_timezone_names()) OR upper(named) IN ('Z', 'UTC', 'GMT')) AS ok FROM t4),
+t6 AS (SELECT *, CASE WHEN ok THEN CAST(day AS TIMESTAMP) + to_hours(h) + to_minutes(mi) + to_microseconds(s * 1000000 + us) END AS wall, CASE WHEN upper(named) IN ('Z', 'UTC', 'GMT') OR NOT ok THEN 'UTC' ELSE named END AS z FROM t5),
+t7 AS (SELECT *, CASE WHEN wall IS NOT NULL AND off IS NULL THEN timezone(z, wall) END AS probe FROM t6),
+t8 AS (SELECT *, CASE WHEN probe IS NOT NULL THEN list_distinct(list_filter([probe - to_minutes(60), probe - to_minutes(30), probe, probe + to_minutes(30), probe + to_minutes(60)], lambda u: timezone(z, u) = wall)) END AS found FROM t7),
+c AS (SELECT *, CASE WHEN form = 'epoch' THEN make_timestamp(CAST(t AS BIGINT) * CASE length(t) WHEN 10 THEN 1000000 WHEN 13 THEN 1000 ELSE 1 END) WHEN wall IS NULL THEN NULL WHEN off IS NOT NULL THEN wall - to_minutes(off) WHEN len(found) = 1 THEN timezone('UTC', found[1]) END AS instant FROM t8),
+o AS (SELECT *, CASE WHEN gone THEN NULL WHEN fine THEN raw_value WHEN instant IS NOT NULL THEN strftime(instant, '%Y-%m-%dT%H:%M:%S.%fZ') WHEN wall IS NULL THEN 'invalid' WHEN len(found) = 0 THEN 'nonexistent' ELSE 'ambiguous' END AS outcome FROM c)"""
+
+
+_P5_FOUND = f"WITH {_instants()} SELECT stamp_id, outcome FROM o WHERE NOT gone AND NOT fine"
+
+_P5_OUTCOMES = f"WITH {_instants()} SELECT stamp_id, outcome, CASE WHEN gone THEN NULL WHEN fine THEN epoch_us(CAST(raw_value AS TIMESTAMP)) ELSE epoch_us(instant) END AS micros, CASE WHEN gone THEN 'missing' WHEN fine THEN 'canonical' ELSE 'read' END AS status FROM o"
+
+ORACLES = {"p5_found": _P5_FOUND, "p3_kept": _P3_KEPT, "p5_increments": _P5_INCREMENTS, "p1_found": _P1_FOUND, "p1_profile": _p1_profile(), "p1_moments": _P1_MOMENTS, "p3_found": _P3_FOUND, "p2_found": _P2_FOUND, "p2_values": _p2_values(), "p5_outcomes": _P5_OUTCOMES}
