@@ -15,7 +15,8 @@ def test_query(spark, name):
     if name in ORACLES:
         assert found == duck_rows(ORACLES[name])
     else:
-        assert found[1]
+        # Ten suppliers give no class to lift; a hundred do.
+        assert found[1] or spark_rows(QUERIES[name](spark, SF.replace("0.001", "0.01")))[1]
 
 
 def test_entry(spark):
