@@ -43,3 +43,23 @@ def test_dictionary_grows_only_by_new_strings(spark):
 def test_hot_string(spark):
     df = spark.range(20_000).selectExpr("id", "IF(id % 3 = 0, '2024-01-01', CAST(1600000000 + id AS STRING)) AS raw")
     assert normalize_timestamps(df, "raw").where("outcome IS NULL OR outcome = 'invalid'").count() == 0
+
+
+def test_strings_appended_twice_double_no_rows(spark):
+    path = tempfile.mkdtemp() + "/words"
+    df = spark.createDataFrame([(1, "2024-01-01", "x"), (2, "2024-01-02", "x"), (3, "2024-01-01", "y"), (4, "2024-01-01", None)], "i int, raw string, src string")
+    want = sorted(map(tuple, normalize_timestamps(df, "raw", dictionary=path, source=("src",)).collect()))
+    words = spark.read.parquet(path + "/version=1")
+    assert len(want) == 4 and words.count() == 4
+    words.write.mode("append").parquet(path + "/version=1")
+    assert sorted(map(tuple, normalize_timestamps(df, "raw", dictionary=path, source=("src",)).collect())) == want
+
+
+def test_another_parser_reads_anew(spark, monkeypatch):
+    from tabweave.operators import timestamps
+
+    path = tempfile.mkdtemp() + "/words"
+    df = spark.createDataFrame([("2024-01-01",)], "raw string")
+    assert normalize_timestamps(df, "raw", dictionary=path).count() == 1
+    monkeypatch.setattr(timestamps, "VERSION", 2)
+    assert normalize_timestamps(df, "raw", dictionary=path).count() == 1 and spark.read.parquet(path + "/version=2").count() == 1
