@@ -18,8 +18,9 @@ stretch of 40 words or more has a qualifying part under 40, so at most 4 edits a
 candidate need be looked at.
 
 The documents are read once, whatever the number of items. Words are 64-bit hashes, the same everywhere, so that both sides meet by a
-join of minima. A Bloom filter of the items' minima, whose size has a bound, goes to the workers; of a document only the neighbourhoods
-of minima that pass it leave its task, as hashed words. What the filter lets through by chance, the join drops.
+join of minima. A Bloom filter of the items' shingles, whose size has a bound, goes to the workers; of a document only the neighbourhoods
+of minima that pass it leave its task, as hashed words, and only where as many shingles around pass it as the smallest threshold of
+containment asks for. What the filter lets through by chance, the join drops.
 """
 
 from __future__ import annotations
@@ -180,6 +181,10 @@ def may_qualify(rows: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ((run[:, LEAST:] - np.minimum.accumulate(run[:, :-LEAST], axis=1)) >= 0).any(1)
 
 
+#: Shingles that any qualifying stretch leaves, whatever the size of its item.
+FEWEST = min(thresholds(b)[1] for b in (*SIZES, 1 << 20))
+
+
 def verify(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray, places: np.ndarray) -> tuple[int, int, int, int, int] | None:
     """(item word, words, edits, shared shingles, item shingles) of the first qualifying stretch of item words `a` in the neighbourhood
     `b`, at candidates given by their place in the item and the diagonal they lie on; None if there is none."""
@@ -221,10 +226,17 @@ class Filter:
 
 
 def neighbourhoods(words: np.ndarray, sieve: Filter) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(words, values, places): the parts of a document around the elements of its signature that pass the filter. Elements within REACH
-    words of each other share a part; a part of many is cut so that whatever a stretch spans lies whole in one."""
-    places, values = signature(shingle_hashes(words))
-    have = np.flatnonzero(sieve.passes(values)) if len(values) else []
+    """(words, values, places): the parts of a document around the elements of its signature that pass the filter, if enough shingles
+    around them do. Elements within REACH words of each other share a part; a part of many is cut so that whatever a stretch spans lies
+    whole in one."""
+    h = shingle_hashes(words)
+    passed = sieve.passes(h.view(np.int64)) if len(h) else np.zeros(0, bool)
+    if passed.sum() < FEWEST:
+        return
+    places, values = signature(h)
+    upto, near = np.concatenate([[0], np.cumsum(passed)]), REACH + BAND
+    around = upto[np.minimum(places + near, len(h))] - upto[np.maximum(places - near, 0)]
+    have = np.flatnonzero(passed[places] & (around >= FEWEST))
     if not len(have):
         return
     places, values = places[have], values[have]
@@ -250,7 +262,8 @@ class ItemIndex:
                 self.words[item] = a
                 for place, value in zip(*(x.tolist() for x in signature(shingle_hashes(a)))):
                     self.seeds.setdefault(value, []).append((item, place))
-        values, bits = np.array(list(self.seeds), np.int64), 1 << 16
+        every = [shingle_hashes(a).view(np.int64) for a in self.words.values()]
+        values, bits = np.concatenate(every) if every else np.zeros(0, np.int64), 1 << 16
         words = np.zeros(bits // 64, np.uint64)
         for at in probes(values, bits):
             np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
@@ -286,18 +299,19 @@ def _item_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["item", "place", "value"])
 
 
-def _filter_of(seeds: DataFrame) -> Filter:
-    """The filter of the seeds' values: made of words that hold a bit, of which there are at most MOST_BITS / 64."""
-    bits = 1 << 16
-    while bits < min(MOST_BITS, BITS_EACH * seeds.count()):
+def _filter_of(own: DataFrame) -> Filter:
+    """The filter of all shingles of the items: made of words that hold a bit, of which there are at most MOST_BITS / 64."""
+    bits, many = 1 << 16, own.agg(F.sum(F.size("words"))).first()[0] or 0
+    while bits < min(MOST_BITS, BITS_EACH * many):
         bits *= 2
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            at = np.concatenate(probes(b["value"].to_numpy(np.int64), bits)) if len(b) else np.zeros(0, np.uint64)
+            values = [shingle_hashes(np.asarray(w, np.int64)).view(np.int64) for w in b["words"]]
+            at = np.concatenate(probes(np.concatenate(values), bits)) if values else np.zeros(0, np.uint64)
             yield pd.DataFrame({"word": (at >> np.uint64(6)).astype(np.int64), "bit": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
 
-    held = seeds.select("value").mapInPandas(places, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    held = own.select("words").mapInPandas(places, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     words = np.zeros(bits // 64, np.uint64)
     words[held["word"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64).view(np.uint64)
     return Filter(words)
@@ -319,8 +333,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, per_block: int | None = None
     spark = docs.sparkSession
     listed = items.select(F.col("item_id").cast("bigint").alias("item_id"), "prompt").where(F.col("item_id").isNotNull() & F.col("prompt").isNotNull()).distinct()
     own = materialize(listed.mapInPandas(_item_words, "item_id bigint, words array<bigint>, least int").withColumn("item", F.monotonically_increasing_id()), "items")
-    seeds = materialize(own.select("item", "words").mapInPandas(_item_seeds, "item bigint, place int, value bigint"), "seeds")
-    sieve = spark.sparkContext.broadcast(_filter_of(seeds))
+    seeds = own.select("item", "words").mapInPandas(_item_seeds, "item bigint, place int, value bigint")
+    sieve = spark.sparkContext.broadcast(_filter_of(own))
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
