@@ -193,6 +193,8 @@ def verify(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray, places: np.ndarr
     gap = np.full(REACH, OUTSIDE, np.int64)
     flat = np.concatenate([gap, a, gap])
     able = np.concatenate([may_qualify(flat[places[k : k + 1000, None] + np.arange(2 * REACH)], b, (places + diagonals)[k : k + 1000] - REACH) for k in range(0, len(places), 1000)])
+    if not able.any():
+        return None
     mine, theirs = shingle_hashes(a), shingle_hashes(b)
     least = size_class(len(a))[1]
     for i in np.flatnonzero(able):
