@@ -241,8 +241,9 @@ _P = f"CASE WHEN {_LAM} <= 0.05 THEN 1.0 ELSE least(1.0, greatest(0.0, list_sum(
 @query(f"WITH {_KS} SELECT c AS column_name, round(d, 4) AS ks, round(exact_d, 6) AS exact, CASE WHEN round(d, 4) >= 0.35 THEN 'severe' WHEN round(d, 4) >= 0.18 THEN 'moderate' ELSE 'safe' END AS severity FROM ks")
 def ks_two_sample(t):
     a, b = _halves(t)
-    exact = fidelity.ks(a, b, L4, "exact").select("c", F.round("d", 6).alias("exact"))
-    return fidelity.ks(a, b, L4).join(exact, "c").select(F.col("c").alias("column_name"), F.round("d", 4).alias("ks"), "exact", fidelity.severity(F.round("d", 4)).alias("severity"))
+    cells = fidelity.two_cells(a, b, L4)
+    exact = fidelity.ks(a, b, L4, "exact", cells).select("c", F.round("d", 6).alias("exact"))
+    return fidelity.ks(a, b, L4, cells=cells).join(exact, "c").select(F.col("c").alias("column_name"), F.round("d", 4).alias("ks"), "exact", fidelity.severity(F.round("d", 4)).alias("severity"))
 
 
 @query(f"WITH {_KS} SELECT c AS column_name, round({_P}, 4) AS p, round({_P}, 4) >= 0.05 AS passed FROM ks")
