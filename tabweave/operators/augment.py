@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.rng import gaussian, uniform
 from tabweave.operators.fidelity import closest_records, ks
-from tabweave.operators.neighbours import nearest_rows, tomek_links
+from tabweave.operators.neighbours import all_tomek_links, nearest_in_cells, nearest_rows
 from tabweave.operators.relations import correlation_fidelity
-from tabweave.plans.physical import one_row, running_sums
+from tabweave.plans.physical import free_name, materialize, one_row, running_sums
 
 
 def class_needs(df: DataFrame, label: str, ratio: float = 1.0, least: int = 1) -> DataFrame:
@@ -50,7 +50,12 @@ def smote(df: DataFrame, label: str, rid: str, numbers: list[str], labels: list[
     draws = need.select("cls", "n_c", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("need"))).alias("s")).withColumn("key", F.concat_ws("#", "cls", "s"))
     anchors = draws.withColumn("rank0", F.floor(uniform(seed, F.col("key"), 0) * F.col("n_c"))).join(ranked(df, label, rid), ["cls", "rank0"])
     asked = df.join(anchors.select(F.col("rid").alias(rid)).distinct(), rid, "left_semi")
-    near = nearest_rows(asked, df, rid, rid, numbers, labels, column_ranges(df, numbers), k, group=label, exclude_self=True)
+    scale = column_ranges(df, numbers)
+    if labels:
+        near = nearest_rows(asked, df, rid, rid, numbers, labels, scale, k, group=label, exclude_self=True)
+    else:
+        v, vector = free_name(df, "_v"), F.array(*[F.col(c).cast("double") / F.lit(s) for c, s in zip(numbers, scale)])
+        near = nearest_in_cells(asked.withColumn(v, vector), df.withColumn(v, vector), rid, rid, v, k, label)
     place = F.floor(uniform(seed, F.col("key"), 1) * F.least(F.lit(k), F.col("n_c") - 1)) + 1
     picks = anchors.withColumn("rank", place).join(near.select(F.col("qid").alias("rid"), F.col("rid").alias("nid"), "rank"), ["rid", "rank"])
     return _blend(picks.select("key", "cls", "rid", "nid"), df, rid, numbers, labels, seed)
@@ -84,7 +89,7 @@ def adasyn(df: DataFrame, label: str, rid: str, numbers: list[str], labels: list
 
 def without_tomek(df: DataFrame, rid: str, label: str, vector: str, remove: str = "both", majority: str | None = None) -> DataFrame:
     """`df` without the members of Tomek links: both, or only those of the class `majority`."""
-    links = tomek_links(df, df, rid, label, vector)
+    links = all_tomek_links(df, rid, label, vector)
     gone = links.select(F.col("a").alias(rid)).union(links.select(F.col("b").alias(rid))).distinct()
     if remove == "majority":
         gone = gone.join(df.where(F.col(label).cast("string") == str(majority)).select(rid), rid, "left_semi")
@@ -98,7 +103,7 @@ def smote_tomek(df: DataFrame, label: str, rid: str, numbers: list[str], k: int
     whole = df.select(F.col(rid).cast("bigint").alias(rid), F.col(label).cast("string").alias(label), *[F.col(c).cast("double").alias(c) for c in numbers]).unionByName(made)
     scale = column_ranges(df, numbers)
     scaled = whole.withColumn("_v", F.array(*[F.col(c) / F.lit(s) for c, s in zip(numbers, scale)]))
-    return without_tomek(scaled, rid, label, "_v", remove, majority).drop("_v")
+    return without_tomek(materialize(scaled, "resampled"), rid, label, "_v", remove, majority).drop("_v")
 
 
 def oversample(df: DataFrame, label: str, rid: str, numbers: list[str], ratio: float = 1.0, jitter: float = 0.05, seed: int = 42) -> DataFrame:
